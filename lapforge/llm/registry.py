@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lapforge.llm import chat_format, exact_dedup, pii
+from lapforge.llm import chat_format, exact_dedup, ngram_join, pii
 
 MODULES = {
+    "op4_ngram_jaccard": ngram_join,
     "op7_pii": pii,
     "op9_exact_dedup": exact_dedup,
     "op10_chat_format": chat_format,
