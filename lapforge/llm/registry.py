@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lapforge.llm import chat_format, exact_dedup, ngram_join, pii
+from lapforge.llm import chat_format, exact_dedup, language_id, ngram_join, pii, token_count
 
 MODULES = {
+    "op3_language_id": language_id,
     "op4_ngram_jaccard": ngram_join,
+    "op6_token_count": token_count,
     "op7_pii": pii,
     "op9_exact_dedup": exact_dedup,
     "op10_chat_format": chat_format,
