@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lapforge.llm import chat_format, exact_dedup, language_id, ngram_join, pii, token_count
+from lapforge.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, token_count
 
 MODULES = {
+    "op2_decontaminate": decontaminate,
     "op3_language_id": language_id,
     "op4_ngram_jaccard": ngram_join,
+    "op5_source_mixing": mixing,
     "op6_token_count": token_count,
     "op7_pii": pii,
     "op9_exact_dedup": exact_dedup,
