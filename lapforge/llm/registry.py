@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lapforge.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, token_count
+from lapforge.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, suffix_dedup, token_count
 
 MODULES = {
+    "op1_suffix_dedup": suffix_dedup,
     "op2_decontaminate": decontaminate,
     "op3_language_id": language_id,
     "op4_ngram_jaccard": ngram_join,
