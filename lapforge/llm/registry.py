@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapforge.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, suffix_dedup, token_count
+from lapforge.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, suffix_dedup, token_count, toxicity
 
 MODULES = {
     "op1_suffix_dedup": suffix_dedup,
@@ -12,6 +12,7 @@ MODULES = {
     "op5_source_mixing": mixing,
     "op6_token_count": token_count,
     "op7_pii": pii,
+    "op8_toxicity": toxicity,
     "op9_exact_dedup": exact_dedup,
     "op10_chat_format": chat_format,
 }
