@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lapforge.plans import race_queries
+
+MODULES = [race_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
