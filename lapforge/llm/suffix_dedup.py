@@ -152,7 +152,7 @@ def anchor_table(texts: DataFrame, large: np.ndarray) -> DataFrame:
 
 def _grouped(anchors: DataFrame) -> DataFrame:
     """Passes 1 and 2: the anchors that share their first digit; n: size of the class, lead: one a class
-    of a group with several. In large groups (salt > 0) n and lead are still open."""
+    of a group with several. In large groups n counts the copies under one salt, and lead is still open."""
     group = Window.partitionBy("core", "salt")
     same = Window.partitionBy("core", "salt", "f1", "f2")
     leader = same.orderBy("key", "spot")
@@ -256,13 +256,13 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     whole = [(F.col("spot").bitwiseAND(F.lit(255)) + F.shiftright("spot", 16) + DEPTH).alias("stop")]
     span = ["key", F.shiftright("spot", 16).alias("start"), *whole]
     small, large = marked.filter("not large"), marked.filter("large")
-    out = small.filter("n > 1").select(*span)
+    out = marked.filter("n > 1").select(*span)  # a copy under one salt is enough
     out = out.unionByName(_compared(_context_rows(texts, small.filter("lead").select("key", "core", "spot", "n"), False)))
     if large.isEmpty():
         return out
     classes = large.groupBy("core", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "spot")).alias("first"))
     several = classes.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("core")
-    copies = large.drop("n").join(classes.filter("n > 1").select("core", "f1", "f2"), ["core", "f1", "f2"])
+    copies = large.filter("n = 1").drop("n").join(classes.filter("n > 1").select("core", "f1", "f2"), ["core", "f1", "f2"])
     leads = classes.join(several, "core").select("first.key", "core", "first.spot", "n")
     windows = _context_rows(texts, leads, True)
     times = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
