@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lapforge.plans import race_queries
+from lapforge.plans import metric_queries, race_queries, repair_queries
 
-MODULES = [race_queries]
+MODULES = [race_queries, repair_queries, metric_queries]
 
 
 def queries() -> dict:
