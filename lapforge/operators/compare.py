@@ -125,9 +125,9 @@ def driver_metrics(features: DataFrame, race: Sequence[str] = RACE) -> DataFrame
 def narrative(metrics: DataFrame) -> DataFrame:
     """A sentence per driver from a template; no service is called."""
     text = F.when(
-        F.col("final_position") == 1, F.format_string("Car %d won; pace against second %.2f s.", "vehicle_number", "ahead_pace_delta")
+        F.col("final_position") == 1, F.format_string("Car %d won; pace against second %.3f s.", "vehicle_number", "ahead_pace_delta")
     ).otherwise(
-        F.format_string("Car %d finished P%d, %.1f s off the winner; %d laps in traffic cost %.1f s.", "vehicle_number", "final_position", "gap_to_winner", "traffic_laps", "traffic_cost")
+        F.format_string("Car %d finished P%d, %.3f s off the winner; %d laps in traffic cost %.3f s.", "vehicle_number", "final_position", "gap_to_winner", "traffic_laps", "traffic_cost")
     )
     return metrics.withColumn("narrative", text)
 
