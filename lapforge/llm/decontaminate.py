@@ -8,7 +8,7 @@ A document is contaminated by an item if that stretch has at least least_match e
 words of a shorter item) and three quarters of its words are equal.
 
 Before the join, document seeds are tested against a bit table of the benchmark's seeds; its size is
-fixed (FILTER_BITS), so it can be broadcast however large the benchmark is: a fuller table only lets
+fixed, so it can be broadcast however large the benchmark is: a fuller table only lets
 more seeds through to the join. Seeds that pass carry no text; the words around them go out once per
 stretch of hits.
 
@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapforge.llm import bitfilter
 from lapforge.llm.textkit import U64, mix, passes, utf8, words
 
 MASKS = ("11011011", "1101100111", "1110010111", "10110101011")
-FILTER_BITS = 1 << 25
 LEAST_MATCH = 8
 IDENTITY_PENALTY = 3  # a stretch with positive score everywhere has three quarters of its words equal
 MARGIN = 64
@@ -91,49 +91,18 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "seed bigint, item_id bigint, item_at int")
 
 
-def _bit(seeds: np.ndarray) -> np.ndarray:
-    return (seeds & U64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, packed; set where a benchmark seed falls."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_bit(batch.column(0).to_numpy().view(U64))] = True
-        packed = np.packbits(bits).reshape(-1, 4096)
-        full = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[i].tobytes() for i in full], pa.binary())], ["page", "bits"])
-
-    pages = seeds.select("seed").mapInArrow(run, "page int, bits binary")
-
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for page, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                now = np.frombuffer(bits, np.uint8)
-                held[page] = now | held[page] if page in held else now
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["page", "bits"])
-
-    out = np.zeros((FILTER_BITS // 8 // 4096, 4096), np.uint8)
-    for row in pages.repartition("page").mapInArrow(merge, "page int, bits binary").collect():  # FILTER_BITS at most
-        out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(doc_id, stretch, from_word, words, hits): stretches of text around seeds that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # bitfilter.BITS bits
     widest = max(map(len, MASKS))
 
     def run(batches):
-        table = np.unpackbits(shared.value).view(bool)
+        table = bitfilter.unpacked(shared.value)
         for batch in batches:
             ids = batch.column(0)
             out = []
             for first, hashed, at in _word_rows(batch.column(1)):
-                found = [(s := _seeds(hashed, mask), np.flatnonzero(table[_bit(s)]), len(mask)) for mask in MASKS]
+                found = [(s := _seeds(hashed, mask), np.flatnonzero(bitfilter.may_hold(table, s)), len(mask)) for mask in MASKS]
                 place = np.concatenate([p for _, p, _ in found])
                 seed = np.concatenate([s[p] for s, p, _ in found])
                 size = np.concatenate([np.full(len(p), n) for _, p, n in found])
@@ -178,7 +147,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_match: int = LEAS
     """(doc_id, item_id, from_word, n_equal, n_words): the best verified stretch of each document and item."""
     items = benchmark_words(benchmark)
     seeds = benchmark_seeds(items)
-    hits = document_hits(docs, seed_filter(seeds)).withColumn("stretch", F.xxhash64("doc_id", "from_word", "words"))
+    hits = document_hits(docs, bitfilter.build(seeds.select("seed"))).withColumn("stretch", F.xxhash64("doc_id", "from_word", "words"))
     near = (
         hits.select("doc_id", "from_word", "stretch", F.explode("hits").alias("h"))
         .join(seeds, F.col("h.seed") == F.col("seed"))

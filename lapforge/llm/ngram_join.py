@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapforge.llm import bitfilter
 from lapforge.llm.components import connected_components
 from lapforge.llm.storage import written
 from lapforge.llm.textkit import U64, mix, passes, sequence_hash, shingles, utf8, words
@@ -41,7 +42,9 @@ SIZE = 5
 NUM, DEN = 75, 100  # the least similarity as a fraction
 CELLS = 1 << 18
 SMALL_LIST = 8
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+#: Pairs across components are all verified once they are at most so many times the rows they come from.
+CROSS_FACTOR = 50
 SALTS = 64
 
 
@@ -71,7 +74,7 @@ def text_sets(column: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
-    return (keys >> U64(20)) & U64(CELLS - 1)
+    return ((keys >> U64(20)) & U64(CELLS - 1)).astype(np.int64)
 
 
 def shingle_frequencies(docs: DataFrame) -> np.ndarray:
@@ -80,8 +83,14 @@ def shingle_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
+            waiting: list[np.ndarray] = []
             for keys in text_sets(batch.column(0)):
-                np.add.at(total, _cells(keys), 1)
+                waiting.append(_cells(keys))
+                if len(waiting) >= 512:
+                    total += np.bincount(np.concatenate(waiting), minlength=CELLS)
+                    waiting.clear()
+            if waiting:
+                total += np.bincount(np.concatenate(waiting), minlength=CELLS)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
 
@@ -168,14 +177,50 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     met = prefixes.withColumns({"least": F.min("cls").over(place), "most": F.max("cls").over(place)})
     shared = met.filter("least <> most or salt > 0").select("key", "cls", "n", "pos", "salt")
     # copies that several tasks have sent: same key and class
-    return shared.groupBy("key", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).drop("salt")
+    once = shared.groupBy("key", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).drop("salt")
+    # prefix shingles that no other class has cannot be shared: positions and sizes leave them out
+    own = Window.partitionBy("cls")
+    size = F.expr(f"n - ((n * {NUM} + {DEN - 1}) div {DEN}) + 1")
+    placed = once.select(
+        "key",
+        "cls",
+        "n",
+        (F.row_number().over(own.orderBy("pos")) - 1).alias("pos"),
+        (F.col("n") - size + F.count(F.lit(1)).over(own)).cast("int").alias("left"),
+    )
+    # too few shingles left for a partner of any size that the length filter allows
+    return placed.filter(_can_link(F.ceil(F.col("n") * NUM / DEN - 1e-9)))
+
+
+def _can_link(least_partner, pos=0):
+    """Whether a posting has shingles enough, from place pos on, to link with a partner of that size (the smallest there is)."""
+    return F.ceil((F.col("n") + least_partner) * NUM / (NUM + DEN) - 1e-9) <= F.col("left") - pos
+
+
+def _need(a, b):
+    """The least overlap of two posting structs that links them."""
+    return F.ceil((a["n"] + b["n"]) * NUM / (NUM + DEN) - 1e-9)
 
 
 def _passes_filters(a, b):
-    """Length and positional filters of two posting structs (cls, n, pos) of one shingle."""
-    need = F.ceil((a["n"] + b["n"]) * NUM / (NUM + DEN) - 1e-9)
-    rest = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"] - 1, b["n"] - b["pos"] - 1)
-    return (F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM) & (rest >= need)
+    """Length and positional filters of two posting structs (cls, n, pos, left) of one shingle.
+
+    left: the set's shingles without those of its prefix that no other class has; pos: the place among them.
+    """
+    most = F.least(a["pos"], b["pos"]) + 1 + F.least(a["left"] - a["pos"] - 1, b["left"] - b["pos"] - 1)
+    return (F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM) & (most >= _need(a, b))
+
+
+def _passes_first(a, b):
+    """The filters for the first shingle that two classes share: nothing is shared before it.
+
+    A pair that links passes there; at other shingles that they share it may not.
+    """
+    most = F.least(a["left"] - a["pos"], b["left"] - b["pos"])
+    return (F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM) & (most >= _need(a, b))
+
+
+_POSTING = ("cls", "n", "pos", "left")
 
 
 def _as_pair(a, b):
@@ -184,28 +229,28 @@ def _as_pair(a, b):
 
 def _hub_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
     """(a, b) of every row with the hub of its key; hubs: (key, hub struct)."""
-    met = rows.join(hubs, "key").withColumn("me", F.struct("cls", "n", "pos")).filter(F.col("cls") != F.col("hub.cls"))
+    met = rows.join(hubs, "key").withColumn("me", F.struct(*_POSTING)).filter(F.col("cls") != F.col("hub.cls"))
     return met.filter(_passes_filters(F.col("me"), F.col("hub"))).select(_as_pair(F.col("me"), F.col("hub")).alias("p")).select("p.*")
 
 
 def _first_pairs(postings: DataFrame) -> DataFrame:
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("cls", "n", "pos")).alias("hub"))
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct((F.col("n") - F.col("left")).alias("alone"), *_POSTING)).alias("hub"))
     sized = postings.join(sizes, "key")
     small = sized.filter((F.col("m") > 1) & (F.col("m") <= SMALL_LIST))
-    listed = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "pos"))).alias("list"))  # SMALL_LIST at most
+    listed = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*_POSTING))).alias("list"))  # SMALL_LIST at most
     pairs = listed.select(
         F.explode(
             F.flatten(
                 F.transform(
                     "list",
                     lambda x: F.transform(
-                        F.filter("list", lambda y: (y["cls"] > x["cls"]) & _passes_filters(x, y)), lambda y: _as_pair(x, y)
+                        F.filter("list", lambda y: (y["cls"] > x["cls"]) & _passes_first(x, y)), lambda y: _as_pair(x, y)
                     ),
                 )
             )
         ).alias("p")
     ).select("p.*")
-    large = sized.filter(F.col("m") > SMALL_LIST).withColumn("me", F.struct("cls", "n", "pos")).filter("cls <> hub.cls")
+    large = sized.filter(F.col("m") > SMALL_LIST).withColumn("me", F.struct(*_POSTING)).filter("cls <> hub.cls")
     star = large.filter(_passes_filters(F.col("me"), F.col("hub"))).select(_as_pair(F.col("me"), F.col("hub")).alias("p")).select("p.*")
     return pairs.unionByName(star).distinct()
 
@@ -234,26 +279,25 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def _verify(docs: DataFrame, representatives: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. Texts travel only for classes that stand in a pair."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(representatives, "cls")
+def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link. Only sets of classes that stand in a pair travel."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitfilter.build(pairs.select(F.explode(F.array("a", "b")))))
 
     def run(batches):
+        table, seen = bitfilter.unpacked(wanted.value), set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k.tobytes() for k in text_sets(batch.column(1))], pa.binary())], ["cls", "keys"]
-            )
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = (
-        texts.join(needed, texts["doc_id"] == needed["rep"])
-        .groupBy("cls", "rep")
-        .agg(F.first("text").alias("text"))
-        .select("cls", "text")
-        .mapInArrow(run, "cls bigint, keys binary")
-    )
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("keys").alias("keys_b")), "b")
-    full = with_b.join(sets.select(F.col("cls").alias("a"), F.col("keys").alias("keys_a")), "a")
+            cls, keys = [], []
+            for k in text_sets(batch.column(0)):
+                c = _class_of(k)
+                if len(k) and c not in seen and table[c & (bitfilter.BITS - 1)]:
+                    seen.add(c)
+                    cls.append(c)
+                    keys.append(k.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(keys, pa.binary())], ["cls", "keys"])
+
+    sets = docs.select("text").mapInArrow(run, "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("keys"))
+    with_b = pairs.join(sets.withColumnsRenamed({"cls": "b", "keys": "keys_b"}), "b")
+    full = with_b.join(sets.withColumnsRenamed({"cls": "a", "keys": "keys_a"}), "a")
 
     def check(batches):
         for batch in batches:
@@ -268,47 +312,59 @@ def _verify(docs: DataFrame, representatives: DataFrame, pairs: DataFrame) -> Da
 
 
 def _unsettled(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """Postings (with comp) of the lists whose members are in more than one component."""
-    labelled = postings.join(roots, postings["cls"] == roots["node"], "left").select(
-        "key", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp")
+    """Postings (with comp) of the lists whose members are in more than one component, without those
+    that cannot first meet a partner there, be it the list's smallest member."""
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("small")).filter(F.col("m") > SMALL_LIST)
+    able = postings.join(sizes, "key").filter(_can_link(F.greatest(F.col("small"), F.ceil(F.col("n") * NUM / DEN - 1e-9)), F.col("pos")))
+    labelled = able.join(roots, able["cls"] == roots["node"], "left").select("key", *_POSTING, F.coalesce("root", "cls").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    return labelled.join(mixed.filter("c0 <> c1").select("key"), "key")
+
+
+def _across(open_rows: DataFrame, outside: DataFrame) -> DataFrame:
+    """Every pair (a, b) across components that may link, found at the first shingle it shares."""
+    o, r = outside.alias("o"), open_rows.alias("r")
+    each = [{c: F.col(f"{side}.{c}") for c in _POSTING} for side in "or"]
+    met = o.join(
+        r,
+        (F.col("o.key") == F.col("r.key"))
+        & (F.col("o.comp") != F.col("r.comp"))
+        & ((F.col("r.comp") == F.col("o.main")) | (F.col("o.cls") < F.col("r.cls")))
+        & _passes_first(*each),
     )
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
-    return labelled.join(mixed.filter((F.col("c0") != F.col("c1")) & (F.col("m") > SMALL_LIST)).select("key"), "key")
+    return met.select(_as_pair(*each).alias("p")).select("p.*").distinct()
 
 
-def class_components(docs: DataFrame, members: DataFrame) -> DataFrame:
+def class_components(docs: DataFrame) -> DataFrame:
     """(node, root) over the classes that link with another one."""
     rank, frequent = frequency_ranks(shingle_frequencies(docs))
-    representatives = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     postings = written(_postings(_prefixes(docs, rank, frequent)), "postings")
     checked = written(_first_pairs(postings), "pairs")
-    found = written(_verify(docs, representatives, checked), "found")
+    found = written(_verify(docs, checked), "found")
     roots = written(connected_components(found), "roots")
+    last = False
     for turn in range(HUB_ROUNDS + 1):
         open_rows = written(_unsettled(postings, roots), "open")
         # the commonest component of a list needs no pairs of its own
-        by_comp = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("cls", "n", "pos")).alias("first"))
+        by_comp = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"))
         cost = main.agg(F.sum((F.col("m") - F.col("main.k")) * F.col("m")), F.sum("m")).first()
         if not cost[0]:
-            return roots
+            break
         outside = open_rows.join(main.select("key", F.col("main.comp").alias("main")), "key").filter("comp <> main")
-        last = turn == HUB_ROUNDS or cost[0] <= 20 * cost[1]
-        if last:  # every remaining pair across components
-            o, r = outside.alias("o"), open_rows.alias("r")
-            met = o.join(r, F.col("o.key") == F.col("r.key")).filter("o.comp <> r.comp").select(
-                F.struct("o.cls", "o.n", "o.pos").alias("x"), F.struct("r.cls", "r.n", "r.pos").alias("y")
-            )
-            pairs = met.filter(_passes_filters(F.col("x"), F.col("y"))).select(_as_pair(F.col("x"), F.col("y")).alias("p")).select("p.*")
+        last = turn == HUB_ROUNDS or cost[0] <= CROSS_FACTOR * cost[1]
+        if last:
+            pairs = _across(open_rows, outside)
         else:
-            hubs = outside.groupBy("key").agg(F.min(F.struct("cls", "n", "pos")).alias("hub"))
-            pairs = _hub_pairs(open_rows.select("key", "cls", "n", "pos"), hubs)
-        fresh = written(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        more = written(_verify(docs, representatives, fresh), "found")
+            hubs = outside.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("alone"), *_POSTING)).alias("hub"))
+            pairs = _hub_pairs(open_rows.select("key", *_POSTING), hubs).distinct()
+        fresh = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        more = written(_verify(docs, fresh), "found")
         found, checked = found.unionByName(more), checked.unionByName(fresh)
-        roots = written(connected_components(found), "roots")
+        if not more.isEmpty():
+            roots = written(connected_components(found), "roots")
         if last:
-            return roots
+            break
     return roots
 
 
@@ -319,7 +375,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     reach. Documents with the empty set stand alone.
     """
     members = written(_membership(docs), "members")
-    roots = class_components(docs, members)
+    roots = class_components(docs)
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     placed = classes.join(roots, classes["cls"] == roots["node"], "left").select(
         "cls", "class_id", F.coalesce("root", "cls").alias("root")
