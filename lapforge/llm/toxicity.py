@@ -27,7 +27,6 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,9 +116,22 @@ def phrases(folded: str, start: int, end: int) -> tuple[str, str]:
     return f"{left[-1] if left else ''} {word}", f"{word} {right[0] if right else ''}"
 
 
-def _map(rows: DataFrame, one, schema: str) -> DataFrame:
-    """rows mapped by a function of the batches' pandas frames."""
-    return rows.mapInPandas(lambda frames: (out for frame in frames for out in one(frame)), schema)
+def _counted(rows: DataFrame, of_text) -> DataFrame:
+    """(term, p, n): in how many toxic and other texts of rows (text, toxic) each string of of_text(text) is.
+
+    of_text is made by a function without arguments, once a task."""
+
+    def run(batches):
+        terms, seen = of_text(), (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[bool(toxic)].update(terms(text))
+        every = list(seen[0].keys() | seen[1].keys())
+        counts = [pa.array([seen[k][t] for t in every], pa.int64()) for k in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *counts], ["term", "p", "n"])
+
+    counts = rows.select("text", "toxic").mapInArrow(run, "term string, p bigint, n bigint")
+    return counts.groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -156,39 +168,30 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> ToxicityModel
     if not pos or not neg:
         return model
 
-    def count(frame):
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-            seen[bool(toxic)].update(terms_of(fold(text)))
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": every, "p": [seen[1][t] for t in every], "n": [seen[0][t] for t in every]})
-
-    counts = _map(rows.select("text", "toxic").repartition(16), count, "term string, p bigint, n bigint").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = _counted(rows.repartition(16), lambda: lambda text: terms_of(fold(text)))
     expected = (F.col("p") + F.col("n")) * (pos / (pos + neg))
     z = (F.col("p") - expected) / F.sqrt(expected * (neg / (pos + neg)) + 1)
     odds = (F.col("p") + 0.5) * (neg + 1.0) / ((F.col("n") + 0.5) * (pos + 1.0))
     strong = counts.withColumns({"z": z, "odds": odds}).filter((F.col("z") >= LEAST_Z) & (F.col("p") >= LEAST_SHARE * (F.col("p") + F.col("n"))))
     top = strong.orderBy(F.desc("z"), "term").limit(LEXICON_SIZE).collect()
     model.lexicon = {r["term"]: math.log(r["odds"]) for r in top}
-    automaton_of, plain = ToxicityModel.matcher, model
+    plain = model
 
-    def contexts(frame):
-        automaton, seen = automaton_of(plain), (Counter(), Counter())
-        for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-            seen[bool(toxic)].update({p for _, around in plain.matches(automaton, fold(text)) for p in around})
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"phrase": every, "p": [seen[1][t] for t in every], "n": [seen[0][t] for t in every]})
+    def phrases_of():
+        automaton = plain.matcher()
+        return lambda text: {p for _, around in plain.matches(automaton, fold(text)) for p in around}
 
-    around = _map(rows.select("text", "toxic"), contexts, "phrase string, p bigint, n bigint").groupBy("phrase").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    model.exceptions = {r["phrase"] for r in around.filter("n >= 3 and p = 0").orderBy(F.desc("n"), "phrase").limit(LEXICON_SIZE).collect()}
+    around = _counted(rows, phrases_of).filter("n >= 3 and p = 0").orderBy(F.desc("n"), "term").limit(LEXICON_SIZE)
+    model.exceptions = {r["term"] for r in around.collect()}
 
-    def featured(frame):
-        automaton = automaton_of(plain)
-        x = [plain.features(automaton, fold(t)) for t in frame["text"]]
-        yield pd.DataFrame({"x": x, "toxic": frame["toxic"]})
+    def featured(batches):
+        automaton = plain.matcher()
+        for batch in batches:
+            x = [plain.features(automaton, fold(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    table = _map(rows.select("text", "toxic"), featured, "x array<double>, toxic int").toPandas()  # about bound rows of five numbers
-    model.curve = logistic(np.array(table["x"].tolist()), table["toxic"].to_numpy(float))
+    table = rows.select("text", "toxic").mapInArrow(featured, "x array<double>, toxic int").collect()  # about bound rows of five numbers
+    model.curve = logistic(np.array([r["x"] for r in table]), np.array([float(bool(r["toxic"])) for r in table]))
     rows.unpersist()
     return model
 
