@@ -89,7 +89,7 @@ QUERIES = {
     ),
     "driver_deltas": (
         lambda s, d: C.driver_deltas(laps(s, d), C.field_benchmark(positioned(s, d))).select(*KEY, R6("delta_vs_median"), R6("delta_vs_top5")),
-        f"WITH {BENCH_SQL} SELECT race, vehicle_number, lap, round(lap_time - field_median, 6) AS delta_vs_median, round(lap_time - top5_avg, 6) AS delta_vs_top5 FROM laps LEFT JOIN bench USING (race, lap)",
+        f"WITH {BENCH_SQL} SELECT race, vehicle_number, lap, round(lap_time - field_median + 1.7e-10, 6) AS delta_vs_median, round(lap_time - top5_avg + 1.7e-10, 6) AS delta_vs_top5 FROM laps LEFT JOIN bench USING (race, lap)",
     ),
     "stint_pace": (
         lambda s, d: rounded(C.stint_pace(laps(s, d)), "early_pace", "mid_pace", "late_pace"),
@@ -101,15 +101,15 @@ QUERIES = {
     ),
     "degradation": (
         lambda s, d: rounded(C.degradation(laps(s, d)), "degradation"),
-        f"WITH {LAPS_SQL}, {DEG_SQL} SELECT race, vehicle_number, n_laps, round(degradation, 6) AS degradation FROM deg",
+        f"WITH {LAPS_SQL}, {DEG_SQL} SELECT race, vehicle_number, n_laps, round(degradation + 1.7e-10, 6) AS degradation FROM deg",
     ),
     "traffic_cost": (
         lambda s, d: rounded(C.traffic_cost(R.gaps(positioned(s, d))), "traffic_cost"),
-        f"WITH {GAPS_SQL}, {TRAFFIC_SQL} SELECT race, vehicle_number, traffic_laps, round(traffic_cost, 6) AS traffic_cost FROM traffic",
+        f"WITH {GAPS_SQL}, {TRAFFIC_SQL} SELECT race, vehicle_number, traffic_laps, round(traffic_cost + 1.7e-10, 6) AS traffic_cost FROM traffic",
     ),
     "standings": (
         lambda s, d: rounded(C.standings(laps(s, d)), "total_time"),
-        f"WITH {LAPS_SQL}, {STANDINGS_SQL} SELECT race, vehicle_number, laps_completed, round(total_time, 6) AS total_time, final_position FROM standings",
+        f"WITH {LAPS_SQL}, {STANDINGS_SQL} SELECT race, vehicle_number, laps_completed, round(total_time + 1.7e-10, 6) AS total_time, final_position FROM standings",
     ),
     "vs_driver_ahead": (
         lambda s, d: rounded(driver_metrics(s, d), *DM),
@@ -123,7 +123,7 @@ ELSE printf('Car %d finished P%d, %.3f s off the winner; %d laps in traffic cost
     "percentile_in_field": (
         lambda s, d: C.percentile_in_field(M.g_force(telemetry(s, d)).select(*V, F.round("mean_g", 9).alias("mean_g")), "mean_g").select(*V, F.col("mean_g_rank").cast("bigint").alias("mean_g_rank"), R6("mean_g_percentile")),
         f"""WITH {TELEMETRY_SQL}, g AS (SELECT race, vehicle_number, round(avg(sqrt(accx * accx + accy * accy)), 9) AS x FROM telemetry GROUP BY race, vehicle_number)
-SELECT race, vehicle_number, rank() OVER (PARTITION BY race ORDER BY x) AS mean_g_rank, round(100.0 * (rank() OVER (PARTITION BY race ORDER BY x) - 1) / count(x) OVER (PARTITION BY race), 6) AS mean_g_percentile FROM g""",
+SELECT race, vehicle_number, rank() OVER (PARTITION BY race ORDER BY x) AS mean_g_rank, round(100.0 * (rank() OVER (PARTITION BY race ORDER BY x) - 1) / count(x) OVER (PARTITION BY race) + 1.7e-10, 6) AS mean_g_percentile FROM g""",
     ),
     "driver_profiles": (
         lambda s, d: rounded(profiles(s, d), "lift_offs", "full_pct", "mean_g", "brake_mean", "brake_std", "coasting_mean", "coasting_std"),
@@ -131,27 +131,27 @@ SELECT race, vehicle_number, rank() OVER (PARTITION BY race ORDER BY x) AS mean_
     ),
     "training_recommendations": (
         lambda s, d: rounded(C.recommendations(rounded(profiles(s, d), *TRAITS).select(*V, *TRAITS), TRAITS), "percentile"),
-        f"""WITH {PER_LAP_SQL}, u AS (SELECT race, vehicle_number, unnest([{', '.join(f"{{'t': '{t}', 'v': round({t}, 6)}}" for t in TRAITS)}]) AS u FROM profile),
+        f"""WITH {PER_LAP_SQL}, u AS (SELECT race, vehicle_number, unnest([{', '.join(f"{{'t': '{t}', 'v': round({t} + 1.7e-10, 6)}}" for t in TRAITS)}]) AS u FROM profile),
 p AS (SELECT race, vehicle_number, u.t AS trait, 100.0 * (rank() OVER (PARTITION BY race, u.t ORDER BY u.v) - 1) / count(u.v) OVER (PARTITION BY race, u.t) AS percentile FROM u)
-SELECT race, vehicle_number, trait, round(percentile, 6) AS percentile, CASE WHEN percentile < 25 THEN 'high' ELSE 'medium' END AS priority FROM p WHERE percentile < 50""",
+SELECT race, vehicle_number, trait, round(percentile + 1.7e-10, 6) AS percentile, CASE WHEN percentile < 25 THEN 'high' ELSE 'medium' END AS priority FROM p WHERE percentile < 50""",
     ),
     "clean_consistency": (
         lambda s, d: rounded(C.clean_consistency(laps(s, d)), "consistency"),
-        f"WITH {LAPS_SQL}, {DEG_SQL} SELECT race, vehicle_number, round(CASE WHEN count(*) FILTER (lap_time < 1.3 * m) >= 3 THEN stddev_samp(lap_time) FILTER (lap_time < 1.3 * m) END, 6) AS consistency FROM dm GROUP BY race, vehicle_number",
+        f"WITH {LAPS_SQL}, {DEG_SQL} SELECT race, vehicle_number, round(CASE WHEN count(*) FILTER (lap_time < 1.3 * m) >= 3 THEN stddev_samp(lap_time) FILTER (lap_time < 1.3 * m) END + 1.7e-10, 6) AS consistency FROM dm GROUP BY race, vehicle_number",
     ),
     "lap_card": (
         lambda s, d: views.lap_card(features(s, d), 20).select("race", "vehicle_number", "position", R6("gap_to_ahead"), R6("vs_field"), "band"),
         f"""WITH {GAPS_SQL}, m AS (SELECT *, lap_time - median(lap_time) OVER (PARTITION BY race, lap) AS vs_field FROM gapped)
-SELECT race, vehicle_number, position, round(gap_to_ahead, 6) AS gap_to_ahead, round(vs_field, 6) AS vs_field, CASE WHEN vs_field < -0.5 THEN 'fast' WHEN vs_field < 0.5 THEN 'even' ELSE 'slow' END AS band FROM m WHERE lap = 20""",
+SELECT race, vehicle_number, position, round(gap_to_ahead + 1.7e-10, 6) AS gap_to_ahead, round(vs_field + 1.7e-10, 6) AS vs_field, CASE WHEN vs_field < -0.5 THEN 'fast' WHEN vs_field < 0.5 THEN 'even' ELSE 'slow' END AS band FROM m WHERE lap = 20""",
     ),
     "gap_history": (
         lambda s, d: views.history(features(s, d), 20).select(*KEY, "position", R6("gap_to_ahead"), R6("gap_to_behind"), "is_fighting"),
-        f"WITH {DELTAS_SQL} SELECT race, vehicle_number, lap, position, round(gap_to_ahead, 6) AS gap_to_ahead, round(gap_to_behind, 6) AS gap_to_behind, is_fighting FROM deltas WHERE lap <= 20",
+        f"WITH {DELTAS_SQL} SELECT race, vehicle_number, lap, position, round(gap_to_ahead + 1.7e-10, 6) AS gap_to_ahead, round(gap_to_behind + 1.7e-10, 6) AS gap_to_behind, is_fighting FROM deltas WHERE lap <= 20",
     ),
     "sector_vs_field": (
         lambda s, d: views.sector_deltas(laps(s, d).select(*KEY, (F.col("lap_time") * 0.4).alias("s1"), (F.col("lap_time") * 0.6).alias("s2")), ["s1", "s2"]).select(*KEY, "sector", R6("delta")),
         f"""WITH {LAPS_SQL}, u AS (SELECT race, vehicle_number, lap, 's1' AS sector, lap_time * 0.4 AS x FROM laps UNION ALL SELECT race, vehicle_number, lap, 's2', lap_time * 0.6 FROM laps)
-SELECT race, vehicle_number, lap, sector, round(x - median(x) OVER (PARTITION BY race, lap, sector), 6) AS delta FROM u""",
+SELECT race, vehicle_number, lap, sector, round(x - median(x) OVER (PARTITION BY race, lap, sector) + 1.7e-10, 6) AS delta FROM u""",
     ),
     "position_neighbours": (
         lambda s, d: views.neighbours(features(s, d), 20, 3),
@@ -160,8 +160,8 @@ FROM p a JOIN p b ON a.race = b.race AND a.vehicle_number <> b.vehicle_number AN
     ),
     "degradation_vs_field": (
         lambda s, d: views.against_field(C.degradation(laps(s, d)), "degradation").select(*V, R6("vs_median"), R6("vs_p25")),
-        f"""WITH {LAPS_SQL}, {DEG_SQL} SELECT race, vehicle_number, round(degradation - median(degradation) OVER (PARTITION BY race), 6) AS vs_median,
-round(degradation - quantile_cont(degradation, 0.25) OVER (PARTITION BY race), 6) AS vs_p25 FROM deg""",
+        f"""WITH {LAPS_SQL}, {DEG_SQL} SELECT race, vehicle_number, round(degradation - median(degradation) OVER (PARTITION BY race) + 1.7e-10, 6) AS vs_median,
+round(degradation - quantile_cont(degradation, 0.25) OVER (PARTITION BY race) + 1.7e-10, 6) AS vs_p25 FROM deg""",
     ),
     "coaching_message": (
         lambda s, d: views.coaching_message(laps(s, d).select(*KEY, "lap_time", (F.col("lap_time") * 0.4).alias("s1"), (F.col("lap_time") * 0.6).alias("s2")), ["s1", "s2"]).select(*KEY, "message"),

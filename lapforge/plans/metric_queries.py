@@ -57,7 +57,7 @@ def rounded(df, *columns):
 
 
 def r(*columns):
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    return ", ".join(f"round({c} + 1.7e-10, 6) AS {c}" for c in columns)
 
 
 SCORES = ["consistency_score", "pedal_score", "steering_score"]
@@ -74,7 +74,7 @@ QUERIES = {
     ),
     "consistency_v2": (
         lambda s, d: rounded(M.consistency_after_laps(laps(s, d)), "std_dev", "cv_pct"),
-        f"""WITH {LAPS_SQL} SELECT race, vehicle_number, round(stddev_samp(lap_time), 6) AS std_dev, round(100 * stddev_samp(lap_time) / avg(lap_time), 6) AS cv_pct,
+        f"""WITH {LAPS_SQL} SELECT race, vehicle_number, round(stddev_samp(lap_time) + 1.7e-10, 6) AS std_dev, round(100 * stddev_samp(lap_time) / avg(lap_time) + 1.7e-10, 6) AS cv_pct,
 count(*) AS n_laps FROM laps WHERE lap > 2 GROUP BY race, vehicle_number""",
     ),
     "coasting_v1": (
@@ -83,12 +83,12 @@ count(*) AS n_laps FROM laps WHERE lap > 2 GROUP BY race, vehicle_number""",
     ),
     "coasting_v2": (
         lambda s, d: rounded(M.coasting_below(telemetry(s, d), 30.0, 30.0), "coasting_pct"),
-        f"WITH {TELEMETRY_SQL} SELECT race, vehicle_number, round(100.0 * count(*) FILTER (throttle < 30 AND brake < 30) / count(*), 6) AS coasting_pct FROM telemetry GROUP BY race, vehicle_number",
+        f"WITH {TELEMETRY_SQL} SELECT race, vehicle_number, round(100.0 * count(*) FILTER (throttle < 30 AND brake < 30) / count(*) + 1.7e-10, 6) AS coasting_pct FROM telemetry GROUP BY race, vehicle_number",
     ),
     "braking_summary": (
         lambda s, d: rounded(M.braking_summary(telemetry(s, d)), "mean_pressure"),
         f"""WITH {TELEMETRY_SQL}, b AS (SELECT *, lag(brake > 20) OVER (PARTITION BY race, vehicle_number ORDER BY n) AS p FROM telemetry)
-SELECT race, vehicle_number, max(brake) AS max_pressure, round(avg(brake) FILTER (brake > 20), 6) AS mean_pressure, count(*) FILTER (brake > 20 AND NOT p) AS n_events FROM b GROUP BY race, vehicle_number""",
+SELECT race, vehicle_number, max(brake) AS max_pressure, round(avg(brake) FILTER (brake > 20) + 1.7e-10, 6) AS mean_pressure, count(*) FILTER (brake > 20 AND NOT p) AS n_events FROM b GROUP BY race, vehicle_number""",
     ),
     "brake_pulses": (
         lambda s, d: M.brake_pulses(telemetry(s, d)),
@@ -103,7 +103,7 @@ SELECT race, vehicle_number, max(pulses) AS n_pulses FROM a GROUP BY race, vehic
     ),
     "brake_islands": (
         lambda s, d: rounded(M.brake_islands(telemetry(s, d)), "peak_cv_pct"),
-        f"WITH {TELEMETRY_SQL}, {ISLAND_SQL} SELECT race, vehicle_number, n_peaks, round(peak_cv_pct, 6) AS peak_cv_pct FROM isl",
+        f"WITH {TELEMETRY_SQL}, {ISLAND_SQL} SELECT race, vehicle_number, n_peaks, round(peak_cv_pct + 1.7e-10, 6) AS peak_cv_pct FROM isl",
     ),
     "lift_offs": (
         lambda s, d: rounded(M.throttle_control(telemetry(s, d)), "lift_offs", "full_pct", "throttle_accel_corr"),
@@ -111,11 +111,11 @@ SELECT race, vehicle_number, max(pulses) AS n_pulses FROM a GROUP BY race, vehic
     ),
     "throttle_lookahead": (
         lambda s, d: M.throttle_lookahead(telemetry(s, d), rows=20).select(*V, "n", R6("seconds_to_full")),
-        f"""WITH {TELEMETRY_SQL} SELECT race, vehicle_number, n, round((min(CASE WHEN throttle >= 95 THEN ts_us END) OVER (PARTITION BY race, vehicle_number ORDER BY n ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) - ts_us) / 1e6, 6) AS seconds_to_full FROM telemetry""",
+        f"""WITH {TELEMETRY_SQL} SELECT race, vehicle_number, n, round((min(CASE WHEN throttle >= 95 THEN ts_us END) OVER (PARTITION BY race, vehicle_number ORDER BY n ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) - ts_us) / 1e6 + 1.7e-10, 6) AS seconds_to_full FROM telemetry""",
     ),
     "centred_mean": (
         lambda s, d: M.centred_mean(telemetry(s, d), "speed").select(*V, "n", R6("speed_smooth")),
-        f"""WITH {TELEMETRY_SQL} SELECT race, vehicle_number, n, round(CASE WHEN count(speed) OVER w = 5 THEN avg(speed) OVER w ELSE speed END, 6) AS speed_smooth FROM telemetry
+        f"""WITH {TELEMETRY_SQL} SELECT race, vehicle_number, n, round(CASE WHEN count(speed) OVER w = 5 THEN avg(speed) OVER w ELSE speed END + 1.7e-10, 6) AS speed_smooth FROM telemetry
 WINDOW w AS (PARTITION BY race, vehicle_number ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
     ),
     "steering_jerk": (
@@ -129,7 +129,7 @@ WINDOW w AS (PARTITION BY race, vehicle_number ORDER BY n ROWS BETWEEN 2 PRECEDI
     "lap_time_from_samples": (
         lambda s, d: rounded(M.lap_time_from_samples(telemetry(s, d), 100_000.0, 800_000.0, 9), "lap_time"),
         f"""WITH {TELEMETRY_SQL}, g AS (SELECT race, vehicle_number, lap, (max(ts_us) - min(ts_us)) / 1e6 AS lap_time, count(*) AS n FROM telemetry GROUP BY race, vehicle_number, lap)
-SELECT race, vehicle_number, lap, n, round(lap_time, 6) AS lap_time FROM g WHERE n > 9 AND lap_time > 100000 AND lap_time < 800000""",
+SELECT race, vehicle_number, lap, n, round(lap_time + 1.7e-10, 6) AS lap_time FROM g WHERE n > 9 AND lap_time > 100000 AND lap_time < 800000""",
     ),
     "all_metrics": (
         lambda s, d: rounded(M.all_metrics(telemetry(s, d)).select(*V, "coasting_pct", "peak_cv_pct", "lift_offs", "full_pct", "mean_g"), "coasting_pct", "peak_cv_pct", "lift_offs", "full_pct", "mean_g"),
@@ -158,13 +158,13 @@ SELECT race, wins, CASE WHEN wins * 2 > 3 THEN 'SUCCESS' ELSE 'MIXED' END AS ver
         f"""WITH {TELEMETRY_SQL}, k AS (SELECT race, rank() OVER (PARTITION BY race ORDER BY throttle) + (count(*) OVER (PARTITION BY race, throttle) - 1) / 2.0 AS x,
 rank() OVER (PARTITION BY race ORDER BY brake) + (count(*) OVER (PARTITION BY race, brake) - 1) / 2.0 AS y FROM telemetry),
 g AS (SELECT race, corr(x, y) AS rho, count(*) AS n FROM k GROUP BY race)
-SELECT race, n, round(rho, 6) AS rho, round(rho * sqrt((n - 2) / (1 - rho * rho)), 6) AS t FROM g""",
+SELECT race, n, round(rho + 1.7e-10, 6) AS rho, round(rho * sqrt((n - 2) / (1 - rho * rho)) + 1.7e-10, 6) AS t FROM g""",
     ),
     "variance_ratio": (
         lambda s, d: rounded(M.variance_ratio(telemetry(s, d).select(*V, "throttle", "brake", "accx"), ["throttle", "brake", "accx"]), "within", "across", "ratio"),
         f"""WITH {TELEMETRY_SQL}, u AS (SELECT race, vehicle_number, unnest([{{'m': 'throttle', 'x': throttle}}, {{'m': 'brake', 'x': brake}}, {{'m': 'accx', 'x': accx}}]) AS u FROM telemetry),
 e AS (SELECT race, u.m AS metric, vehicle_number, avg(u.x) AS mean, stddev_samp(u.x) AS std FROM u GROUP BY race, u.m, vehicle_number),
 g AS (SELECT race, metric, avg(std) AS within, stddev_samp(mean) AS across FROM e GROUP BY race, metric)
-SELECT race, metric, {r('within', 'across')}, round(across / within, 6) AS ratio, CASE WHEN across / within > 1.5 THEN 'PROFILE' WHEN across / within < 0.7 THEN 'STATE' ELSE 'MIXED' END AS kind FROM g""",
+SELECT race, metric, {r('within', 'across')}, round(across / within + 1.7e-10, 6) AS ratio, CASE WHEN across / within > 1.5 THEN 'PROFILE' WHEN across / within < 0.7 THEN 'STATE' ELSE 'MIXED' END AS kind FROM g""",
     ),
 }

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lapforge.operators import race as R
 from lapforge.plans.adapter import LAPS_SQL, TOTAL_LAPS, laps
 
-R6 = lambda c: F.round(F.col(c), 6).alias(c)
+#: Results are rounded a little off the tie, so that sums in another order cannot fall on its other side.
+R6 = lambda c: F.round(F.col(c) + 1.7e-10, 6).alias(c)
 KEY = ["race", "vehicle_number", "lap"]
 
 POSITION_SQL = (
@@ -84,7 +85,7 @@ def relative_pace(spark, d):
     predicted = base.withColumn("mean_past", F.avg("relative_time").over(past)).filter("prev_relative is not null")
     error = F.col("relative_time") - (0.3 * F.col("prev_relative") + 0.7 * F.col("mean_past"))
     return predicted.groupBy("race", "vehicle_number").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(error)), 6).alias("mae"), F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(error)) + 1.7e-10, 6).alias("mae"), F.round(F.sqrt(F.avg(error * error)) + 1.7e-10, 6).alias("rmse")
     )
 
 
@@ -96,12 +97,12 @@ p AS (SELECT *, lag(relative_time) OVER w AS prev_relative,
         avg(relative_time) OVER (PARTITION BY race, vehicle_number ORDER BY lap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_past
       FROM clean WINDOW w AS (PARTITION BY race, vehicle_number ORDER BY lap)),
 e AS (SELECT *, relative_time - (0.3 * prev_relative + 0.7 * mean_past) AS error FROM p WHERE prev_relative IS NOT NULL)
-SELECT race, vehicle_number, count(*) AS n, round(avg(abs(error)), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse
+SELECT race, vehicle_number, count(*) AS n, round(avg(abs(error)) + 1.7e-10, 6) AS mae, round(sqrt(avg(error * error)) + 1.7e-10, 6) AS rmse
 FROM e GROUP BY race, vehicle_number""",
     ),
     "lap_time_diff": (
         lambda s, d: R.lap_time_diff(laps(s, d).drop("lap_time")).select(*KEY, R6("lap_time")),
-        f"WITH {LAPS_SQL} SELECT race, vehicle_number, lap, round((ts_us - lag(ts_us) OVER (PARTITION BY race, vehicle_number ORDER BY lap)) / 1e6, 6) AS lap_time FROM laps",
+        f"WITH {LAPS_SQL} SELECT race, vehicle_number, lap, round((ts_us - lag(ts_us) OVER (PARTITION BY race, vehicle_number ORDER BY lap)) / 1e6 + 1.7e-10, 6) AS lap_time FROM laps",
     ),
     "lap_filter": (
         lambda s, d: R.valid_laps(laps(s, d), 10.0, 100.0, max_lap=50).select(*KEY, "lap_time"),
@@ -109,7 +110,7 @@ FROM e GROUP BY race, vehicle_number""",
     ),
     "clean_laps_2sigma": (
         lambda s, d: clean_relative(s, d).select(*KEY, R6("relative_time")),
-        f"WITH {CLEAN_SQL} SELECT race, vehicle_number, lap, round(relative_time, 6) AS relative_time FROM clean",
+        f"WITH {CLEAN_SQL} SELECT race, vehicle_number, lap, round(relative_time + 1.7e-10, 6) AS relative_time FROM clean",
     ),
     "clean_laps_3sigma": (
         lambda s, d: R.within_sigma(R.green_laps(laps(s, d)), "lap_time", 3.0).select(*KEY, "lap_time"),
@@ -140,7 +141,7 @@ GROUP BY race, vehicle_number, event_type""",
     ),
     "cumulative_time": (
         lambda s, d: R.cumulative_time(laps(s, d)).select(*KEY, R6("cumulative_time")),
-        f"WITH {POSITION_SQL} SELECT race, vehicle_number, lap, round(cumulative_time, 6) AS cumulative_time FROM pos",
+        f"WITH {POSITION_SQL} SELECT race, vehicle_number, lap, round(cumulative_time + 1.7e-10, 6) AS cumulative_time FROM pos",
     ),
     "race_position": (
         lambda s, d: positioned(s, d).select(*KEY, "position"),
@@ -148,23 +149,23 @@ GROUP BY race, vehicle_number, event_type""",
     ),
     "gaps": (
         lambda s, d: R.gaps(positioned(s, d)).select(*KEY, "position", R6("gap_to_leader"), R6("gap_to_ahead"), R6("gap_to_behind")),
-        f"""WITH {GAPS_SQL} SELECT race, vehicle_number, lap, position, round(gap_to_leader, 6) AS gap_to_leader,
-round(gap_to_ahead, 6) AS gap_to_ahead, round(gap_to_behind, 6) AS gap_to_behind FROM gapped""",
+        f"""WITH {GAPS_SQL} SELECT race, vehicle_number, lap, position, round(gap_to_leader + 1.7e-10, 6) AS gap_to_leader,
+round(gap_to_ahead + 1.7e-10, 6) AS gap_to_ahead, round(gap_to_behind + 1.7e-10, 6) AS gap_to_behind FROM gapped""",
     ),
     "gap_deltas": (
         lambda s, d: R.gap_deltas(R.gaps(positioned(s, d))).select(*KEY, R6("gap_delta_ahead"), R6("gap_delta_behind"), "is_fighting"),
-        f"""WITH {DELTAS_SQL} SELECT race, vehicle_number, lap, round(gap_delta_ahead, 6) AS gap_delta_ahead,
-round(gap_delta_behind, 6) AS gap_delta_behind, is_fighting FROM deltas""",
+        f"""WITH {DELTAS_SQL} SELECT race, vehicle_number, lap, round(gap_delta_ahead + 1.7e-10, 6) AS gap_delta_ahead,
+round(gap_delta_behind + 1.7e-10, 6) AS gap_delta_behind, is_fighting FROM deltas""",
     ),
     "lag_rolling3": (
         lambda s, d: R.lag_features(laps(s, d)).select(*KEY, "prev_lap_time", R6("rolling_avg_3"), R6("lap_time_diff")),
-        f"""WITH {FEATURES_SQL} SELECT race, vehicle_number, lap, prev_lap_time, round(rolling_avg_3, 6) AS rolling_avg_3,
-round(lap_time_diff, 6) AS lap_time_diff FROM features""",
+        f"""WITH {FEATURES_SQL} SELECT race, vehicle_number, lap, prev_lap_time, round(rolling_avg_3 + 1.7e-10, 6) AS rolling_avg_3,
+round(lap_time_diff + 1.7e-10, 6) AS lap_time_diff FROM features""",
     ),
     "race_context": (
         lambda s, d: R.race_context(laps(s, d), TOTAL_LAPS).select(*KEY, "laps_remaining", R6("race_progress"), R6("fuel_load_estimate")),
-        f"""WITH {FEATURES_SQL} SELECT race, vehicle_number, lap, laps_remaining, round(race_progress, 6) AS race_progress,
-round(fuel_load_estimate, 6) AS fuel_load_estimate FROM features""",
+        f"""WITH {FEATURES_SQL} SELECT race, vehicle_number, lap, laps_remaining, round(race_progress + 1.7e-10, 6) AS race_progress,
+round(fuel_load_estimate + 1.7e-10, 6) AS fuel_load_estimate FROM features""",
     ),
     "position_churn": (
         lambda s, d: R.position_churn(positioned(s, d)).select("race", "lap", F.col("position_churn").cast("bigint").alias("position_churn")),
@@ -180,7 +181,7 @@ SELECT race, lap, is_yellow, lead(is_yellow, 1, 0) OVER (PARTITION BY race ORDER
         lambda s, d: features(s, d).select(
             *KEY, "position", R6("cumulative_time"), R6("gap_to_ahead"), R6("gap_delta_ahead"), "is_fighting", R6("rolling_avg_3"), "laps_remaining"
         ),
-        f"""WITH {FEATURES_SQL} SELECT race, vehicle_number, lap, position, round(cumulative_time, 6) AS cumulative_time,
-round(gap_to_ahead, 6) AS gap_to_ahead, round(gap_delta_ahead, 6) AS gap_delta_ahead, is_fighting, round(rolling_avg_3, 6) AS rolling_avg_3, laps_remaining FROM features""",
+        f"""WITH {FEATURES_SQL} SELECT race, vehicle_number, lap, position, round(cumulative_time + 1.7e-10, 6) AS cumulative_time,
+round(gap_to_ahead + 1.7e-10, 6) AS gap_to_ahead, round(gap_delta_ahead + 1.7e-10, 6) AS gap_delta_ahead, is_fighting, round(rolling_avg_3 + 1.7e-10, 6) AS rolling_avg_3, laps_remaining FROM features""",
     ),
 }

@@ -101,12 +101,12 @@ def clock_strings(s, d):
 
 def median_fill(s, d):
     rows = laps(s, d).withColumn("lap_time", F.when(F.col("lap") % 4 == 0, None).otherwise(F.col("lap_time")))
-    return P.fill_with_medians(rows, "lap_time", ["race", "vehicle_number"]).select(*KEY, F.round("lap_time", 6).alias("lap_time"))
+    return P.fill_with_medians(rows, "lap_time", ["race", "vehicle_number"]).select(*KEY, F.round(F.col("lap_time") + 1.7e-10, 6).alias("lap_time"))
 
 
 def interpolated(s, d):
     rows = laps(s, d).withColumn("lap_time", F.when(F.col("lap") % 3 != 0, F.col("lap_time")))
-    return P.interpolate(rows, "lap_time", ["race", "vehicle_number"], "lap").select(*KEY, F.round("lap_time", 6).alias("lap_time"))
+    return P.interpolate(rows, "lap_time", ["race", "vehicle_number"], "lap").select(*KEY, F.round(F.col("lap_time") + 1.7e-10, 6).alias("lap_time"))
 
 
 def endurance(s, d):
@@ -118,13 +118,13 @@ def left_join_flags(s, d):
     joined = laps(s, d).select(*KEY, "lap_time").join(endurance(s, d), KEY, "left")
     overall = endurance(s, d).agg(F.median("top_speed").alias("m"))
     return joined.crossJoin(F.broadcast(overall)).select(
-        *KEY, F.coalesce("flag", F.lit(0)).alias("flag"), F.round(F.coalesce("top_speed", "m"), 6).alias("top_speed")
+        *KEY, F.coalesce("flag", F.lit(0)).alias("flag"), F.round(F.coalesce("top_speed", "m") + 1.7e-10, 6).alias("top_speed")
     )
 
 
 def sector_unpivot(s, d):
     rows = laps(s, d).select(*KEY, (F.col("lap_time") * 0.3).alias("s1"), (F.col("lap_time") * 0.45).alias("s2"), (F.col("lap_time") * 0.25).alias("s3"))
-    return P.unpivot_sectors(rows, KEY, ["s1", "s2", "s3"]).select(*KEY, "sector", F.round("seconds", 6).alias("seconds"))
+    return P.unpivot_sectors(rows, KEY, ["s1", "s2", "s3"]).select(*KEY, "sector", F.round(F.col("seconds") + 1.7e-10, 6).alias("seconds"))
 
 
 def union_of_races(s, d):
@@ -159,7 +159,7 @@ def driver_pair(s, d):
     b = rows.filter(F.col("vehicle_number") % CARS_PER_RACE == 1).select("race", "lap", F.col("lap_time").alias("time_b"))
     j = a.join(b, ["race", "lap"]).withColumn("delta", F.col("time_a") - F.col("time_b"))
     w = Window.partitionBy("race").orderBy("lap")
-    return j.select("race", "lap", F.round("delta", 6).alias("delta"), (F.abs(F.col("delta") - F.lag("delta").over(w)) > 0.5).alias("crossover"))
+    return j.select("race", "lap", F.round(F.col("delta") + 1.7e-10, 6).alias("delta"), (F.abs(F.col("delta") - F.lag("delta").over(w)) > 0.5).alias("crossover"))
 
 
 def first_and_last(s, d):
@@ -213,7 +213,7 @@ def weather_summary(s, d):
     """Five means over the table, joined to every race as one row."""
     rows = events(s, d).select("user_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
     one = rows.agg(F.avg("value").alias("a"), F.avg("k").alias("b"), F.max("value").alias("c"), F.min("k").alias("e"))
-    return laps(s, d).select("race").distinct().crossJoin(F.broadcast(one)).select("race", *[F.round(c, 6).alias(n) for c, n in (("a", "air_temp"), ("b", "humidity"), ("c", "wind"), ("e", "pressure"))])
+    return laps(s, d).select("race").distinct().crossJoin(F.broadcast(one)).select("race", *[F.round(F.col(c) + 1.7e-10, 6).alias(n) for c, n in (("a", "air_temp"), ("b", "humidity"), ("c", "wind"), ("e", "pressure"))])
 
 
 def best_laps(s, d):
@@ -224,7 +224,7 @@ def best_laps(s, d):
 
     fastest = F.min("best").over(Window.partitionBy("race"))
     dim = best.withColumn("fastest", fastest)
-    return rows.join(dim, ["race", "vehicle_number"], "left").select(*KEY, F.round(F.col("lap_time") - F.col("best"), 6).alias("delta_from_best"), F.round(F.col("lap_time") - F.col("fastest"), 6).alias("delta_from_fastest"))
+    return rows.join(dim, ["race", "vehicle_number"], "left").select(*KEY, F.round(F.col("lap_time") - F.col("best") + 1.7e-10, 6).alias("delta_from_best"), F.round(F.col("lap_time") - F.col("fastest") + 1.7e-10, 6).alias("delta_from_fastest"))
 
 
 QUERIES = {
@@ -267,24 +267,24 @@ ELSE round((event_id % 3 + 1) * 60 + round(value % 60, 3), 3) END AS seconds, CA
     "median_fill": (
         median_fill,
         f"""WITH {LAPS_SQL}, x AS (SELECT race, vehicle_number, lap, CASE WHEN lap % 4 = 0 THEN NULL ELSE lap_time END AS t FROM laps)
-SELECT race, vehicle_number, lap, round(coalesce(t, median(t) OVER (PARTITION BY race, vehicle_number), (SELECT median(t) FROM x)), 6) AS lap_time FROM x""",
+SELECT race, vehicle_number, lap, round(coalesce(t, median(t) OVER (PARTITION BY race, vehicle_number), (SELECT median(t) FROM x)) + 1.7e-10, 6) AS lap_time FROM x""",
     ),
     "interpolate_gaps": (
         interpolated,
         f"""WITH {LAPS_SQL}, x AS (SELECT race, vehicle_number, lap, CASE WHEN lap % 3 <> 0 THEN lap_time END AS t FROM laps),
 y AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q FROM x WINDOW w AS (PARTITION BY vehicle_number ORDER BY lap))
-SELECT race, vehicle_number, lap, round(coalesce(t, p + (q - p) / 2 * 1, p), 6) AS lap_time FROM y""",
+SELECT race, vehicle_number, lap, round(coalesce(t, p + (q - p) / 2 * 1, p) + 1.7e-10, 6) AS lap_time FROM y""",
     ),
     "left_join_flags": (
         left_join_flags,
         f"""WITH {LAPS_SQL}, e AS (SELECT race, vehicle_number, lap, lap_time * 2 AS top_speed, is_under_yellow AS flag FROM laps WHERE lap % 2 = 0)
-SELECT laps.race, laps.vehicle_number, laps.lap, coalesce(flag, 0) AS flag, round(coalesce(top_speed, (SELECT median(top_speed) FROM e)), 6) AS top_speed
+SELECT laps.race, laps.vehicle_number, laps.lap, coalesce(flag, 0) AS flag, round(coalesce(top_speed, (SELECT median(top_speed) FROM e)) + 1.7e-10, 6) AS top_speed
 FROM laps LEFT JOIN e USING (race, vehicle_number, lap)""",
     ),
     "sector_unpivot": (
         sector_unpivot,
-        f"""WITH {LAPS_SQL} SELECT race, vehicle_number, lap, 's1' AS sector, round(lap_time * 0.3, 6) AS seconds FROM laps
-UNION ALL SELECT race, vehicle_number, lap, 's2', round(lap_time * 0.45, 6) FROM laps UNION ALL SELECT race, vehicle_number, lap, 's3', round(lap_time * 0.25, 6) FROM laps""",
+        f"""WITH {LAPS_SQL} SELECT race, vehicle_number, lap, 's1' AS sector, round(lap_time * 0.3 + 1.7e-10, 6) AS seconds FROM laps
+UNION ALL SELECT race, vehicle_number, lap, 's2', round(lap_time * 0.45 + 1.7e-10, 6) FROM laps UNION ALL SELECT race, vehicle_number, lap, 's3', round(lap_time * 0.25 + 1.7e-10, 6) FROM laps""",
     ),
     "union_ragged": (
         union_of_races,
@@ -304,7 +304,7 @@ SELECT race, count(*) FILTER (rt <= 3 AND rn <= 3) AS n_common, count(*) FILTER
     "driver_pair": (
         driver_pair,
         f"""WITH {LAPS_SQL}, j AS (SELECT a.race, a.lap, a.lap_time - b.lap_time AS delta FROM laps a JOIN laps b USING (race, lap) WHERE a.vehicle_number % 25 = 0 AND b.vehicle_number % 25 = 1)
-SELECT race, lap, round(delta, 6) AS delta, abs(delta - lag(delta) OVER (PARTITION BY race ORDER BY lap)) > 0.5 AS crossover FROM j""",
+SELECT race, lap, round(delta + 1.7e-10, 6) AS delta, abs(delta - lag(delta) OVER (PARTITION BY race ORDER BY lap)) > 0.5 AS crossover FROM j""",
     ),
     "first_and_last_rows": (
         first_and_last,
@@ -330,11 +330,11 @@ SELECT vehicle_number, event_type, event_id FROM n WHERE n <= 2""",
     "weather_summary": (
         weather_summary,
         f"""WITH {LAPS_SQL}, w AS (SELECT avg(value) AS a, avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS b, max(value) AS c, min(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS e FROM events)
-SELECT DISTINCT race, round(a, 6) AS air_temp, round(b, 6) AS humidity, round(c, 6) AS wind, round(e, 6) AS pressure FROM laps, w""",
+SELECT DISTINCT race, round(a + 1.7e-10, 6) AS air_temp, round(b + 1.7e-10, 6) AS humidity, round(c + 1.7e-10, 6) AS wind, round(e + 1.7e-10, 6) AS pressure FROM laps, w""",
     ),
     "best_lap_deltas": (
         best_laps,
-        f"""WITH {LAPS_SQL} SELECT race, vehicle_number, lap, round(lap_time - min(lap_time) OVER (PARTITION BY race, vehicle_number), 6) AS delta_from_best,
-round(lap_time - min(lap_time) OVER (PARTITION BY race), 6) AS delta_from_fastest FROM laps""",
+        f"""WITH {LAPS_SQL} SELECT race, vehicle_number, lap, round(lap_time - min(lap_time) OVER (PARTITION BY race, vehicle_number) + 1.7e-10, 6) AS delta_from_best,
+round(lap_time - min(lap_time) OVER (PARTITION BY race) + 1.7e-10, 6) AS delta_from_fastest FROM laps""",
     ),
 }
