@@ -46,10 +46,7 @@ def build(values: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def unpacked(bits: np.ndarray) -> np.ndarray:
-    return np.unpackbits(bits).view(bool)
-
-
-def may_hold(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values may have been put in; table as unpacked() gives it."""
-    return table[_place(values)]
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may have been put in."""
+    at = _place(values)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

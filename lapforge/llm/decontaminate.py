@@ -97,7 +97,7 @@ def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     widest = max(map(len, MASKS))
 
     def run(batches):
-        table = bitfilter.unpacked(shared.value)
+        table = shared.value
         for batch in batches:
             ids = batch.column(0)
             out = []

@@ -136,37 +136,37 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x CELLS numbers
     schema = docs.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at_text = rows.columns.index("text")
+
+    def scored(m, data, offsets):
+        """(languages, posteriors) of the texts of one pass."""
+        n = len(offsets) - 1
+        if not len(data) or not m.languages:
+            return [UNKNOWN] * n, np.zeros(n)
+        orders, starts, n_letters = _grams(data, offsets)
+        sums = np.tile(m.prior, (n, 1))
+        for k in range(len(m.languages)):
+            row = m.weights[k]
+            for cells in orders:
+                sums[:, k] += np.add.reduceat(row[cells], starts, dtype=np.float64)
+        top = sums.argmax(axis=1)
+        sure = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        known = n_letters > 0
+        names = [m.languages[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), known.tolist(), strict=True)]
+        return names, np.where(known, sure, 0.0)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            data, offsets = utf8(_lowered(text))
-            best: list[str] = []
-            score = []
+            data, offsets = utf8(_lowered(batch.column(at_text)))
             for i, j in passes(offsets):
-                if offsets[j] == offsets[i] or not m.languages:
-                    best += [UNKNOWN] * (j - i)
-                    score.append(np.zeros(j - i))
-                    continue
-                orders, starts, n_letters = _grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums = np.tile(m.prior, (j - i, 1))
-                for k in range(len(m.languages)):
-                    row = m.weights[k]
-                    for cells in orders:
-                        sums[:, k] += np.add.reduceat(row[cells], starts, dtype=np.float64)
-                top = sums.argmax(axis=1)
-                post = np.exp(sums - sums.max(axis=1, keepdims=True))
-                sure = 1.0 / post.sum(axis=1)
-                known = n_letters > 0
-                best += [m.languages[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), known.tolist(), strict=True)]
-                score.append(np.where(known, sure, 0.0))
-            scores = np.concatenate(score) if score else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(best, pa.string()), pa.array(scores)], [*batch.schema.names[:-1], "lang_pred", "score"]
-            )
+                names, score = scored(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], [*part.schema.names[: len(keep)], "lang_pred", "score"]
+                )
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
     return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
 
 
@@ -177,7 +177,7 @@ def held_out(doc_id: Column) -> Column:
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows whose language stays unknown: no letter, or no language likelier than least."""
     model = fit(docs)
-    found = identify(docs, model, tuple(c for c in docs.columns if c != "text") + ("text",))
+    found = identify(docs, model, tuple(docs.columns))
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
 
 

@@ -146,27 +146,31 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int) -> DataFrame:
     """(key, salt, cls, n, pos): the prefix shingles of each class, once per class and task."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # CELLS bytes
 
+    def pack(held):
+        heads, ids, sizes = zip(*held, strict=True)
+        lengths = np.array([len(h) for h in heads])
+        key = np.concatenate(heads)
+        cls, n = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
+        pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+        salt = np.where((key >> U64(56)) >= frequent, cls % SALTS + 1, 0).astype(np.int32)
+        columns = [pa.array(x) for x in (key.view(np.int64), salt, cls, n, pos)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "salt", "cls", "n", "pos"])
+
     def run(batches):
         seen: set[int] = set()
+        held: list[tuple] = []
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
             for keys in text_sets(batch.column(0)):
                 cls, n = _class_of(keys), len(keys)
                 if not n or cls in seen:
                     continue
                 seen.add(cls)
-                head = ordered(keys, shared.value)[: prefix_length(n)]
-                for store, values in zip(
-                    out, (head.view(np.int64), np.full(len(head), cls), np.full(len(head), n), np.arange(len(head))), strict=True
-                ):
-                    store.append(values)
-            if out[0]:
-                key, cls, n, pos = (np.concatenate(x) for x in out)
-                salt = np.where((key.view(U64) >> U64(56)) >= frequent, cls % SALTS + 1, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(salt.astype(np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))],
-                    ["key", "salt", "cls", "n", "pos"],
-                )
+                held.append((ordered(keys, shared.value)[: prefix_length(n)], cls, n))
+                if len(held) == 512:
+                    yield pack(held)
+                    held = []
+        if held:
+            yield pack(held)
 
     return docs.select("text").mapInArrow(run, "key bigint, salt int, cls bigint, n int, pos int")
 
@@ -284,16 +288,23 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bitfilter.build(pairs.select(F.explode(F.array("a", "b")))))
 
     def run(batches):
-        table, seen = bitfilter.unpacked(wanted.value), set()
+        seen: set[int] = set()
+
+        def pack(cls, keys):
+            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(keys, pa.binary())], ["cls", "keys"])
+
         for batch in batches:
             cls, keys = [], []
             for k in text_sets(batch.column(0)):
                 c = _class_of(k)
-                if len(k) and c not in seen and table[c & (bitfilter.BITS - 1)]:
+                if len(k) and c not in seen and bitfilter.may_hold(wanted.value, np.array([c]))[0]:
                     seen.add(c)
                     cls.append(c)
                     keys.append(k.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(keys, pa.binary())], ["cls", "keys"])
+                if len(cls) == 512:
+                    yield pack(cls, keys)
+                    cls, keys = [], []
+            yield pack(cls, keys)
 
     sets = docs.select("text").mapInArrow(run, "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("keys"))
     with_b = pairs.join(sets.withColumnsRenamed({"cls": "b", "keys": "keys_b"}), "b")

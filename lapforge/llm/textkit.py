@@ -15,7 +15,7 @@ _LOWER[65:91] += 32
 _tables: dict[int, np.ndarray] = {}
 
 #: Bytes of text that one pass of the kernels holds; a longer text is a pass of its own.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 500_000
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
