@@ -14,9 +14,11 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapforge.llm.storage import written
+
 SALTS = 16
 WHITESPACE = r"[\x20\x09-\x0D]+"
 _TOP = 9223372036854775807  # the largest doc_id
@@ -93,23 +95,20 @@ def exact_decisions(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    decided = exact_decisions(docs, salts).groupBy("doc_id").agg(
-        F.max(F.when(~F.col("kept"), 1).otherwise(0)).alias("some_dropped"),
-        F.max(F.when(F.col("kept"), 1).otherwise(0)).alias("some_kept"),
-    )
-    dropped = decided.filter("some_dropped = 1").select(F.col("doc_id").alias("__id"), F.col("some_kept").alias("__kept"))
-    marked = docs.join(dropped, docs["doc_id"].cast("bigint").eqNullSafe(dropped["__id"]), "left")
+    decided = written(exact_decisions(docs, salts), "decisions")
+    by_id = decided.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.bool_and("kept").alias("__all"))
+    gone = by_id.filter("not __all").drop("__all")
+    marked = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["__id"]), "left")
     untouched = marked.filter(F.col("__kept").isNull()).drop("__id", "__kept")
-    # a doc_id of which one row stays and another goes: rows that repeat a doc_id
-    repeated = marked.filter(F.col("__kept") == 1).drop("__id", "__kept")
-    if dropped.filter("__kept = 1").isEmpty():
+    if gone.filter("__kept").isEmpty():
         return untouched
-    order = F.desc(F.char_length(F.coalesce("text", F.lit(""))))
-    from pyspark.sql import Window
-
-    one = Window.partitionBy("doc_id", F.sha2(normalised(F.col("text")).cast("binary"), 256)).orderBy(order)
-    first = repeated.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    return untouched.unionByName(first)
+    # a doc_id of which one row stays and another goes: rows that repeat a doc_id
+    stays = decided.filter("kept").select(F.col("doc_id").alias("__stays"), F.col("text_sha256").alias("__digest"))
+    repeated = marked.filter("__kept").withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    here = repeated["__id"].eqNullSafe(stays["__stays"]) & (repeated["__sha"] == stays["__digest"])
+    one = Window.partitionBy("__id", "__sha").orderBy(F.desc(F.char_length(F.coalesce("text", F.lit("")))))
+    first = repeated.join(stays, here, "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
+    return untouched.unionByName(first.drop("__id", "__kept", "__sha", "__n"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -106,12 +106,15 @@ def source_budgets(sources: DataFrame, exponent: float, mixture: Mixture) -> Dat
     )
 
 
-def mix_sources(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
-    """One row per reading of a document: doc_id, source, n_tokens, epoch, block, place.
+def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per reading of a document: doc_id, source, n_tokens, epoch, block, place, and the columns carry.
 
     Within an epoch of a source documents are read by block rank, then place.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"))
+    carried = F.struct(*carry).alias("carried") if carry else F.lit(True).alias("carried")
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"), carried
+    )
     sources = _sources(rows).cache()  # one row a source
     budgets = source_budgets(sources, find_exponent(sources, mixture), mixture)
     seed = F.lit(mixture.seed)
@@ -121,6 +124,7 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
         .select(
             "d.doc_id",
             "d.source",
+            "d.carried",
             F.col("d.tokens").alias("n_tokens"),
             "n_blocks",
             "whole",
@@ -145,7 +149,7 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     place = F.xxhash64(seed, "source", "whole", "doc_id")
     within = Window.partitionBy("b_source", "b_block").orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     crossing = at.filter("in_block > room").withColumn("so_far", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).filter("so_far < room")
-    columns = ["doc_id", "source", "n_tokens", "block"]
+    columns = ["doc_id", "source", "n_tokens", "block", "carried"]
     partly = inside.select(*columns, F.col("whole").alias("epoch")).unionByName(crossing.select(*columns, F.col("whole").alias("epoch")))
     fully = dealt.filter("whole > 0").select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("epoch"))
     return fully.unionByName(partly).select(
@@ -155,6 +159,7 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
         "epoch",
         F.xxhash64(seed, "source", "epoch", "block").alias("block"),
         F.xxhash64(seed, "source", "epoch", "doc_id").alias("place"),
+        *(F.col(f"carried.`{c}`").alias(c) for c in carry),
     )
 
 

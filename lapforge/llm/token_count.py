@@ -128,11 +128,10 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text)."""
-    path = path or default_tokenizer()
+    """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text); path: as executors see it."""
 
     def run(batches):
-        counter = Counter(path)
+        counter = Counter(path or default_tokenizer())
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens: list[int] = []
