@@ -8,7 +8,6 @@ the next one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lapforge.llm.decontaminate import drop_contaminated
 from lapforge.llm.exact_dedup import drop_exact_copies
@@ -40,9 +39,7 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per reading of a document in the mixture, with its text."""
-    readings = mix_sources(docs).select("doc_id", "n_tokens", "epoch", "block", "place")
-    kept = docs.select(F.col("doc_id").cast("bigint").alias("__id"), "text", "lang", "source", "n_chars")
-    return readings.join(kept, readings["doc_id"].eqNullSafe(kept["__id"])).drop("__id")
+    return mix_sources(docs, carry=("text", "lang", "n_chars"))
 
 
 STAGES = [
