@@ -37,3 +37,9 @@ def ship_package(spark: SparkSession) -> None:
     shutil.copytree(root / "lapforge", stage / "lapforge", ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(str(Path(folder) / "lapforge"), "zip", stage))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"file://{tempfile.gettempdir()}/lapforge-checkpoints").rstrip("/")
