@@ -182,23 +182,15 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     shared = met.filter("least <> most or salt > 0").select("key", "cls", "n", "pos", "salt")
     # copies that several tasks have sent: same key and class
     once = shared.groupBy("key", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).drop("salt")
-    # prefix shingles that no other class has cannot be shared: positions and sizes leave them out
+    # how many shingles of its prefix a class shares with no other prefix: picks hubs, filters nothing
     own = Window.partitionBy("cls")
     size = F.expr(f"n - ((n * {NUM} + {DEN - 1}) div {DEN}) + 1")
-    placed = once.select(
-        "key",
-        "cls",
-        "n",
-        (F.row_number().over(own.orderBy("pos")) - 1).alias("pos"),
-        (F.col("n") - size + F.count(F.lit(1)).over(own)).cast("int").alias("left"),
-    )
-    # too few shingles left for a partner of any size that the length filter allows
-    return placed.filter(_can_link(F.ceil(F.col("n") * NUM / DEN - 1e-9)))
+    return once.select("key", "cls", "n", "pos", (size - F.count(F.lit(1)).over(own)).cast("int").alias("alone"))
 
 
-def _can_link(least_partner, pos=0):
+def _can_link(least_partner, pos):
     """Whether a posting has shingles enough, from place pos on, to link with a partner of that size (the smallest there is)."""
-    return F.ceil((F.col("n") + least_partner) * NUM / (NUM + DEN) - 1e-9) <= F.col("left") - pos
+    return F.ceil((F.col("n") + least_partner) * NUM / (NUM + DEN) - 1e-9) <= F.col("n") - pos
 
 
 def _need(a, b):
@@ -207,11 +199,8 @@ def _need(a, b):
 
 
 def _passes_filters(a, b):
-    """Length and positional filters of two posting structs (cls, n, pos, left) of one shingle.
-
-    left: the set's shingles without those of its prefix that no other class has; pos: the place among them.
-    """
-    most = F.least(a["pos"], b["pos"]) + 1 + F.least(a["left"] - a["pos"] - 1, b["left"] - b["pos"] - 1)
+    """Length and positional filters of two posting structs (cls, n, pos) of one shingle."""
+    most = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"] - 1, b["n"] - b["pos"] - 1)
     return (F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM) & (most >= _need(a, b))
 
 
@@ -220,11 +209,11 @@ def _passes_first(a, b):
 
     A pair that links passes there; at other shingles that they share it may not.
     """
-    most = F.least(a["left"] - a["pos"], b["left"] - b["pos"])
+    most = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
     return (F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM) & (most >= _need(a, b))
 
 
-_POSTING = ("cls", "n", "pos", "left")
+_POSTING = ("cls", "n", "pos")
 
 
 def _as_pair(a, b):
@@ -238,7 +227,7 @@ def _hub_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def _first_pairs(postings: DataFrame) -> DataFrame:
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct((F.col("n") - F.col("left")).alias("alone"), *_POSTING)).alias("hub"))
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", *_POSTING)).alias("hub"))
     sized = postings.join(sizes, "key")
     small = sized.filter((F.col("m") > 1) & (F.col("m") <= SMALL_LIST))
     listed = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*_POSTING))).alias("list"))  # SMALL_LIST at most
@@ -327,7 +316,7 @@ def _unsettled(postings: DataFrame, roots: DataFrame) -> DataFrame:
     that cannot first meet a partner there, be it the list's smallest member."""
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("small")).filter(F.col("m") > SMALL_LIST)
     able = postings.join(sizes, "key").filter(_can_link(F.greatest(F.col("small"), F.ceil(F.col("n") * NUM / DEN - 1e-9)), F.col("pos")))
-    labelled = able.join(roots, able["cls"] == roots["node"], "left").select("key", *_POSTING, F.coalesce("root", "cls").alias("comp"))
+    labelled = able.join(roots, able["cls"] == roots["node"], "left").select("key", "alone", *_POSTING, F.coalesce("root", "cls").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     return labelled.join(mixed.filter("c0 <> c1").select("key"), "key")
 
@@ -367,7 +356,7 @@ def class_components(docs: DataFrame) -> DataFrame:
         if last:
             pairs = _across(open_rows, outside)
         else:
-            hubs = outside.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("alone"), *_POSTING)).alias("hub"))
+            hubs = outside.groupBy("key").agg(F.min(F.struct("alone", *_POSTING)).alias("hub"))
             pairs = _hub_pairs(open_rows.select("key", *_POSTING), hubs).distinct()
         fresh = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         more = written(_verify(docs, fresh), "found")
