@@ -197,7 +197,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> ToxicityModel
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the first column is the constant."""
+    """Ridge logistic regression by Newton's method; the first column is the constant.
+
+    Columns are brought to one spread first, so that the penalty does not favour those with large numbers.
+    """
+    spread = x.std(axis=0)
+    spread[spread == 0] = 1.0
+    x = x / spread
     beta = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(steps):
@@ -206,7 +212,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
-    return beta
+    return beta / spread
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
