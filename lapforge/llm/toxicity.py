@@ -36,7 +36,7 @@ from lapforge.llm.textkit import passes, shingles, utf8, words
 BOUND = 20_000
 LEXICON_SIZE = 4000
 THRESHOLD = 0.3
-LEAST_Z, LEAST_SHARE = 5.0, 0.5
+LEAST_Z, LEAST_SHARE = 4.0, 0.5
 STEMS = range(4, 10)
 #: Letters of other scripts that look like a Latin one.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһкмтвнαεικνορτυχ", "aceopxyijsdhkmtbhaeiknoptux", strict=True))
