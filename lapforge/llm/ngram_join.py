@@ -8,7 +8,9 @@
 3. Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of each (prefix filter).
    Only those go out, keyed by shingle; shingles met by one class alone end there.
 4. Candidates pass the length and positional filters, then each distinct pair is verified once:
-   suffix filter, then exact intersection.
+   bitmap filter, suffix filter, then exact intersection. The bitmap of a set has a bit for the
+   parity of each of its cells; two sets differ in at least as many shingles as their bitmaps do in
+   bits, so pairs that differ too much end before their sets travel, and no link is lost.
    What is asked for is every component, not every pair: in a small posting list all pairs are
    candidates, in a long one each member meets the list's hub. Hub links join most of a crowd of near
    copies in linear work. Lists whose members are still in different components after that get
@@ -46,6 +48,7 @@ HUB_ROUNDS = 2
 #: Pairs across components are all verified once they are at most so many times the rows they come from.
 CROSS_FACTOR = 50
 SALTS = 64
+BITMAP_BITS = 1024
 
 
 def least_overlap(total):
@@ -128,18 +131,36 @@ def _class_of(keys: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _bitmap(keys: np.ndarray) -> np.ndarray:
+    """The parities of a set's cells, as BITMAP_BITS / 64 numbers."""
+    odd = np.bincount((keys & U64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _membership(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n) for every row."""
+    """(doc_id, cls, n, bits) for every row."""
 
     def run(batches):
         for batch in batches:
-            sets = [(_class_of(k), len(k)) for k in text_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([c for c, _ in sets], pa.int64()), pa.array([n for _, n in sets], pa.int64())],
-                ["doc_id", "cls", "n"],
-            )
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, cls bigint, n bigint")
+            sets = [(_class_of(k), len(k), _bitmap(k)) for k in text_sets(batch.column(1))]
+            columns = [pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1)]
+            bits = pa.array([x[2] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, bits], ["doc_id", "cls", "n", "bits"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, cls bigint, n bigint, bits array<bigint>")
+
+
+def _close(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps differ in no more bits than linked sets may differ in shingles."""
+    maps = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    with_a = pairs.join(maps.withColumnsRenamed({"cls": "a", "n": "n_a", "bits": "bits_a"}), "a")
+    full = with_a.join(maps.withColumnsRenamed({"cls": "b", "n": "n_b", "bits": "bits_b"}), "b")
+    apart = F.aggregate(
+        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k
+    )
+    total = F.col("n_a") + F.col("n_b")
+    return full.filter(apart <= total - 2 * F.ceil(total * NUM / (NUM + DEN) - 1e-9)).select("a", "b")
 
 
 def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int) -> DataFrame:
@@ -272,8 +293,9 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. Only sets of classes that stand in a pair travel."""
+def _verify(docs: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates (a, b) of classes that link. Only sets of classes in a pair with close bitmaps travel."""
+    pairs = written(_close(candidates, members), "close")
     wanted = docs.sparkSession.sparkContext.broadcast(bitfilter.build(pairs.select(F.explode(F.array("a", "b")))))
 
     def run(batches):
@@ -335,12 +357,12 @@ def _across(open_rows: DataFrame, outside: DataFrame) -> DataFrame:
     return met.select(_as_pair(*each).alias("p")).select("p.*").distinct()
 
 
-def class_components(docs: DataFrame) -> DataFrame:
-    """(node, root) over the classes that link with another one."""
+def class_components(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, root) over the classes that link with another one; members: what _membership gives for docs."""
     rank, frequent = frequency_ranks(shingle_frequencies(docs))
     postings = written(_postings(_prefixes(docs, rank, frequent)), "postings")
     checked = written(_first_pairs(postings), "pairs")
-    found = written(_verify(docs, checked), "found")
+    found = written(_verify(docs, members, checked), "found")
     roots = written(connected_components(found), "roots")
     last = False
     for turn in range(HUB_ROUNDS + 1):
@@ -359,7 +381,7 @@ def class_components(docs: DataFrame) -> DataFrame:
             hubs = outside.groupBy("key").agg(F.min(F.struct("alone", *_POSTING)).alias("hub"))
             pairs = _hub_pairs(open_rows.select("key", *_POSTING), hubs).distinct()
         fresh = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        more = written(_verify(docs, fresh), "found")
+        more = written(_verify(docs, members, fresh), "found")
         found, checked = found.unionByName(more), checked.unionByName(fresh)
         if not more.isEmpty():
             roots = written(connected_components(found), "roots")
@@ -375,7 +397,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     reach. Documents with the empty set stand alone.
     """
     members = written(_membership(docs), "members")
-    roots = class_components(docs)
+    roots = class_components(docs, members)
     classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     placed = classes.join(roots, classes["cls"] == roots["node"], "left").select(
         "cls", "class_id", F.coalesce("root", "cls").alias("root")
