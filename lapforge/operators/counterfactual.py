@@ -1,12 +1,14 @@
-"""What-if scenarios: controllable features, a pooled regression by sums, interventions, traffic from positions."""
+"""What-if scenarios: controllable features, a regression per race by sums, interventions, traffic from positions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapforge.operators import RACE
 from lapforge.operators.compare import clean_consistency, degradation, standings, traffic_cost
@@ -65,50 +67,92 @@ def race_features(gapped: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
     )
 
 
-def normal_sums(features: DataFrame, columns: Sequence[str] = FEATURES, target: str = "lap_time_delta") -> DataFrame:
-    """The sums of a least-squares fit in one aggregation: one row, whatever the number of drivers."""
+def normal_sums(features: DataFrame, columns: Sequence[str] = FEATURES, target: str = "lap_time_delta", by: Sequence[str] = ()) -> DataFrame:
+    """The sums of a least-squares fit in one aggregation: one row per group, whatever the number of drivers."""
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
     y = F.col(target)
     sums = {f"a{i}{j}": F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))}
     sums |= {f"b{i}": F.sum(cols[i] * y) for i in range(len(cols))} | {"yy": F.sum(y * y), "n": F.count(F.lit(1))}
-    return features.agg(*[v.alias(k) for k, v in sums.items()])
+    return features.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
 
 
 def fit_from_sums(row, columns: Sequence[str] = FEATURES) -> dict[str, float] | None:
-    """Coefficients, intercept and R2 from the row of normal_sums; None with fewer than ten rows."""
+    """Coefficients, intercept and R2 from a row of normal_sums; None with fewer than ten rows.
+
+    The sums are centred first, and a column without spread has coefficient 0, as in the published fit."""
     k = len(columns) + 1
     if not row["n"] or row["n"] < 10:
         return None
+    n = row["n"]
     a = np.array([[row[f"a{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     b = np.array([row[f"b{i}"] for i in range(k)])
-    beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    mean = row["b0"] / row["n"]
-    total = row["yy"] - row["n"] * mean**2
-    left = row["yy"] - 2 * beta @ b + beta @ a @ beta
-    return dict(zip(("intercept", *columns), beta.tolist(), strict=True)) | {"r2": 1 - left / total if total else float("nan"), "n": row["n"]}
-
-
-def predict(features: DataFrame, model: dict[str, float], columns: Sequence[str] = FEATURES) -> DataFrame:
-    value = F.lit(model["intercept"])
+    mean = a[0, 1:] / n
+    s, q = a[1:, 1:] - n * np.outer(mean, mean), b[1:] - mean * b[0]
+    spread = np.diag(s) > 1e-12 * np.diag(a)[1:]
+    s, q = s * np.outer(spread, spread), q * spread
+    scale = np.sqrt(np.where(spread, np.diag(s), 1.0))
+    unit = s / np.outer(scale, scale)
+    if np.linalg.matrix_rank(unit, tol=1e-10) == k - 1:
+        slope = np.linalg.solve(unit, q / scale) / scale
+    else:
+        slope = np.linalg.lstsq(s, q, rcond=1e-12)[0]
+    total = row["yy"] - b[0] ** 2 / n
+    left = total - 2 * slope @ q + slope @ s @ slope
+    beta = [b[0] / n - slope @ mean, *slope]
+    return dict(zip(("intercept", *columns), map(float, beta), strict=True)) | {"r2": float(1 - left / total) if total else float("nan"), "n": n}
+
+
+def race_fits(features: DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE) -> DataFrame:
+    """One fit per race over its drivers with all values: intercept, a coefficient per column, r2 and n. Races with fewer
+    than ten such drivers have no fit and no row."""
+    sums = normal_sums(features.dropna(subset=[*columns, "lap_time_delta"]), columns, by=race)
+    numbers = ("intercept", *columns, "r2")
+    out = T.StructType([*[sums.schema[c] for c in race], *[T.StructField(c, T.DoubleType()) for c in numbers], T.StructField("n", T.LongType())])
+
+    def solve(batches):
+        for batch in batches:
+            fits = [(row, fit) for row in batch.to_pylist() if (fit := fit_from_sums(row, columns))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[pa.array([row[c] for row, _ in fits], batch.schema.field(c).type) for c in race],
+                    *[pa.array([fit[c] for _, fit in fits], pa.float64()) for c in numbers],
+                    pa.array([fit["n"] for _, fit in fits], pa.int64()),
+                ],
+                names=[*race, *numbers, "n"],
+            )
+
+    return sums.mapInArrow(solve, out)
+
+
+def predict(features: DataFrame, model: Mapping[str, float] | DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE) -> DataFrame:
+    """Adds predicted and the coefficients as __b_ columns. model: one model for all races, or the fits of race_fits;
+    with these, drivers of a race without a fit have no row, as nothing can be predicted for them."""
+    names = ("intercept", *columns)
+    if isinstance(model, DataFrame):
+        based = features.join(model.select(*race, *[F.col(c).alias(f"__b_{c}") for c in names]), list(race))
+    else:
+        based = features.withColumns({f"__b_{c}": F.lit(model[c]) for c in names})
+    value = F.col("__b_intercept")
     for c in columns:
-        value = value + F.lit(model[c]) * F.col(c)
-    return features.withColumn("predicted", value)
+        value = value + F.col(f"__b_{c}") * F.col(c)
+    return based.withColumn("predicted", value)
 
 
-def interventions(features: DataFrame, model: dict[str, float], laps: int = 20, race: Sequence[str] = RACE) -> DataFrame:
+def interventions(features: DataFrame, model: Mapping[str, float] | DataFrame, laps: int = 20, race: Sequence[str] = RACE) -> DataFrame:
     """What each driver would save by reaching the field's lower quartile of degradation and consistency, and its
-    least traffic. The saving is the actual delta minus the prediction, so each one counts the residual."""
+    least traffic. The saving is the actual delta minus the prediction, so each one counts the residual.
+    model: one for all races, or the fits of race_fits."""
     w = Window.partitionBy(*race)
     goal = {
         "degradation": F.percentile("degradation", F.lit(0.25)).over(w),
         "consistency": F.percentile("consistency", F.lit(0.25)).over(w),
         "traffic_laps": F.min("traffic_laps").over(w).cast("double"),
     }
-    based = predict(features, model).withColumns({f"__goal_{c}": g for c, g in goal.items()})
+    based = predict(features, model, race=race).withColumns({f"__goal_{c}": g for c, g in goal.items()})
     entries = []
     for c in FEATURES:
         target = F.col(f"__goal_{c}")
-        moved = F.col("predicted") + F.lit(model[c]) * (target - F.col(c))
+        moved = F.col("predicted") + F.col(f"__b_{c}") * (target - F.col(c))
         saving = (F.col("lap_time_delta") - moved) * laps
         entry = F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("original"), target.alias("target"), saving.alias("savings"))
         entries.append(F.when(F.col(c) > target, entry))

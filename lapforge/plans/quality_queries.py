@@ -25,8 +25,6 @@ xj AS (SELECT * FROM deg JOIN cc USING (race, vehicle_number) JOIN traffic USING
 xf AS (SELECT * REPLACE (coalesce(consistency, median(consistency) OVER (PARTITION BY race)) AS consistency), avg_lap_time - median(avg_lap_time) OVER (PARTITION BY race) AS lap_time_delta,
   (avg_lap_time - min(avg_lap_time) FILTER (final_position = 1) OVER (PARTITION BY race)) * laps_completed AS gap_to_winner FROM xj)"""
 )
-#: Coefficients of a fixed model, so that scenarios can be compared without a fit.
-FIXED = {"intercept": 0.5, "degradation": 4.0, "consistency": 0.3, "traffic_laps": 0.05}
 PLAN_SQL = (
     XF_SQL
     + """,
@@ -43,14 +41,14 @@ def x_features(s, d):
 
 
 def planned(s, d):
-    return X.interventions(x_features(s, d), FIXED)
+    f = x_features(s, d)
+    return X.interventions(f, X.race_fits(f))
 
 
 def ols_normal_eq(s, d):
-    """The pooled fit of the first race's drivers, one row."""
-    f = x_features(s, d).filter("race = 0")
-    model = X.fit_from_sums(X.normal_sums(f).first())
-    return s.createDataFrame([{k: round(float(v) + 1.7e-10, 5) if k != "n" else v for k, v in model.items()}])
+    """One fit a race."""
+    fits = X.race_fits(x_features(s, d))
+    return fits.select("race", *[F.round(F.col(c) + 1.7e-10, 5).alias(c) for c in ("intercept", *X.FEATURES, "r2")], "n")
 
 
 def ols_sums(s, d):
