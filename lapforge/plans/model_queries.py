@@ -228,7 +228,7 @@ SELECT race, round(any_value(slope) + 1.7e-10, 6) AS slope, round(avg(abs(lap_ti
     "gbt_laps": (boosted, None),
     "yellow_forest": (yellow_model, None),
     "expanding_validation": (
-        lambda s, d: validation(s, d).filter("warmup_laps = 3").select(*V, "prediction_lap", "target_lap", "horizon", "position", R6("predicted"), R6("error")),
+        lambda s, d: validation(s, d).select(*V, "warmup_laps", "prediction_lap", "target_lap", "horizon", "position", R6("predicted"), R6("error")),
         f"WITH {VAL_SQL} SELECT race, vehicle_number, prediction_lap, target_lap, horizon, position, round(predicted + 1.7e-10, 6) AS predicted, round(error + 1.7e-10, 6) AS error FROM val WHERE warmup_laps = 3",
     ),
     "weighted_mae_heatmap": (
@@ -237,12 +237,12 @@ SELECT race, round(any_value(slope) + 1.7e-10, 6) AS slope, round(avg(abs(lap_ti
 SELECT race, warmup_laps, {', '.join(f'round(sum(w * abs(error)) FILTER (horizon = {h}) / sum(w) FILTER (horizon = {h}) + 1.7e-10, 6) AS h{h}' for h in VAL.HORIZONS)} FROM w GROUP BY race, warmup_laps""",
     ),
     "driver_stats": (
-        lambda s, d: rounded(VAL.driver_stats(validation(s, d).filter("warmup_laps = 5 and horizon = 1")), "rmse", "mae", "avg_position", "worst_error"),
+        lambda s, d: rounded(VAL.driver_stats(validation(s, d)), "rmse", "mae", "avg_position", "worst_error"),
         f"""WITH {VAL_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY race, vehicle_number ORDER BY round(abs(error), 9) DESC, target_lap) AS k FROM val WHERE warmup_laps = 5 AND horizon = 1)
 SELECT race, vehicle_number, round(sqrt(avg(error * error)) + 1.7e-10, 6) AS rmse, round(avg(abs(error)) + 1.7e-10, 6) AS mae, round(avg(position) + 1.7e-10, 6) AS avg_position, count(*) AS n, max(target_lap) FILTER (k = 1) AS worst_lap, round(max(abs(error)) + 1.7e-10, 6) AS worst_error FROM v GROUP BY race, vehicle_number""",
     ),
     "evaluate_errors": (
-        lambda s, d: rounded(L.evaluate(validation(s, d).filter("warmup_laps = 5"), ["horizon"]), "rmse", "mae", "bias", "std", "weighted_rmse"),
+        lambda s, d: rounded(L.evaluate(validation(s, d), ["warmup_laps", "horizon"]), "rmse", "mae", "bias", "std", "weighted_rmse"),
         f"""WITH {VAL_SQL} SELECT horizon, round(sqrt(avg(error * error)) + 1.7e-10, 6) AS rmse, round(avg(abs(error)) + 1.7e-10, 6) AS mae, round(avg(error) + 1.7e-10, 6) AS bias, round(stddev_pop(error) + 1.7e-10, 6) AS std, round(sqrt(avg(greatest(0.1, 1 - 0.05 * (position - 1)) * error * error)) + 1.7e-10, 6) AS weighted_rmse, count(*) AS n FROM val WHERE warmup_laps = 5 GROUP BY horizon""",
     ),
     "inverse_position_rmse": (

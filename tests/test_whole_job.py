@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lapforge.operators import counterfactual
-from lapforge.plans import catalog, quality_queries
+from lapforge.plans import catalog, model_queries, quality_queries
 
 DATA = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -71,3 +71,43 @@ def test_interventions_use_the_fit_of_their_race(spark):
     assert got == pytest.approx(want, rel=1e-5, abs=1e-4)
     got = {(r["race"], r["vehicle_number"]): r["total_savings"] for r in catalog.queries()["scenarios"](spark, DATA).collect()}
     assert got == pytest.approx(total, rel=1e-5, abs=1e-4)
+
+
+def validated(spark):
+    """The whole validation table, from positions and relative times, in plain loops."""
+    cars = {}
+    for r in model_queries.relative_positions(spark, DATA).collect():
+        cars.setdefault((r["race"], r["vehicle_number"]), {})[r["lap"]] = (r["position"], r["relative_time"])
+    for key, laps in cars.items():
+        for k in laps:
+            past = np.mean([laps[x][1] for x in laps if x <= k])
+            for h in (1, 2, 3, 5):
+                if k + h in laps:
+                    error = laps[k + h][1] - (0.3 * laps[k + h - 1][1] + 0.7 * past)
+                    yield from ((*key, w, k, h, laps[k + h][0], error) for w in (3, 5, 8, 10, 15) if w <= k)
+
+
+@tables
+def test_errors_cover_all_warmups_and_horizons(spark):
+    rows = list(validated(spark))
+    got = catalog.queries()["expanding_validation"](spark, DATA).collect()
+    assert {(r["race"], r["vehicle_number"], r["warmup_laps"], r["prediction_lap"], r["horizon"]): r["error"] for r in got} == pytest.approx({r[:5]: r[6] for r in rows}, abs=2e-6)
+    assert len(got) == len(rows)
+    cars, cells = {}, {}
+    for r in rows:
+        cars.setdefault(r[:2], []).append(r)
+        cells.setdefault((r[2], r[4]), []).append(r)
+    got = {(r["race"], r["vehicle_number"]): r for r in catalog.queries()["driver_stats"](spark, DATA).collect()}
+    assert set(got) == set(cars)
+    for key, own in cars.items():
+        e, r = np.array([x[6] for x in own]), got[key]
+        assert r["n"] == len(own)
+        worst = min(own, key=lambda x: (-round(abs(x[6]), 9), x[3] + x[4]))
+        assert r["worst_lap"] == worst[3] + worst[4]
+        assert [r[c] for c in ("rmse", "mae", "avg_position", "worst_error")] == pytest.approx([np.sqrt((e**2).mean()), abs(e).mean(), np.mean([x[5] for x in own]), abs(e).max()], abs=2e-6)
+    got = {(r["warmup_laps"], r["horizon"]): r for r in catalog.queries()["evaluate_errors"](spark, DATA).collect()}
+    assert set(got) == set(cells) and len(cells) == 20
+    for key, own in cells.items():
+        e, w, r = np.array([x[6] for x in own]), np.maximum(0.1, 1 - 0.05 * (np.array([x[5] for x in own]) - 1)), got[key]
+        assert r["n"] == len(own)
+        assert [r[c] for c in ("rmse", "mae", "bias", "std", "weighted_rmse")] == pytest.approx([np.sqrt((e**2).mean()), abs(e).mean(), e.mean(), e.std(), np.sqrt((w * e**2).mean())], abs=2e-6)
