@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lapforge.operators import counterfactual
-from lapforge.plans import catalog, model_queries, quality_queries
+from lapforge.plans import adapter, catalog, model_queries, quality_queries
 
 DATA = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -111,3 +111,20 @@ def test_errors_cover_all_warmups_and_horizons(spark):
         e, w, r = np.array([x[6] for x in own]), np.maximum(0.1, 1 - 0.05 * (np.array([x[5] for x in own]) - 1)), got[key]
         assert r["n"] == len(own)
         assert [r[c] for c in ("rmse", "mae", "bias", "std", "weighted_rmse")] == pytest.approx([np.sqrt((e**2).mean()), abs(e).mean(), e.mean(), e.std(), np.sqrt((w * e**2).mean())], abs=2e-6)
+
+
+@tables
+def test_throttle_looks_200_rows_ahead(spark):
+    cars, want, far = {}, {}, 0
+    for r in adapter.telemetry(spark, DATA).collect():
+        cars.setdefault((r["race"], r["vehicle_number"]), []).append((r["n"], r["ts_us"], r["throttle"]))
+    for key, rows in cars.items():
+        rows.sort()
+        for i, (n, ts, _) in enumerate(rows):
+            full = [(j, t) for j, (_, t, x) in enumerate(rows[i : i + 200]) if x >= 95]
+            want[(*key, n)] = (min(t for _, t in full) - ts) / 1e6 if full else None
+            far += bool(full) and full[0][0] >= 20
+    assert far > 0
+    got = {(r["race"], r["vehicle_number"], r["n"]): r["seconds_to_full"] for r in catalog.queries()["throttle_lookahead"](spark, DATA).collect()}
+    assert {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, abs=2e-6)
