@@ -5,7 +5,8 @@ only the words under its ones, so a substitution under a zero leaves the seed in
 documents and of benchmark items are joined on their hash; around each hit the two word sequences
 are aligned without gaps and the best stretch is scored, +1 for an equal word and -3 for another.
 A document is contaminated by an item if that stretch has at least least_match equal words (or all
-words of a shorter item) and three quarters of its words are equal.
+words of a shorter item) and three quarters of its words are equal. Every such pattern of 8 to 16 words
+holds at least one mask, so it is proposed even if nothing around it is equal.
 
 Before the join, document seeds are tested against a bit table of the benchmark's seeds; its size is
 fixed, so it can be broadcast however large the benchmark is: a fuller table only lets
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lapforge.llm import bitfilter
 from lapforge.llm.textkit import U64, mix, passes, utf8, words
 
-MASKS = ("11011011", "1101100111", "1110010111", "10110101011")
+MASKS = ("11011011", "1101100111", "1110010111", "10110101011", "111101111")
 LEAST_MATCH = 8
 IDENTITY_PENALTY = 3  # a stretch with positive score everywhere has three quarters of its words equal
 MARGIN = 64

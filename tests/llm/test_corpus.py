@@ -50,6 +50,31 @@ def test_seeds_tolerate_substitutions_under_zeros():
     assert decontaminate._seeds(changed, mask)[10 + zero] != seeds[10 + zero]
 
 
+def test_every_accepted_pattern_holds_a_mask():
+    import numpy as np
+
+    masks = [(int(m, 2), len(m)) for m in decontaminate.MASKS]
+    missed = []
+    for n in range(8, 17):
+        for inner in range(1 << (n - 2)):
+            p = (1 << (n - 1)) | (inner << 1) | 1
+            if 4 * p.bit_count() < 3 * n or p.bit_count() < decontaminate.LEAST_MATCH:
+                continue
+            if any((p >> k) & m == m for m, size in masks for k in range(n - size + 1)):
+                continue
+            equal = np.array([c == "1" for c in f"{p:b}"])
+            if decontaminate.best_stretch(equal) == (p.bit_count(), 0, n):
+                missed.append(f"{p:b}")
+    assert missed == []
+
+
+def test_four_words_a_substitution_and_four_words_are_found(spark):
+    item, clean = prose(60, 30), prose(600, 40)
+    passage = [*item[10:14], "changed", *item[15:19]]
+    found = decontaminate.find_overlaps(frame(spark, [" ".join(["before", *passage, "after"]), " ".join(clean)]), benchmark(spark, [" ".join(item)])).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_equal"], r["n_words"]) for r in found] == [(0, 0, 8, 9)]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = benchmark(spark, ["", None, "short", "one two three four five six seven eight nine ten"])
     assert decontaminate.find_overlaps(odd, items).count() == 0
