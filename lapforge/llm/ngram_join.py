@@ -14,11 +14,14 @@
    What is asked for is every component, not every pair: in a small posting list all pairs are
    candidates, in a long one each member meets the list's hub. Hub links join most of a crowd of near
    copies in linear work. Lists whose members are still in different components after that get
-   further hubs, and in the end every remaining pair across components is verified, so no link that
-   could join two components is left out, whatever the list's length.
+   further hubs while there are many such rows, and in the end every remaining pair across components is
+   verified, so no link that could join two components is left out, whatever the list's length.
+   A pair that shares several shingles meets once: where the shingle before is not shared by both. A list
+   whose members all share the shingle before is left out whole.
 
 Sets larger or lists longer than memory are not gathered: long lists are joined with one hub row,
-very frequent shingles are dealt out by (shingle, salt).
+very frequent shingles are dealt out by (shingle, salt). A class is known by 64 bits, after sets have
+been told apart by 128.
 
 Defined cases: null and empty texts, and texts of white space alone, have the empty set and link with
 nothing; fewer words than five make one shingle of the whole sequence; rows with a null doc_id take
@@ -35,20 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapforge.llm import bitfilter
+from lapforge.llm import bitfilter, celltable
 from lapforge.llm.components import connected_components
 from lapforge.llm.storage import written
 from lapforge.llm.textkit import U64, mix, passes, sequence_hash, shingles, utf8, words
 
 SIZE = 5
 NUM, DEN = 75, 100  # the least similarity as a fraction
-CELLS = 1 << 18
+CELLS = 1 << 20
 SMALL_LIST = 8
 HUB_ROUNDS = 2
-#: Pairs across components are all verified once they are at most so many times the rows they come from.
-CROSS_FACTOR = 50
+#: Rows across components are all compared once that takes at most so many comparisons a row; else further hubs come first.
+CROSS_FACTOR = 500
 SALTS = 64
 BITMAP_BITS = 1024
+NO_ID = (1 << 63) - 1  # stands for a null doc_id inside, after all others
 
 
 def least_overlap(total):
@@ -83,25 +87,17 @@ def _cells(keys: np.ndarray) -> np.ndarray:
 def shingle_frequencies(docs: DataFrame) -> np.ndarray:
     """How many texts hold a shingle of each cell: CELLS numbers, over all documents."""
 
-    def count(batches):
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            waiting: list[np.ndarray] = []
-            for keys in text_sets(batch.column(0)):
-                waiting.append(_cells(keys))
-                if len(waiting) >= 512:
-                    total += np.bincount(np.concatenate(waiting), minlength=CELLS)
-                    waiting.clear()
-            if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=CELLS)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(CELLS, np.int64)
-    table = rows.toArrow()  # at most CELLS rows
-    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    return out
+    def cells(batch):
+        waiting: list[np.ndarray] = []
+        for keys in text_sets(batch.column(0)):
+            waiting.append(_cells(keys))
+            if len(waiting) >= 512:
+                yield np.concatenate(waiting)
+                waiting.clear()
+        if waiting:
+            yield np.concatenate(waiting)
+
+    return celltable.counted(docs.select("text"), cells, CELLS)
 
 
 def frequency_ranks(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -121,14 +117,20 @@ def ordered(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _class_of(keys: np.ndarray) -> int:
-    """A 64-bit id of a set."""
+def _identity(keys: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
     if not len(keys):
-        return 0
+        return 0, 0
     with np.errstate(over="ignore"):
-        h = int(mix(keys).sum(dtype=U64)) ^ (int(mix(keys ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)) * 31)
+        h, other = int(mix(keys).sum(dtype=U64)), int(mix(keys ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
     h = (h + len(keys) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    return h - (1 << 64) if h >> 63 else h
+    return h - (1 << 64) if h >> 63 else h, other - (1 << 64) if other >> 63 else other
+
+
+def _class_of(keys: np.ndarray, again: frozenset[int]) -> int:
+    """The id of a set; again holds the first hashes that different sets have in common."""
+    first, second = _identity(keys)
+    return second if first in again else first
 
 
 def _bitmap(keys: np.ndarray) -> np.ndarray:
@@ -137,33 +139,64 @@ def _bitmap(keys: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _membership(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n, bits) for every row."""
+def _membership(docs: DataFrame, again: frozenset[int]) -> DataFrame:
+    """(id, mark, cls, other, n, bits) for every row; id: doc_id, a null last; mark: a hash of the text."""
 
     def run(batches):
         for batch in batches:
-            sets = [(_class_of(k), len(k), _bitmap(k)) for k in text_sets(batch.column(1))]
-            columns = [pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1)]
-            bits = pa.array([x[2] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, bits], ["doc_id", "cls", "n", "bits"])
+            rows = []
+            for k in text_sets(batch.column(2)):
+                first, second = _identity(k)
+                rows.append((*((second, first) if first in again else (first, second)), len(k), _bitmap(k)))
+            columns = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1, 2)]
+            bits = pa.array([x[3] for x in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, bits], ["id", "mark", "cls", "other", "n", "bits"])
+
+    rows = docs.select(_id(), _mark(), "text")
+    return rows.mapInArrow(run, "id bigint, mark bigint, cls bigint, other bigint, n bigint, bits array<bigint>")
+
+
+def _id():
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id")
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, cls bigint, n bigint, bits array<bigint>")
 
+def _mark():
+    return F.xxhash64("text").alias("mark")
 
-def _close(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps differ in no more bits than linked sets may differ in shingles."""
-    maps = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    with_a = pairs.join(maps.withColumnsRenamed({"cls": "a", "n": "n_a", "bits": "bits_a"}), "a")
-    full = with_a.join(maps.withColumnsRenamed({"cls": "b", "n": "n_b", "bits": "bits_b"}), "b")
+
+def members_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(rows with their class, one row per class with its node, first hashes that had to be replaced).
+
+    A class is known by 64 bits from here on. Sets are compared by 128 bits once; should different
+    sets have their 64 bits in common (about 70 pairs in 5e10 texts), they get the other 64.
+    """
+    again: frozenset[int] = frozenset()
+    for _ in range(4):
+        members = written(_membership(docs, again), "members")
+        node = F.min(F.struct("id", "mark", "cls")).alias("node")  # the row that stands for the class
+        every = members.filter("n > 0").groupBy("cls").agg(
+            node, F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("other").alias("o0"), F.max("other").alias("o1")
+        )
+        classes = written(every, "classes")
+        clash = frozenset(r[0] for r in classes.filter("o0 <> o1").select("cls").collect())  # see above: hardly any
+        if not clash:
+            return members, classes.drop("o0", "o1"), again
+        again |= clash
+    raise RuntimeError("sets cannot be told apart")
+
+
+def _close(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs (u, v), as nodes, whose bitmaps differ in no more bits than linked sets may differ in shingles."""
+    with_a = pairs.join(maps.withColumnsRenamed({"cls": "a", "n": "n_a", "bits": "bits_a", "node": "u"}), "a")
+    full = with_a.join(maps.withColumnsRenamed({"cls": "b", "n": "n_b", "bits": "bits_b", "node": "v"}), "b")
     apart = F.aggregate(
         F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k
     )
     total = F.col("n_a") + F.col("n_b")
-    return full.filter(apart <= total - 2 * F.ceil(total * NUM / (NUM + DEN) - 1e-9)).select("a", "b")
+    return full.filter(apart <= total - 2 * F.ceil(total * NUM / (NUM + DEN) - 1e-9)).select("u", "v")
 
 
-def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int, again: frozenset[int]) -> DataFrame:
     """(key, salt, cls, n, pos): the prefix shingles of each class, once per class and task."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # CELLS bytes
 
@@ -182,7 +215,7 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             for keys in text_sets(batch.column(0)):
-                cls, n = _class_of(keys), len(keys)
+                cls, n = _class_of(keys, again), len(keys)
                 if not n or cls in seen:
                     continue
                 seen.add(cls)
@@ -197,16 +230,32 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int) -> DataFrame:
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows whose shingle another class has too, each class once per shingle."""
+    """The prefix rows whose shingle another class has too, each class once per shingle.
+
+    alone: how many shingles of its prefix a class shares with no other prefix (picks hubs, filters
+    nothing). prev: the shingle before this one among those that the class shares.
+    """
     place = Window.partitionBy("key", "salt")
     met = prefixes.withColumns({"least": F.min("cls").over(place), "most": F.max("cls").over(place)})
     shared = met.filter("least <> most or salt > 0").select("key", "cls", "n", "pos", "salt")
     # copies that several tasks have sent: same key and class
     once = shared.groupBy("key", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).drop("salt")
-    # how many shingles of its prefix a class shares with no other prefix: picks hubs, filters nothing
     own = Window.partitionBy("cls")
     size = F.expr(f"n - ((n * {NUM} + {DEN - 1}) div {DEN}) + 1")
-    return once.select("key", "cls", "n", "pos", (size - F.count(F.lit(1)).over(own)).cast("int").alias("alone"))
+    alone = (size - F.count(F.lit(1)).over(own)).cast("int").alias("alone")
+    return once.select("key", "cls", "n", "pos", alone, F.lag("key").over(own.orderBy("pos")).alias("prev"))
+
+
+def _in_lists(postings: DataFrame) -> DataFrame:
+    """The postings of the lists to look at, with the list's m members and small, its least set size.
+
+    A list all of whose members have the same shared shingle before this one is left out: its pairs
+    meet in the list of that shingle, at a place that the filters let more through.
+    """
+    prev = [F.count("prev").alias("k"), F.min("prev").alias("p0"), F.max("prev").alias("p1")]
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("small"), *prev)
+    lists = lists.filter("m > 1 and (k < m or p0 <> p1)").select("key", "m", "small")
+    return postings.join(written(lists, "lists"), "key")  # written, so that a list of any length can be split
 
 
 def _can_link(least_partner, pos):
@@ -234,23 +283,28 @@ def _passes_first(a, b):
     return (F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM) & (most >= _need(a, b))
 
 
-_POSTING = ("cls", "n", "pos")
+_POSTING = ("cls", "n", "pos", "prev")
+
+
+def _meet_first(a, b):
+    """Whether two postings of a shingle have no shared shingle just before it in common; else they have met there."""
+    return F.coalesce(a["prev"] != b["prev"], F.lit(True))
 
 
 def _as_pair(a, b):
     return F.struct(F.least(a["cls"], b["cls"]).alias("a"), F.greatest(a["cls"], b["cls"]).alias("b"))
 
 
-def _hub_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(a, b) of every row with the hub of its key; hubs: (key, hub struct)."""
-    met = rows.join(hubs, "key").withColumn("me", F.struct(*_POSTING)).filter(F.col("cls") != F.col("hub.cls"))
-    return met.filter(_passes_filters(F.col("me"), F.col("hub"))).select(_as_pair(F.col("me"), F.col("hub")).alias("p")).select("p.*")
+def _star(rows: DataFrame, hub_rows: DataFrame) -> DataFrame:
+    """(a, b) of every row with the hub of its list, which is picked from hub_rows."""
+    hubs = hub_rows.groupBy("key").agg(F.min(F.struct("alone", *_POSTING)).alias("hub"))
+    me, hub = F.struct(*_POSTING), F.col("hub")
+    met = rows.join(hubs, "key").withColumn("me", me).filter(F.col("cls") != hub["cls"]).filter(_passes_filters(F.col("me"), hub))
+    return met.select(_as_pair(F.col("me"), hub).alias("p")).select("p.*")
 
 
 def _first_pairs(postings: DataFrame) -> DataFrame:
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", *_POSTING)).alias("hub"))
-    sized = postings.join(sizes, "key")
-    small = sized.filter((F.col("m") > 1) & (F.col("m") <= SMALL_LIST))
+    small, large = postings.filter(F.col("m") <= SMALL_LIST), postings.filter(F.col("m") > SMALL_LIST)
     listed = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*_POSTING))).alias("list"))  # SMALL_LIST at most
     pairs = listed.select(
         F.explode(
@@ -258,15 +312,14 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
                 F.transform(
                     "list",
                     lambda x: F.transform(
-                        F.filter("list", lambda y: (y["cls"] > x["cls"]) & _passes_first(x, y)), lambda y: _as_pair(x, y)
+                        F.filter("list", lambda y: (y["cls"] > x["cls"]) & _meet_first(x, y) & _passes_first(x, y)),
+                        lambda y: _as_pair(x, y),
                     ),
                 )
             )
         ).alias("p")
     ).select("p.*")
-    large = sized.filter(F.col("m") > SMALL_LIST).withColumn("me", F.struct(*_POSTING)).filter("cls <> hub.cls")
-    star = large.filter(_passes_filters(F.col("me"), F.col("hub"))).select(_as_pair(F.col("me"), F.col("hub")).alias("p")).select("p.*")
-    return pairs.unionByName(star).distinct()
+    return pairs.unionByName(_star(large, large)).distinct()
 
 
 def suffix_allows(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) -> bool:
@@ -293,58 +346,50 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def _verify(docs: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates (a, b) of classes that link. Only sets of classes in a pair with close bitmaps travel."""
-    pairs = written(_close(candidates, members), "close")
-    wanted = docs.sparkSession.sparkContext.broadcast(bitfilter.build(pairs.select(F.explode(F.array("a", "b")))))
+def _verify(docs: DataFrame, maps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(a, b): the candidates that link.
 
-    def run(batches):
-        seen: set[int] = set()
-
-        def pack(cls, keys):
-            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(keys, pa.binary())], ["cls", "keys"])
+    Only texts that stand for a class in a pair with close bitmaps travel: as texts, since a set of
+    hashes is larger and does not compress.
+    """
+    pairs = written(_close(candidates, maps), "close")
+    row = F.xxhash64("id", "mark").alias("row")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).select("node.*").select(row)
+    wanted = docs.sparkSession.sparkContext.broadcast(bitfilter.build(ends))  # bitfilter.BITS bits
 
+    def some(batches):
         for batch in batches:
-            cls, keys = [], []
-            for k in text_sets(batch.column(0)):
-                c = _class_of(k)
-                if len(k) and c not in seen and bitfilter.may_hold(wanted.value, np.array([c]))[0]:
-                    seen.add(c)
-                    cls.append(c)
-                    keys.append(k.tobytes())
-                if len(cls) == 512:
-                    yield pack(cls, keys)
-                    cls, keys = [], []
-            yield pack(cls, keys)
-
-    sets = docs.select("text").mapInArrow(run, "cls bigint, keys binary").groupBy("cls").agg(F.first("keys").alias("keys"))
-    with_b = pairs.join(sets.withColumnsRenamed({"cls": "b", "keys": "keys_b"}), "b")
-    full = with_b.join(sets.withColumnsRenamed({"cls": "a", "keys": "keys_a"}), "a")
+            picked = batch.filter(pa.array(bitfilter.may_hold(wanted.value, batch.column(3).to_numpy())))
+            yield pa.RecordBatch.from_arrays(picked.columns[:3], ["id", "mark", "text"])
+
+    texts = docs.select(_id(), _mark(), "text").select("id", "mark", "text", row).mapInArrow(some, "id bigint, mark bigint, text string")
+    named = pairs.select("u.id", "u.mark", F.col("u.cls").alias("a"), "v")
+    with_a = named.join(texts, ["id", "mark"]).select("a", F.col("v.cls").alias("b"), "v.id", "v.mark", F.col("text").alias("text_a"))
+    full = with_a.join(texts, ["id", "mark"]).select("a", "b", "text_a", "text")
 
     def check(batches):
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            ok = [
-                links(np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64)) for i in range(batch.num_rows)
-            ]
+            ok = [links(x, y) for x, y in zip(text_sets(batch.column(2)), text_sets(batch.column(3)), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return full.select("a", "b", "keys_a", "keys_b").mapInArrow(check, "a bigint, b bigint")
+    return full.mapInArrow(check, "a bigint, b bigint")
 
 
 def _unsettled(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings (with comp) of the lists whose members are in more than one component, without those
     that cannot first meet a partner there, be it the list's smallest member."""
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("small")).filter(F.col("m") > SMALL_LIST)
-    able = postings.join(sizes, "key").filter(_can_link(F.greatest(F.col("small"), F.ceil(F.col("n") * NUM / DEN - 1e-9)), F.col("pos")))
-    labelled = able.join(roots, able["cls"] == roots["node"], "left").select("key", "alone", *_POSTING, F.coalesce("root", "cls").alias("comp"))
+    able = postings.filter(F.col("m") > SMALL_LIST).filter(
+        _can_link(F.greatest(F.col("small"), F.ceil(F.col("n") * NUM / DEN - 1e-9)), F.col("pos"))
+    )
+    known = roots.withColumnsRenamed({"node": "cls", "root": "comp"})
+    labelled = able.join(known, "cls", "left").select("key", "alone", *_POSTING, F.coalesce("comp", "cls").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     return labelled.join(mixed.filter("c0 <> c1").select("key"), "key")
 
 
 def _across(open_rows: DataFrame, outside: DataFrame) -> DataFrame:
-    """Every pair (a, b) across components that may link, found at the first shingle it shares."""
+    """Every pair (a, b) across components that may link, found where it first meets."""
     o, r = outside.alias("o"), open_rows.alias("r")
     each = [{c: F.col(f"{side}.{c}") for c in _POSTING} for side in "or"]
     met = o.join(
@@ -352,19 +397,20 @@ def _across(open_rows: DataFrame, outside: DataFrame) -> DataFrame:
         (F.col("o.key") == F.col("r.key"))
         & (F.col("o.comp") != F.col("r.comp"))
         & ((F.col("r.comp") == F.col("o.main")) | (F.col("o.cls") < F.col("r.cls")))
+        & _meet_first(*each)
         & _passes_first(*each),
     )
     return met.select(_as_pair(*each).alias("p")).select("p.*").distinct()
 
 
-def class_components(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, root) over the classes that link with another one; members: what _membership gives for docs."""
+def class_components(docs: DataFrame, classes: DataFrame, again: frozenset[int]) -> DataFrame:
+    """(node, root), as cls, over the classes that link with another one."""
     rank, frequent = frequency_ranks(shingle_frequencies(docs))
-    postings = written(_postings(_prefixes(docs, rank, frequent)), "postings")
+    every = written(_postings(_prefixes(docs, rank, frequent, again)), "prefixes")
+    postings = written(_in_lists(every), "postings")
+    maps = written(classes.join(postings.select("cls").distinct(), "cls", "left_semi"), "maps")
     checked = written(_first_pairs(postings), "pairs")
-    found = written(_verify(docs, members, checked), "found")
-    roots = written(connected_components(found), "roots")
-    last = False
+    roots = connected_components(_verify(docs, maps, checked))
     for turn in range(HUB_ROUNDS + 1):
         open_rows = written(_unsettled(postings, roots), "open")
         # the commonest component of a list needs no pairs of its own
@@ -375,48 +421,59 @@ def class_components(docs: DataFrame, members: DataFrame) -> DataFrame:
             break
         outside = open_rows.join(main.select("key", F.col("main.comp").alias("main")), "key").filter("comp <> main")
         last = turn == HUB_ROUNDS or cost[0] <= CROSS_FACTOR * cost[1]
-        if last:
-            pairs = _across(open_rows, outside)
-        else:
-            hubs = outside.groupBy("key").agg(F.min(F.struct("alone", *_POSTING)).alias("hub"))
-            pairs = _hub_pairs(open_rows.select("key", *_POSTING), hubs).distinct()
+        pairs = _across(open_rows, outside) if last else _star(open_rows, outside).distinct()
         fresh = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        more = written(_verify(docs, members, fresh), "found")
-        found, checked = found.unionByName(more), checked.unionByName(fresh)
+        more = written(_verify(docs, maps, fresh), "found")
         if not more.isEmpty():
-            roots = written(connected_components(found), "roots")
+            # what is joined already goes in as stars
+            stars = roots.filter("node <> root").withColumnsRenamed({"node": "a", "root": "b"})
+            roots = connected_components(stars.unionByName(more))
         if last:
             break
+        checked = checked.unionByName(fresh)
     return roots
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(id, mark, n, node, root) for every row of docs; node stands for its class, root for its component. Null for the empty set."""
+    members, classes, again = members_and_classes(docs)
+    roots = class_components(docs, classes, again).withColumnRenamed("node", "cls")
+    nodes = classes.select("cls", "node")
+    linked = written(roots.join(nodes, "cls"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("node").alias("least")), "least")
+    known = linked.join(least, "root").select("cls", F.col("least").alias("root"))
+    placed = nodes.join(known, "cls", "left").select("cls", "node", F.coalesce("root", "node").alias("root"))
+    return members.join(written(placed, "placed"), "cls", "left").select("id", "mark", "n", "node", "root")
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id, component_id.
 
     class_id is the smallest doc_id with the same set, component_id the smallest doc_id that links
     reach. Documents with the empty set stand alone.
     """
-    members = written(_membership(docs), "members")
-    roots = class_components(docs, members)
-    classes = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    placed = classes.join(roots, classes["cls"] == roots["node"], "left").select(
-        "cls", "class_id", F.coalesce("root", "cls").alias("root")
-    )
-    least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = placed.join(least, "root").select("cls", "class_id", "component_id")
-    alone = F.col("n") == 0
-    return members.join(named, "cls", "left").select(
-        "doc_id",
+
+    def named(column):
+        return F.nullif(F.coalesce(column, F.col("id")), F.lit(NO_ID))
+
+    return _placed(docs).select(
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        named(F.col("node.id")).alias("class_id"),
+        named(F.col("root.id")).alias("component_id"),
     )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id. Null doc_ids stay."""
-    gone = near_duplicate_groups(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__id"], "left_anti")
+    """docs with one document of each group: the one with the smallest doc_id, a null after all others.
+
+    A document is a doc_id with a text: rows that repeat both stay or go together, a doc_id with two
+    texts is two documents. Documents with the empty set stay.
+    """
+    placed = _placed(docs).filter("n > 0 and (id <> root.id or mark <> root.mark)")
+    gone = placed.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)) == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__mark"])
+    return docs.join(gone, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
