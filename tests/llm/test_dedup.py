@@ -77,11 +77,27 @@ def suffix_brute(texts, depth=400):
     return out
 
 
+def passage_brute(texts, depth=50):
+    """Words of each text in runs of depth words or more that stand elsewhere too."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = {}
+    for d, w in enumerate(split):
+        for i in range(len(w) - depth + 1):
+            seen.setdefault(tuple(w[i : i + depth]), []).append((d, i))
+    hit = [np.zeros(len(w), bool) for w in split]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                hit[d][i : i + depth] = True
+    return [(len(w), int(h.sum())) for w, h in zip(split, hit, strict=True)]
+
+
 def check_suffix(spark, texts):
     got = rows_of(suffix_dedup.remove_repeats(frame(spark, texts)))
-    for i, want in enumerate(suffix_brute(texts)):
+    for i, (want, words) in enumerate(zip(suffix_brute(texts), passage_brute(texts), strict=True)):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, i
+        assert (r["n_words"], r["n_passage_words"]) == words, i
 
 
 def suffix_texts():
@@ -90,6 +106,9 @@ def suffix_texts():
     texts += [" ".join(prose(40 + i, 60)) + shared[i : 500 + 7 * i] + " ".join(prose(70 + i, 60)) for i in range(10)]
     texts += [shared[:400], shared[:399], shared[1:400], "é" * 350, "x" + "é" * 300, "ab" * 500, "z" * 399, "z" * 800, texts[0], texts[3], None, "", "k" * 401]
     cut = shared[100:700]
+    short = " ".join(f"{x}" for x in random.Random(8).choices("abcdefghijklmnopqrstuvwxyz", k=56))  # over 50 words, under 400 bytes
+    texts += [" ".join([*prose(500 + i, 9 * i), short[2 * i :], *prose(600 + i, 40)]) for i in range(6)]
+    texts += [f"{short} {short}", short[:99], "w " * 49, "w " * 50, "w " * 51]
     return [*texts, cut[:399] + "Q" + cut[400:], cut + "R" + cut]
 
 
@@ -103,6 +122,18 @@ def test_suffix_with_large_groups(spark, monkeypatch):
     check_suffix(spark, suffix_texts())
 
 
+def test_suffix_rows_that_repeat(spark):
+    """Long rows that repeat doc_id and text, a doc_id with two texts, and null ids, against brute force."""
+    shared = " ".join(prose(1, 200))
+    texts = [" ".join(prose(10 + i, 150)) for i in range(8)]
+    rows = [*zip([0, 1, 1, 1, 2, None, None, None], texts, strict=True)]
+    rows += [(0, texts[0]), (0, texts[0]), (None, texts[5]), (5, f"{texts[4][:700]} {shared}"), (6, f"x {shared}"), (6, f"x {shared}")]
+    got = suffix_dedup.remove_repeats(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    want = [(i, *w, *p) for (i, _), w, p in zip(rows, suffix_brute([t for _, t in rows]), passage_brute([t for _, t in rows]), strict=True)]
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_words", "n_passage_words")
+    assert sorted((tuple(r[c] for c in names) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_suffix_odd_rows(spark, odd):
     got = suffix_dedup.remove_repeats(odd, with_text=True).collect()
     assert len(got) == len(ODD) + 1
@@ -176,6 +207,35 @@ def test_join_frequent_shingles(spark, monkeypatch):
         assert got[i]["component_id"] == want[1]
 
 
+def test_join_common_passage(spark):
+    """A passage in 300 texts, at every share of their words, and near copies among them."""
+    common = prose(78, 60)
+    texts = [" ".join([*prose(4000 + k, k % 31), *common, *prose(5000 + k, k % 7)]) for k in range(280)]
+    texts += [" ".join([*common[k % 5 :], *prose(6000, 12), *prose(7000 + k, k % 3)]) for k in range(20)]
+    got = rows_of(ngram_join.near_duplicate_groups(frame(spark, texts)))
+    for i, want in enumerate(jaccard_brute(texts)):
+        assert (got[i]["n_shingles"], got[i]["component_id"]) == want
+
+
+def test_join_sets_that_share_a_hash(spark, monkeypatch):
+    """Sets whose 64-bit ids are equal are told apart by their other 64 bits."""
+    real = ngram_join._identity
+    monkeypatch.setattr(ngram_join, "_identity", lambda keys: (len(keys) % 3, real(keys)[1]) if len(keys) else (0, 0))
+    texts = [" ".join(prose(k, 12 + k % 9)) for k in range(30)] + [" ".join(prose(k, 12 + k % 9)) + " end" for k in range(9)]
+    members, classes, again = ngram_join.members_and_classes(frame(spark, texts))
+    assert again and classes.count() == len({frozenset(s) for s in word_sets(texts)})
+
+
+def test_join_drops_by_row(spark):
+    """A doc_id with two texts is two documents; of two near copies with one doc_id, one stays; null ids are decided too."""
+    a, b = prose(1, 60), prose(2, 60)
+    near = " ".join([*a, "x"])
+    docs = frame(spark, [" ".join(a), near, " ".join(b), " ".join(a), near, "other words"], [1, 1, 1, None, None, 2])
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.drop_near_copies(docs).select("doc_id", "text").collect()]
+    assert len(kept) == 3 and (1, " ".join(b)) in kept and (2, "other words") in kept
+    assert {i for i, _ in kept} == {1, 2}
+
+
 def test_join_odd_rows(spark, odd):
     got = ngram_join.near_duplicate_groups(odd).collect()
     assert len(got) == len(ODD) + 1
