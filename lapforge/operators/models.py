@@ -122,7 +122,7 @@ def strategic_predict(fit: DataFrame, features: DataFrame, alpha: float = ALPHA,
         *race,
         "vehicle_number",
         F.col("z.s.lap").alias("lap"),
-        F.round(F.col("z.p") + 1.7e-10, 3).alias("predicted_relative"),
+        F.col("z.p").alias("predicted_relative"),
         F.col("z.s.regime").alias("regime"),
         F.when(F.col("z.s.regime") == "green", 1.7).otherwise(2.5).alias("uncertainty"),
     )
@@ -183,10 +183,10 @@ def runner_up(features: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
     return met.select(*race, "winner", F.col("vehicle_number").alias("runner_up"), gap.alias("gap"), lost.alias("time_lost"), (F.col("laps") * 0.15 > gap).alias("would_have_won"))
 
 
-def technique_potential(per_lap: DataFrame, impact: dict[str, float], race: Sequence[str] = RACE) -> DataFrame:
+def technique_potential(per_lap: DataFrame, impact: dict[str, float], race: Sequence[str] = RACE, early: int = 5, late: int = 20) -> DataFrame:
     """How far each technique metric falls off from the early to the late laps, in seconds by an impact table."""
     long = per_lap.unpivot([*race, "vehicle_number", "lap"], list(impact), "metric", "x")
-    ends = long.groupBy(*race, "vehicle_number", "metric").agg(F.avg(F.when(F.col("lap") <= 2, F.col("x"))).alias("early"), F.avg(F.when(F.col("lap") >= 5, F.col("x"))).alias("late"))
+    ends = long.groupBy(*race, "vehicle_number", "metric").agg(F.avg(F.when(F.col("lap") <= early, F.col("x"))).alias("early"), F.avg(F.when(F.col("lap") >= late, F.col("x"))).alias("late"))
     table = F.create_map(*[F.lit(x) for pair in impact.items() for x in pair])
     return ends.select(*race, "vehicle_number", "metric", F.greatest((F.col("late") - F.col("early")) * table[F.col("metric")], F.lit(0.0)).alias("potential"))
 

@@ -30,7 +30,7 @@ def signal_profile(t: DataFrame, signals: Sequence[str], ranges: dict[str, tuple
     x = F.col("x")
     outlier = F.coalesce((x < low) | (x > high), F.abs(x - F.col("__a")) > 3 * F.col("__s"))
     n, pct = F.count(F.lit(1)), lambda test: 100.0 * F.count_if(test) / F.count(F.lit(1))
-    return long.join(F.broadcast(moments), [*by, "signal"]).groupBy(*by, "signal").agg(
+    return long.join(moments, [*by, "signal"]).groupBy(*by, "signal").agg(
         n.alias("n"), pct(x.isNull()).alias("missing_pct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         *[F.percentile(x, F.lit(q / 100)).alias(f"p{q}") for q in (1, 5, 50, 95, 99)], pct(outlier).alias("outlier_pct"), pct(x == 0).alias("zero_pct"), pct(x < 0).alias("negative_pct"),
     )

@@ -111,7 +111,7 @@ SELECT race, vehicle_number, max(pulses) AS n_pulses FROM a GROUP BY race, vehic
     ),
     "throttle_lookahead": (
         lambda s, d: M.throttle_lookahead(telemetry(s, d)).select(*V, "n", R6("seconds_to_full")),
-        f"""WITH {TELEMETRY_SQL} SELECT race, vehicle_number, n, round((min(CASE WHEN throttle >= 95 THEN ts_us END) OVER (PARTITION BY race, vehicle_number ORDER BY n ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) - ts_us) / 1e6 + 1.7e-10, 6) AS seconds_to_full FROM telemetry""",
+        f"""WITH {TELEMETRY_SQL} SELECT race, vehicle_number, n, round((min(CASE WHEN throttle >= 95 THEN ts_us END) OVER (PARTITION BY race, vehicle_number ORDER BY n ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING) - ts_us) / 1e6 + 1.7e-10, 6) AS seconds_to_full FROM telemetry""",
     ),
     "centred_mean": (
         lambda s, d: M.centred_mean(telemetry(s, d), "speed").select(*V, "n", R6("speed_smooth")),

@@ -104,13 +104,13 @@ def boosted(s, d):
 
 
 def leave_one_race_out(s, d):
-    """Two-feature least squares on all other races, by subtracting each race's sums from the total."""
+    """Two-feature least squares on all other races, by subtracting each race's sums from the total. A lone race has no others and no row."""
     x, y = F.col("lap").cast("double"), F.col("lap_time")
     per = laps(s, d).groupBy("race").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
     total = per.agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "x", "y", "xx", "xy")])
     o = {c: F.col(f"t_{c}") - F.col(c) for c in ("n", "x", "y", "xx", "xy")}
-    slope = (o["n"] * o["xy"] - o["x"] * o["y"]) / (o["n"] * o["xx"] - o["x"] * o["x"])
-    fit = per.crossJoin(F.broadcast(total)).withColumn("slope", slope).withColumn("intercept", (o["y"] - F.col("slope") * o["x"]) / o["n"]).select("race", "slope", "intercept")
+    slope = (o["n"] * o["xy"] - o["x"] * o["y"]) / F.nullif(o["n"] * o["xx"] - o["x"] * o["x"], F.lit(0.0))
+    fit = per.crossJoin(F.broadcast(total)).withColumn("slope", slope).filter(o["n"] > 0).withColumn("intercept", (o["y"] - F.col("slope") * o["x"]) / F.nullif(o["n"], F.lit(0.0))).select("race", "slope", "intercept")
     e = F.col("lap_time") - (F.col("intercept") + F.col("slope") * F.col("lap"))
     scored = laps(s, d).join(fit, "race").withColumn("error", e)
     return scored.groupBy("race").agg(F.round(F.first("slope") + 1.7e-10, 6).alias("slope"), F.round(F.avg(F.abs("error")) + 1.7e-10, 6).alias("mae"))
@@ -169,7 +169,7 @@ SELECT race, vehicle_number, round(avg(abs(lap_time - (pm + 0.3 * prev + 0.7 * m
 (CASE WHEN aggression > 0.3 THEN 'aggressive' WHEN aggression > 0.15 THEN 'balanced' ELSE 'patient' END) || ', ' || CASE WHEN base_pace < 0 THEN 'faster' ELSE 'slower' END || ' than the field' AS style FROM sfit""",
     ),
     "strategic_predict": (
-        lambda s, d: strategic(s, d),
+        lambda s, d: strategic(s, d).withColumn("predicted_relative", F.round(F.col("predicted_relative") + 1.7e-10, 3)),
         f"""WITH RECURSIVE {STRATEGIC_SQL}, f(race, vehicle_number, lap, p, regime) AS (
 SELECT race, vehicle_number, lap, 0.3 * last_relative + c, regime FROM sc WHERE lap = 1
 UNION ALL SELECT sc.race, sc.vehicle_number, sc.lap, 0.3 * f.p + sc.c, sc.regime FROM f JOIN sc ON sc.vehicle_number = f.vehicle_number AND sc.lap = f.lap + 1)
@@ -193,7 +193,7 @@ j AS (SELECT a.race, b.vehicle_number AS winner, a.vehicle_number AS runner_up,
 SELECT race, winner, runner_up, round(gap + 1.7e-10, 6) AS gap, round(pl * laps * (laps + 1) / 2 + 1.7e-10, 6) AS time_lost, laps * 0.15 > gap AS would_have_won FROM j""",
     ),
     "technique_potential": (
-        lambda s, d: rounded(L.technique_potential(per_lap_metrics(s, d).select(*KEY, *IMPACT), IMPACT), "potential"),
+        lambda s, d: rounded(L.technique_potential(per_lap_metrics(s, d).select(*KEY, *IMPACT), IMPACT, early=2, late=5), "potential"),
         f"""WITH {PER_LAP_SQL}, u AS (SELECT race, vehicle_number, lap, unnest([{{'m': 'coasting_pct', 'x': coasting_pct, 'i': 0.02}}, {{'m': 'brake_level', 'x': brake_level, 'i': 0.01}}]) AS u FROM per_lap)
 SELECT race, vehicle_number, u.m AS metric, round(greatest((avg(u.x) FILTER (lap >= 5) - avg(u.x) FILTER (lap <= 2)) * any_value(u.i), 0.0) + 1.7e-10, 6) AS potential FROM u GROUP BY race, vehicle_number, u.m""",
     ),
@@ -229,7 +229,7 @@ SELECT race, round(any_value(slope) + 1.7e-10, 6) AS slope, round(avg(abs(lap_ti
     "yellow_forest": (yellow_model, None),
     "expanding_validation": (
         lambda s, d: validation(s, d).select(*V, "warmup_laps", "prediction_lap", "target_lap", "horizon", "position", R6("predicted"), R6("error")),
-        f"WITH {VAL_SQL} SELECT race, vehicle_number, prediction_lap, target_lap, horizon, position, round(predicted + 1.7e-10, 6) AS predicted, round(error + 1.7e-10, 6) AS error FROM val WHERE warmup_laps = 3",
+        f"WITH {VAL_SQL} SELECT race, vehicle_number, warmup_laps, prediction_lap, target_lap, horizon, position, round(predicted + 1.7e-10, 6) AS predicted, round(error + 1.7e-10, 6) AS error FROM val",
     ),
     "weighted_mae_heatmap": (
         lambda s, d: VAL.weighted_heatmap(validation(s, d)).select("race", "warmup_laps", *[F.round(F.col(str(h)) + 1.7e-10, 6).alias(f"h{h}") for h in VAL.HORIZONS]),
@@ -238,12 +238,12 @@ SELECT race, warmup_laps, {', '.join(f'round(sum(w * abs(error)) FILTER (horizon
     ),
     "driver_stats": (
         lambda s, d: rounded(VAL.driver_stats(validation(s, d)), "rmse", "mae", "avg_position", "worst_error"),
-        f"""WITH {VAL_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY race, vehicle_number ORDER BY round(abs(error), 9) DESC, target_lap) AS k FROM val WHERE warmup_laps = 5 AND horizon = 1)
+        f"""WITH {VAL_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY race, vehicle_number ORDER BY round(abs(error), 9) DESC, target_lap) AS k FROM val)
 SELECT race, vehicle_number, round(sqrt(avg(error * error)) + 1.7e-10, 6) AS rmse, round(avg(abs(error)) + 1.7e-10, 6) AS mae, round(avg(position) + 1.7e-10, 6) AS avg_position, count(*) AS n, max(target_lap) FILTER (k = 1) AS worst_lap, round(max(abs(error)) + 1.7e-10, 6) AS worst_error FROM v GROUP BY race, vehicle_number""",
     ),
     "evaluate_errors": (
         lambda s, d: rounded(L.evaluate(validation(s, d), ["warmup_laps", "horizon"]), "rmse", "mae", "bias", "std", "weighted_rmse"),
-        f"""WITH {VAL_SQL} SELECT horizon, round(sqrt(avg(error * error)) + 1.7e-10, 6) AS rmse, round(avg(abs(error)) + 1.7e-10, 6) AS mae, round(avg(error) + 1.7e-10, 6) AS bias, round(stddev_pop(error) + 1.7e-10, 6) AS std, round(sqrt(avg(greatest(0.1, 1 - 0.05 * (position - 1)) * error * error)) + 1.7e-10, 6) AS weighted_rmse, count(*) AS n FROM val WHERE warmup_laps = 5 GROUP BY horizon""",
+        f"""WITH {VAL_SQL} SELECT warmup_laps, horizon, round(sqrt(avg(error * error)) + 1.7e-10, 6) AS rmse, round(avg(abs(error)) + 1.7e-10, 6) AS mae, round(avg(error) + 1.7e-10, 6) AS bias, round(stddev_pop(error) + 1.7e-10, 6) AS std, round(sqrt(avg(greatest(0.1, 1 - 0.05 * (position - 1)) * error * error)) + 1.7e-10, 6) AS weighted_rmse, count(*) AS n FROM val GROUP BY warmup_laps, horizon""",
     ),
     "inverse_position_rmse": (
         lambda s, d: rounded(VAL.inverse_position_rmse(validation(s, d), ["race", "horizon"]), "weighted_rmse"),

@@ -25,14 +25,31 @@ xj AS (SELECT * FROM deg JOIN cc USING (race, vehicle_number) JOIN traffic USING
 xf AS (SELECT * REPLACE (coalesce(consistency, median(consistency) OVER (PARTITION BY race)) AS consistency), avg_lap_time - median(avg_lap_time) OVER (PARTITION BY race) AS lap_time_delta,
   (avg_lap_time - min(avg_lap_time) FILTER (final_position = 1) OVER (PARTITION BY race)) * laps_completed AS gap_to_winner FROM xj)"""
 )
-PLAN_SQL = (
+# the fit of each race: centred sums, a column without spread has coefficient 0, the rest by Cramer's rule
+FIT_SQL = (
     XF_SQL
     + """,
-g AS (SELECT *, quantile_cont(degradation, 0.25) OVER w AS gd, quantile_cont(consistency, 0.25) OVER w AS gc, CAST(min(traffic_laps) OVER w AS DOUBLE) AS gt,
-  0.5 + 4.0 * degradation + 0.3 * consistency + 0.05 * traffic_laps AS predicted FROM xf WINDOW w AS (PARTITION BY race)),
-iv AS (SELECT race, vehicle_number, 'degradation' AS feature, degradation AS original, gd AS target, (lap_time_delta - (predicted + 4.0 * (gd - degradation))) * 20 AS savings FROM g WHERE degradation > gd
- UNION ALL SELECT race, vehicle_number, 'consistency', consistency, gc, (lap_time_delta - (predicted + 0.3 * (gc - consistency))) * 20 FROM g WHERE consistency > gc
- UNION ALL SELECT race, vehicle_number, 'traffic_laps', CAST(traffic_laps AS DOUBLE), gt, (lap_time_delta - (predicted + 0.05 * (gt - traffic_laps))) * 20 FROM g WHERE traffic_laps > gt)"""
+fm AS (SELECT race, count(*) AS n, avg(degradation) AS m1, avg(consistency) AS m2, avg(traffic_laps) AS m3, avg(lap_time_delta) AS my, var_pop(lap_time_delta) AS yy,
+  var_pop(degradation) AS v11, var_pop(consistency) AS v22, var_pop(traffic_laps) AS v33, covar_pop(degradation, consistency) AS v12, covar_pop(degradation, traffic_laps) AS v13, covar_pop(consistency, traffic_laps) AS v23,
+  covar_pop(degradation, lap_time_delta) AS v1, covar_pop(consistency, lap_time_delta) AS v2, covar_pop(traffic_laps, lap_time_delta) AS v3
+  FROM xf WHERE degradation IS NOT NULL AND consistency IS NOT NULL AND traffic_laps IS NOT NULL AND lap_time_delta IS NOT NULL GROUP BY race HAVING count(*) >= 10),
+fz AS (SELECT *, CAST(v11 > 1e-12 * (v11 + m1 * m1) AS INT) AS z1, CAST(v22 > 1e-12 * (v22 + m2 * m2) AS INT) AS z2, CAST(v33 > 1e-12 * (v33 + m3 * m3) AS INT) AS z3 FROM fm),
+fc AS (SELECT race, n, m1, m2, m3, my, yy, CASE WHEN z1 = 1 THEN v11 ELSE 1 END AS c11, CASE WHEN z2 = 1 THEN v22 ELSE 1 END AS c22, CASE WHEN z3 = 1 THEN v33 ELSE 1 END AS c33,
+  z1 * z2 * v12 AS c12, z1 * z3 * v13 AS c13, z2 * z3 * v23 AS c23, z1 * v1 AS q1, z2 * v2 AS q2, z3 * v3 AS q3 FROM fz),
+fd AS (SELECT *, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c23 * c13) + c13 * (c12 * c23 - c22 * c13) AS det FROM fc),
+fb AS (SELECT *, (q1 * (c22 * c33 - c23 * c23) - c12 * (q2 * c33 - c23 * q3) + c13 * (q2 * c23 - c22 * q3)) / det AS b1,
+  (c11 * (q2 * c33 - c23 * q3) - q1 * (c12 * c33 - c23 * c13) + c13 * (c12 * q3 - q2 * c13)) / det AS b2,
+  (c11 * (c22 * q3 - q2 * c23) - c12 * (c12 * q3 - q2 * c13) + q1 * (c12 * c23 - c22 * c13)) / det AS b3 FROM fd),
+fits AS (SELECT race, my - b1 * m1 - b2 * m2 - b3 * m3 AS intercept, b1, b2, b3, (b1 * q1 + b2 * q2 + b3 * q3) / yy AS r2, n FROM fb)"""
+)
+PLAN_SQL = (
+    FIT_SQL
+    + """,
+g AS (SELECT xf.*, b1, b2, b3, quantile_cont(degradation, 0.25) OVER w AS gd, quantile_cont(consistency, 0.25) OVER w AS gc, CAST(min(traffic_laps) OVER w AS DOUBLE) AS gt,
+  intercept + b1 * degradation + b2 * consistency + b3 * traffic_laps AS predicted FROM xf JOIN fits ON fits.race = xf.race WINDOW w AS (PARTITION BY xf.race)),
+iv AS (SELECT race, vehicle_number, 'degradation' AS feature, degradation AS original, gd AS target, (lap_time_delta - (predicted + b1 * (gd - degradation))) * 20 AS savings FROM g WHERE degradation > gd
+ UNION ALL SELECT race, vehicle_number, 'consistency', consistency, gc, (lap_time_delta - (predicted + b2 * (gc - consistency))) * 20 FROM g WHERE consistency > gc
+ UNION ALL SELECT race, vehicle_number, 'traffic_laps', CAST(traffic_laps AS DOUBLE), gt, (lap_time_delta - (predicted + b3 * (gt - traffic_laps))) * 20 FROM g WHERE traffic_laps > gt)"""
 )
 
 
@@ -76,7 +93,10 @@ QUERIES = {
         f"WITH {LAPS_SQL}, l AS (SELECT *, max(lap) OVER (PARTITION BY race, vehicle_number) AS last FROM laps) SELECT race, vehicle_number, count(*) AS n, round(avg(lap_time) + 1.7e-10, 6) AS avg_lap_time FROM l WHERE lap >= least(16, last) GROUP BY race, vehicle_number",
     ),
     "ols_normal_sums": (ols_sums, f"WITH {XF_SQL} SELECT count(*) AS n, {SUMS_SQL}, round(sum(lap_time_delta * lap_time_delta) + 1.7e-10, 4) AS yy FROM xf"),
-    "ols_normal_eq": (ols_normal_eq, None),
+    "ols_normal_eq": (
+        ols_normal_eq,
+        f"WITH {FIT_SQL} SELECT race, round(intercept + 1.7e-10, 5) AS intercept, round(b1 + 1.7e-10, 5) AS degradation, round(b2 + 1.7e-10, 5) AS consistency, round(b3 + 1.7e-10, 5) AS traffic_laps, round(r2 + 1.7e-10, 5) AS r2, n FROM fits",
+    ),
     "interventions": (
         lambda s, d: X.flatten_interventions(planned(s, d)).select(*V, "feature", R6("original"), R6("target"), R6("savings"), "place"),
         f"""WITH {PLAN_SQL} SELECT race, vehicle_number, feature, round(original + 1.7e-10, 6) AS original, round(target + 1.7e-10, 6) AS target, round(savings + 1.7e-10, 6) AS savings,
@@ -84,7 +104,7 @@ row_number() OVER (PARTITION BY race, vehicle_number ORDER BY round(savings, 9)
     ),
     "scenarios": (
         lambda s, d: X.scenarios(planned(s, d)).select(*V, "original_position", R6("total_savings"), "positions_gained"),
-        f"""WITH {PLAN_SQL}, t AS (SELECT xf.race, xf.vehicle_number, final_position, avg_lap_time, coalesce(sum(savings), 0.0) AS total_savings FROM xf LEFT JOIN iv ON iv.race = xf.race AND iv.vehicle_number = xf.vehicle_number GROUP BY ALL),
+        f"""WITH {PLAN_SQL}, t AS (SELECT xf.race, xf.vehicle_number, final_position, avg_lap_time, coalesce(sum(savings), 0.0) AS total_savings FROM g xf LEFT JOIN iv ON iv.race = xf.race AND iv.vehicle_number = xf.vehicle_number GROUP BY ALL),
 a AS (SELECT t.race, t.vehicle_number, t.total_savings, sum(abs(t.avg_lap_time - o.avg_lap_time) * 20) OVER (PARTITION BY t.race, t.vehicle_number ORDER BY o.final_position DESC) AS need FROM t JOIN t o ON o.race = t.race AND o.final_position < t.final_position),
 p AS (SELECT race, vehicle_number, count(*) FILTER (total_savings > need) AS positions_gained FROM a GROUP BY race, vehicle_number)
 SELECT t.race, t.vehicle_number, final_position AS original_position, round(total_savings + 1.7e-10, 6) AS total_savings, coalesce(positions_gained, 0) AS positions_gained FROM t LEFT JOIN p ON p.race = t.race AND p.vehicle_number = t.vehicle_number""",
@@ -104,8 +124,10 @@ p AS (SELECT signal, count(*) AS n, 0.0::DOUBLE AS missing_pct, min(x) AS min, m
 SELECT signal, n, missing_pct, min, max, {r('mean', 'std', 'p1', 'p5', 'p50', 'p95', 'p99', 'outlier_pct', 'zero_pct', 'negative_pct')}, concat_ws(',', CASE WHEN outlier_pct > 5 THEN 'outliers' END, CASE WHEN zero_pct > 50 THEN 'mostly zero' END) AS issues FROM p""",
     ),
     "missingness_pairs": (
-        lambda s, d: rounded(Q.missingness_pairs(telemetry(s, d).withColumns({"throttle": F.when(F.col("n") % 5 != 0, F.col("throttle")), "brake": F.when(F.col("n") % 5 != 0, F.col("brake")), "speed": F.when(F.col("n") % 3 != 0, F.col("speed"))}), ["throttle", "brake", "speed"]), "correlation"),
-        f"WITH {TELEMETRY_SQL} SELECT 'throttle|brake' AS pair, 1.0::DOUBLE AS correlation",
+        lambda s, d: rounded(Q.missingness_pairs(telemetry(s, d).withColumns({"throttle": F.when(F.col("n") % 5 != 0, F.col("throttle")), "brake": F.when(F.col("n") % 5 != 0, F.col("brake")), "speed": F.when(F.col("n") % 3 != 0, F.col("speed"))}), ["throttle", "brake", "speed"], least=-2.0), "correlation"),
+        f"""WITH {TELEMETRY_SQL}, f AS (SELECT CAST(n % 5 = 0 OR throttle IS NULL AS INT) AS t, CAST(n % 5 = 0 OR brake IS NULL AS INT) AS b, CAST(n % 3 = 0 OR speed IS NULL AS INT) AS s FROM telemetry),
+p AS (SELECT 'throttle|brake' AS pair, corr(t, b) AS c FROM f UNION ALL SELECT 'throttle|speed', corr(t, s) FROM f UNION ALL SELECT 'brake|speed', corr(b, s) FROM f)
+SELECT pair, round(c + 1.7e-10, 6) AS correlation FROM p""",
     ),
     "lap_structure": (
         lambda s, d: rounded(Q.lap_structure(telemetry(s, d).filter("lap <> 3")), "samples_per_lap", "samples_cv"),
