@@ -250,11 +250,15 @@ def _in_lists(postings: DataFrame) -> DataFrame:
     """The postings of the lists to look at, with the list's m members and small, its least set size.
 
     A list all of whose members have the same shared shingle before this one is left out: its pairs
-    meet in the list of that shingle, at a place that the filters let more through.
+    meet in the list of that shingle, at a place that the filters let more through. So is a list of two
+    whose pair does not pass the length and positional filters.
     """
     prev = [F.count("prev").alias("k"), F.min("prev").alias("p0"), F.max("prev").alias("p1")]
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("small"), *prev)
-    lists = lists.filter("m > 1 and (k < m or p0 <> p1)").select("key", "m", "small")
+    size = [F.min("n").alias("small"), F.max("n").alias("large"), F.min(F.col("n") - F.col("pos")).alias("room")]
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *prev, *size).filter("m > 1 and (k < m or p0 <> p1)")
+    total = F.col("small") + F.col("large")  # of a list of two: its only pair
+    pair = (F.col("small") * DEN >= F.col("large") * NUM) & (F.col("room") >= F.ceil(total * NUM / (NUM + DEN) - 1e-9))
+    lists = lists.filter((F.col("m") > 2) | pair).select("key", "m", "small")
     return postings.join(written(lists, "lists"), "key")  # written, so that a list of any length can be split
 
 
