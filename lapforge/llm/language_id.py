@@ -133,11 +133,17 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs with lang_pred and score, the posterior of the predicted language."""
+    found = _identified(docs, model, keep)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("__pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def _identified(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...]) -> DataFrame:
+    """k0, k1, ...: the columns keep, then __pred and __score: names that no column of docs can clash with."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x CELLS numbers
-    schema = docs.select(*keep).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    at_text = rows.columns.index("text")
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("__text"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
+    rows = kept.drop("__text").withColumnRenamed(f"k{keep.index('text')}", "__text") if "text" in keep else kept
+    at_text = rows.columns.index("__text")
 
     def scored(m, data, offsets):
         """(languages, posteriors) of the texts of one pass."""
@@ -164,10 +170,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
                 names, score = scored(m, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], [*part.schema.names[: len(keep)], "lang_pred", "score"]
+                    [*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], [*[f"k{i}" for i in range(len(keep))], "__pred", "__score"]
                 )
 
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{ddl}, __pred string, __score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -177,8 +183,8 @@ def held_out(doc_id: Column) -> Column:
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without the rows whose language stays unknown: no letter, or no language likelier than least."""
     model = fit(docs)
-    found = identify(docs, model, tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    found = _identified(docs, model, tuple(docs.columns)).filter((F.col("__pred") != UNKNOWN) & (F.col("__score") >= least))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest_llm import ODD, frame, prose, rows_of
 from lapforge.llm import chat_format, decontaminate, mixing
@@ -200,3 +202,53 @@ def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
         assert "doc_id" in docs.columns
+
+
+def overlap_brute(text, item):
+    """Most equal words of the best stretch, +1 for an equal word and -3 for another, of any gapless alignment, by trying all."""
+    a, b = (re.findall(r"[a-z0-9]+", x.lower()) for x in (text, item))
+    most = 0
+    for shift in range(-len(b) + 1, len(a)):
+        same = [a[i] == b[i - shift] for i in range(max(0, shift), min(len(a), shift + len(b)))]
+        stretches = [(sum(1 if x else -3 for x in same[s:e]), -e, -s, sum(same[s:e])) for s in range(len(same)) for e in range(s + 1, len(same) + 1)]
+        most = max(most, max(stretches, default=(0, 0, 0, 0))[3])
+    return most
+
+
+def test_decontamination_brute(spark):
+    """Substitutions at every rate, against an aligner that tries everything."""
+    r = random.Random(4)
+    items = [" ".join(prose(50 + k, 20)) for k in range(4)]
+    texts = []
+    for k in range(60):
+        passage = items[k % 4].split()[k % 5 : 20 - k % 3]
+        for at in r.sample(range(len(passage)), r.randrange(0, 9)):
+            passage[at] = f"other{r.random()}".replace(".", "")
+        texts.append(" ".join([*prose(700 + k, 30), *passage, *prose(800 + k, 20)]))
+    found = {(f["doc_id"], f["item_id"]) for f in decontaminate.find_overlaps(frame(spark, texts), benchmark(spark, items)).collect()}
+    want = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if overlap_brute(t, item) >= decontaminate.LEAST_MATCH}
+    assert found == want
+
+
+def test_decontamination_short_items(spark):
+    items = ["the quick brown fox", "seven words in a row are one", "Alone!", "", "the quick brown"]
+    texts = ["see The quick, brown fox run", "the quick red brown fox", "here seven words in a row are one item", "seven words in a row are", "all alone here", None]
+    found = {(f["doc_id"], f["item_id"]) for f in decontaminate.find_overlaps(frame(spark, texts), benchmark(spark, items)).collect()}
+    assert found == {(0, 0), (0, 4), (2, 1), (4, 2)}
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns named like those that stages use inside come through every stage but the last."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, " ".join(prose(1, 20)))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ("score", "lang_pred", "k0", "__text", "id", "mark", "row", "kept", "item_id", "cls")
+    docs = frame(spark, [" ".join(prose(k, 30)) for k in range(12)], langs=["en", "de"] * 6)
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    docs = docs.select(*dict.fromkeys(docs.columns))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert set(names) <= set(docs.columns)
+    assert docs.select("score", "lang_pred").distinct().collect() == [("score", "lang_pred")]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
