@@ -3,18 +3,19 @@
 Texts become words (lower case, letters and digits). Each of MASKS is laid at every word and hashes
 only the words under its ones, so a substitution under a zero leaves the seed intact. Seeds of
 documents and of benchmark items are joined on their hash; around each hit the two word sequences
-are aligned without gaps and the best stretch is scored, +1 for an equal word and -3 for another.
-A document is contaminated by an item if that stretch has at least least_match equal words (or all
-words of a shorter item) and three quarters of its words are equal. Every such pattern of 8 to 16 words
-holds at least one mask, so it is proposed even if nothing around it is equal.
+are aligned without gaps and the best stretch is scored, +1 for an equal word and -3 for another, so more
+than three quarters of its words are equal. A document is contaminated by an item if that stretch has at
+least least_match equal words. Every such pattern of 8 to 16 words holds at least one mask, so it
+is proposed even if nothing around it is equal. An item of fewer than 8 words counts when all its words
+stand in the document in a row: its one seed is the whole item, laid in its own length.
 
 Before the join, document seeds are tested against a bit table of the benchmark's seeds; its size is
 fixed, so it can be broadcast however large the benchmark is: a fuller table only lets
 more seeds through to the join. Seeds that pass carry no text; the words around them go out once per
 stretch of hits.
 
-Defined cases: null and empty texts and items have no seeds; a text or item shorter than every mask
-cannot match; rows that repeat a doc_id share one decision; a null doc_id is reported as its own row;
+Defined cases: null and empty texts and items have no seeds; a text shorter than an item's masks cannot
+match it; rows that repeat a doc_id share one decision; a null doc_id is reported as its own row;
 empty tables give an empty result, or clean documents; other columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from lapforge.llm import bitfilter
 from lapforge.llm.textkit import U64, mix, passes, utf8, words
 
 MASKS = ("11011011", "1101100111", "1110010111", "10110101011", "111101111")
+SHORTEST = min(map(len, MASKS))
 LEAST_MATCH = 8
 IDENTITY_PENALTY = 3  # a stretch with positive score everywhere has three quarters of its words equal
 MARGIN = 64
@@ -71,6 +73,12 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("bigint"), "text").mapInArrow(run, "item_id bigint, item_words array<bigint>")
 
 
+def masks_for(items: DataFrame) -> tuple[str, ...]:
+    """MASKS, and a mask of ones for each length of item that none of them fits: 7 more at most."""
+    short = items.select(F.size("item_words").alias("n")).filter(F.col("n").between(1, SHORTEST - 1)).distinct()
+    return (*MASKS, *("1" * r["n"] for r in short.collect()))
+
+
 def benchmark_seeds(items: DataFrame) -> DataFrame:
     """(seed, item_id, item_at) of the table benchmark_words gives."""
 
@@ -79,8 +87,8 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
             seed, item, at = [], [], []
             for k, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashed = np.array(row or [], np.int64).view(U64)
-                for mask in MASKS:
-                    s = _seeds(hashed, mask)
+                for mask in MASKS if len(hashed) >= SHORTEST else ["1" * len(hashed)]:
+                    s = _seeds(hashed, mask) if mask else np.zeros(0, U64)
                     seed.append(s.view(np.int64))
                     item += [k] * len(s)
                     at.append(np.arange(len(s), dtype=np.int32))
@@ -92,7 +100,7 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "seed bigint, item_id bigint, item_at int")
 
 
-def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def document_hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(doc_id, stretch, from_word, words, hits): stretches of text around seeds that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # bitfilter.BITS bits
     widest = max(map(len, MASKS))
@@ -103,7 +111,7 @@ def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             ids = batch.column(0)
             out = []
             for first, hashed, at in _word_rows(batch.column(1)):
-                found = [(s := _seeds(hashed, mask), np.flatnonzero(bitfilter.may_hold(table, s)), len(mask)) for mask in MASKS]
+                found = [(s := _seeds(hashed, mask), np.flatnonzero(bitfilter.may_hold(table, s)), len(mask)) for mask in masks]
                 place = np.concatenate([p for _, p, _ in found])
                 seed = np.concatenate([s[p] for s, p, _ in found])
                 size = np.concatenate([np.full(len(p), n) for _, p, n in found])
@@ -148,7 +156,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_match: int = LEAS
     """(doc_id, item_id, from_word, n_equal, n_words): the best verified stretch of each document and item."""
     items = benchmark_words(benchmark)
     seeds = benchmark_seeds(items)
-    hits = document_hits(docs, bitfilter.build(seeds.select("seed"))).withColumn("stretch", F.xxhash64("doc_id", "from_word", "words"))
+    hits = document_hits(docs, bitfilter.build(seeds.select("seed")), masks_for(items)).withColumn("stretch", F.xxhash64("doc_id", "from_word", "words"))
     near = (
         hits.select("doc_id", "from_word", "stretch", F.explode("hits").alias("h"))
         .join(seeds, F.col("h.seed") == F.col("seed"))
