@@ -424,7 +424,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw = data.tobytes()
-            n_words = np.diff(words(data, offsets, lower=False)[1])
+            n_words = [k for i, j in passes(offsets) for k in np.diff(words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=False)[1])]
             out = []
             ranges = batch.column(2)
             for r in range(batch.num_rows):
