@@ -1,6 +1,6 @@
 """Personal data by patterns, checksums and context, native DataFrame operations only.
 
-Patterns propose spans, validators (octet range, Luhn, digit counts, mod-97) drop the false ones,
+Patterns propose spans, validators (octet range, Luhn, digit counts, mod-97, mix of letters and digits) drop the false ones,
 and words near a span raise its score. Everything is one map over the table: no shuffle.
 
 Positions come from cutting the text at the matches: the lengths of the pieces and of the matches
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_NAMED = r"""(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)["']?\x20{0,3}[=:]\x20{0,3}["']?"""
 #: kind -> (pattern, cheap test that any matching text passes, base score, context words)
 KINDS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -54,6 +55,13 @@ KINDS = {
         0.8,
         r"(?i)\b(iban|account|konto|compte|cuenta|bank|bic|swift)\b",
     ),
+    # a value of 16 or more characters given to a name such as token, the name included
+    "secret": (
+        rf"(?i)\b{_NAMED}[A-Za-z0-9+/_=.-]{{16,}}+",
+        rf"(?i)\b{_NAMED}[A-Za-z0-9+/_=.-]{{16}}",
+        0.7,
+        r"(?i)\b(login|auth|authorization|bearer|credentials?|config|env|export)\b",
+    ),
 }
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS, CONTEXT_BONUS = 48, 0.2
@@ -93,6 +101,9 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(10, 15)
     if kind == "iban":
         return F.length(F.regexp_replace(match, " ", "")).between(15, 34) & _mod97(match)
+    if kind == "secret":  # random values mix letters and digits, names and prose do not
+        value = F.regexp_replace(match, f"^(?i){_NAMED}", "")
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -178,6 +189,8 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
         "n_iban",
+        "n_secret",
+        F.size("found").cast("bigint").alias("n_spans"),
         F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
 

@@ -154,6 +154,24 @@ def test_pii_query_on_documents(spark):
         assert [r[f"n_{k}"] for k in BASE] == [sum(w[3] == k for w in want) for k in BASE]
 
 
+def test_pii_secrets(spark):
+    token = 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"'
+    texts = [f"the {token} of it", f"{token} {token}", 'api_key: "x1"', "token = abcdefghijklmnopqrst", "a token of 1234567890123456 x"]
+    got = rows_of(pii.find_pii(frame(spark, texts)))
+    for i, text in enumerate(texts):
+        want = [(m.start(), m.end()) for m in re.finditer('token = "[0-9a-f]{40}', text)]
+        assert [(s["start"], s["end"]) for s in got[i]["found"] if s["kind"] == "secret"] == want, text
+
+
+@needs_data
+def test_pii_secrets_on_documents(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in pii.query(spark, DATA).collect()}
+    for i, text in texts.items():
+        assert got[i]["n_secret"] == len(re.findall('\\btoken = "(?=[0-9a-f]{40}")', text))
+        assert got[i]["n_spans"] == sum(got[i][f"n_{k}"] for k in pii.KINDS)
+
+
 def test_pii_mask_and_empty(spark, empty):
     docs = frame(spark, ["write to a@b.co now", None])
     got = rows_of(pii.mask_pii(docs))
