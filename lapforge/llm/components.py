@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.llm.storage import written
+from lapforge.llm.storage import release, written
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        state = written(small, "stars")
+        before, state = state, written(small, "stars")
+        release(before)
         if _are_stars(state):
             break
     else:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lapforge.llm import bitfilter, celltable
 from lapforge.llm.components import connected_components
-from lapforge.llm.storage import written
+from lapforge.llm.storage import release, written
 from lapforge.llm.textkit import U64, mix, passes, sequence_hash, shingles, utf8, words
 
 SIZE = 5
@@ -197,18 +197,18 @@ def _close(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int, again: frozenset[int]) -> DataFrame:
-    """(key, salt, cls, n, pos): the prefix shingles of each class, once per class and task."""
+    """(key, salt, cls, at): the prefix shingles of each class, once per class and task; at: n * 2^32 + pos."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # CELLS bytes
 
     def pack(held):
         heads, ids, sizes = zip(*held, strict=True)
         lengths = np.array([len(h) for h in heads])
         key = np.concatenate(heads)
-        cls, n = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
-        pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+        cls, n = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+        at = (n << 32) + np.concatenate([np.arange(k) for k in lengths])  # one number, as these are the most rows that travel
         salt = np.where((key >> U64(56)) >= frequent, cls % SALTS + 1, 0).astype(np.int32)
-        columns = [pa.array(x) for x in (key.view(np.int64), salt, cls, n, pos)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "salt", "cls", "n", "pos"])
+        columns = [pa.array(x) for x in (key.view(np.int64), salt, cls, at)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "salt", "cls", "at"])
 
     def run(batches):
         seen: set[int] = set()
@@ -226,7 +226,7 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, frequent: int, again: frozenset
         if held:
             yield pack(held)
 
-    return docs.select("text").mapInArrow(run, "key bigint, salt int, cls bigint, n int, pos int")
+    return docs.select("text").mapInArrow(run, "key bigint, salt int, cls bigint, at bigint")
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -237,9 +237,10 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     """
     place = Window.partitionBy("key", "salt")
     met = prefixes.withColumns({"least": F.min("cls").over(place), "most": F.max("cls").over(place)})
-    shared = met.filter("least <> most or salt > 0").select("key", "cls", "n", "pos", "salt")
+    shared = met.filter("least <> most or salt > 0").select("key", "cls", "at", "salt")
     # copies that several tasks have sent: same key and class
-    once = shared.groupBy("key", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).drop("salt")
+    once = shared.groupBy("key", "salt", "cls").agg(F.first("at").alias("at"))
+    once = once.select("key", "cls", F.shiftright("at", 32).cast("int").alias("n"), F.expr("at & 4294967295").cast("int").alias("pos"))
     own = Window.partitionBy("cls")
     size = F.expr(f"n - ((n * {NUM} + {DEN - 1}) div {DEN}) + 1")
     alone = (size - F.count(F.lit(1)).over(own)).cast("int").alias("alone")
@@ -253,13 +254,24 @@ def _in_lists(postings: DataFrame) -> DataFrame:
     meet in the list of that shingle, at a place that the filters let more through. So is a list of two
     whose pair does not pass the length and positional filters.
     """
-    prev = [F.count("prev").alias("k"), F.min("prev").alias("p0"), F.max("prev").alias("p1")]
+    before = F.coalesce("prev", "key")  # the key itself stands for no shingle before it
+    prev = [F.min(before).alias("p0"), F.max(before).alias("p1")]
     size = [F.min("n").alias("small"), F.max("n").alias("large"), F.min(F.col("n") - F.col("pos")).alias("room")]
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *prev, *size).filter("m > 1 and (k < m or p0 <> p1)")
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *prev, *size).filter("m > 1 and (p0 = key or p0 <> p1)")
     total = F.col("small") + F.col("large")  # of a list of two: its only pair
     pair = (F.col("small") * DEN >= F.col("large") * NUM) & (F.col("room") >= F.ceil(total * NUM / (NUM + DEN) - 1e-9))
     lists = lists.filter((F.col("m") > 2) | pair).select("key", "m", "small")
-    return postings.join(written(lists, "lists"), "key")  # written, so that a list of any length can be split
+    lists = written(lists, "lists")  # written, so that a list of any length can be split
+    wanted = postings.sparkSession.sparkContext.broadcast(bitfilter.build(lists.select("key")))  # bitfilter.BITS bits
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bitfilter.may_hold(wanted.value, batch.column(0).to_numpy())))
+
+    # most postings are in no such list: they do not travel
+    found = written(postings.mapInArrow(some, postings.schema).join(lists, "key"), "postings")
+    release(lists)
+    return found
 
 
 def _can_link(least_partner, pos):
@@ -411,7 +423,8 @@ def class_components(docs: DataFrame, classes: DataFrame, again: frozenset[int])
     """(node, root), as cls, over the classes that link with another one."""
     rank, frequent = frequency_ranks(shingle_frequencies(docs))
     every = written(_postings(_prefixes(docs, rank, frequent, again)), "prefixes")
-    postings = written(_in_lists(every), "postings")
+    postings = _in_lists(every)
+    release(every)
     maps = written(classes.join(postings.select("cls").distinct(), "cls", "left_semi"), "maps")
     checked = written(_first_pairs(postings), "pairs")
     roots = connected_components(_verify(docs, maps, checked))
@@ -422,11 +435,13 @@ def class_components(docs: DataFrame, classes: DataFrame, again: frozenset[int])
         main = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"))
         cost = main.agg(F.sum((F.col("m") - F.col("main.k")) * F.col("m")), F.sum("m")).first()
         if not cost[0]:
+            release(open_rows)
             break
         outside = open_rows.join(main.select("key", F.col("main.comp").alias("main")), "key").filter("comp <> main")
         last = turn == HUB_ROUNDS or cost[0] <= CROSS_FACTOR * cost[1]
         pairs = _across(open_rows, outside) if last else _star(open_rows, outside).distinct()
         fresh = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        release(open_rows)
         more = written(_verify(docs, maps, fresh), "found")
         if not more.isEmpty():
             # what is joined already goes in as stars
@@ -435,6 +450,7 @@ def class_components(docs: DataFrame, classes: DataFrame, again: frozenset[int])
         if last:
             break
         checked = checked.unionByName(fresh)
+    release(postings, maps)
     return roots
 
 
