@@ -14,6 +14,8 @@ from lapforge.functions.scalars import micros
 
 CARS_PER_RACE = 25
 TOTAL_LAPS = 60
+#: An error of at least this value brings out the yellow flag (about a fifth of the laps).
+YELLOW_VALUE = 150
 SIGNALS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -29,7 +31,7 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         micros(F.col("ts")).alias("ts_us"),
         F.col("value").alias("lap_time"),
-        (F.col("event_type") == "error").cast("int").alias("is_under_yellow"),
+        ((F.col("event_type") == "error") & (F.col("value") >= YELLOW_VALUE)).cast("int").alias("is_under_yellow"),
         "event_type",
     )
     order = Window.partitionBy("race", "vehicle_number").orderBy("ts_us", "event_id")
@@ -41,7 +43,7 @@ laps AS (
   SELECT user_id // {CARS_PER_RACE} AS race, user_id AS vehicle_number,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS lap,
          epoch_us(ts) AS ts_us, value AS lap_time,
-         CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_under_yellow, event_type
+         CASE WHEN event_type = 'error' AND value >= {YELLOW_VALUE} THEN 1 ELSE 0 END AS is_under_yellow, event_type
   FROM events)"""
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.operators import models as L
@@ -55,16 +57,21 @@ sc AS (SELECT race, vehicle_number, lap, last_relative, 0.7 * base_pace - 0.05 *
   + CASE WHEN gap_to_behind < 5 THEN 0.05 * (5 - gap_to_behind) / 5 ELSE 0.0 END + CASE WHEN position > 5 THEN 0.05 * (position - 5) * 0.1 ELSE 0.0 END AS c,
   CASE WHEN gap_to_ahead < 1 THEN 'close_battle' WHEN gap_to_behind < 2 THEN 'pressure' ELSE 'green' END AS regime FROM sr JOIN sfit USING (race, vehicle_number))"""
 )
-OVERTAKE_SQL = (
-    DELTAS_SQL
-    + """,
-orr AS (SELECT *, lap_time - median(lap_time) OVER (PARTITION BY race, lap) AS relative_time FROM deltas WHERE lap <= 30),
-op AS (SELECT race, vehicle_number, coalesce(avg(relative_time) FILTER (lap > 25), avg(relative_time)) AS pace, stddev_samp(relative_time) FILTER (lap > 25) AS std, count(*) FILTER (lap > 25) AS n FROM orr GROUP BY race, vehicle_number),
-onow AS (SELECT d.race, d.vehicle_number, d.position, d.gap_to_ahead, pace, std, n, pace - lag(pace) OVER (PARTITION BY d.race ORDER BY d.position) AS dl FROM deltas d JOIN op USING (race, vehicle_number) WHERE d.lap = 30),
-oc AS (SELECT *, coalesce(dl < -0.1 AND gap_to_ahead / abs(dl) < 30, false) AS can FROM onow),
-ov AS (SELECT race, vehicle_number, position AS current_position, greatest(1, position - CASE WHEN can THEN 1 ELSE 0 END) AS predicted_position, CASE WHEN can THEN CAST(ceil(gap_to_ahead / abs(dl)) AS BIGINT) END AS laps_to_overtake,
-  CASE WHEN n > 1 THEN greatest(0.3, 1 - std / 3) ELSE 0.5 END AS confidence FROM oc)"""
-)
+VALIDATED_LAPS = (10, 15, 20)
+
+
+def overtake_sql(at: int) -> str:
+    """CTE ov{at}: predicted positions from lap `at`; needs DELTAS_SQL before it."""
+    return f"""
+orr{at} AS (SELECT *, lap_time - median(lap_time) OVER (PARTITION BY race, lap) AS relative_time FROM deltas WHERE lap <= {at}),
+op{at} AS (SELECT race, vehicle_number, coalesce(avg(relative_time) FILTER (lap > {at - 5}), avg(relative_time)) AS pace, stddev_samp(relative_time) FILTER (lap > {at - 5}) AS std, count(*) FILTER (lap > {at - 5}) AS n FROM orr{at} GROUP BY race, vehicle_number),
+onow{at} AS (SELECT d.race, d.vehicle_number, d.position, d.gap_to_ahead, pace, std, n, pace - lag(pace) OVER (PARTITION BY d.race ORDER BY d.position) AS dl FROM deltas d JOIN op{at} USING (race, vehicle_number) WHERE d.lap = {at}),
+oc{at} AS (SELECT *, coalesce(dl < -0.1 AND gap_to_ahead / abs(dl) < {TOTAL_LAPS - at}, false) AS can FROM onow{at}),
+ov{at} AS (SELECT race, vehicle_number, position AS current_position, greatest(1, position - CASE WHEN can THEN 1 ELSE 0 END) AS predicted_position, CASE WHEN can THEN CAST(ceil(gap_to_ahead / abs(dl)) AS BIGINT) END AS laps_to_overtake,
+  CASE WHEN n > 1 THEN greatest(0.3, 1 - std / 3) ELSE 0.5 END AS confidence FROM oc{at})"""
+
+
+OVERTAKE_SQL = DELTAS_SQL + "," + overtake_sql(30)
 IDEAL = sum((5 - i) / math.log2(i + 2) for i in range(5))
 
 
@@ -85,20 +92,28 @@ def overtakes(s, d):
     return L.overtakes(features(s, d), 30, TOTAL_LAPS)
 
 
+def position_validation(s, d):
+    """Errors of the positions predicted from laps 10, 15 and 20."""
+    f, final = features(s, d), standings(laps(s, d))
+    scored = [VAL.position_errors(L.overtakes(f, at, TOTAL_LAPS), final).withColumn("from_lap", F.lit(at).cast("bigint")) for at in VALIDATED_LAPS]
+    return rounded(functools.reduce(DataFrame.unionByName, scored), "mean_error")
+
+
 def yellow_model(s, d):
-    """Out-of-the-box probabilities of a yellow flag next lap."""
-    rows = L.field_statistics(laps(s, d), R.position_churn(positioned(s, d)), R.yellow_laps(laps(s, d)))
-    rare = rows.withColumn("next_yellow", (F.col("next_yellow") * (F.col("lap") % 3 == 0).cast("int")).cast("double"))
-    model = L.yellow_forest(rare, ["field_median", "field_std", "field_min", "field_max", "n_cars", "position_churn"], trees=10)
+    """Out-of-the-box probabilities of a yellow flag next lap, null where no model can be fitted."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = L.field_statistics(laps(s, d), R.position_churn(positioned(s, d)), R.yellow_laps(laps(s, d))).withColumn("next_yellow", F.col("next_yellow").cast("double"))
+    model = L.yellow_forest(rows, ["field_median", "field_std", "field_min", "field_max", "n_cars", "position_churn"])
     if model is None:
-        return rare.select("race", "lap", "next_yellow")
-    return model.transform(rare).select("race", "lap", "next_yellow", "prediction")
+        return rows.select("race", "lap", "next_yellow", F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("prediction"))
+    return model.transform(rows).select("race", "lap", "next_yellow", vector_to_array("probability")[1].alias("probability"), "prediction")
 
 
 def boosted(s, d):
     """Train on even races, test on odd ones."""
     f = features(s, d).select(*KEY, "position", "laps_remaining", "prev_lap_time", "rolling_avg_3", "lap_time").dropna()
-    model = L.boosted_laps(f.filter("race % 2 = 0"), ["lap", "position", "prev_lap_time", "rolling_avg_3"], trees=5, depth=3)
+    model = L.boosted_laps(f.filter("race % 2 = 0"), ["lap", "position", "prev_lap_time", "rolling_avg_3"])
     tested = model.transform(f.filter("race % 2 = 1")).withColumn("error", F.col("lap_time") - F.col("prediction"))
     return L.evaluate(tested, ["race"])
 
@@ -144,8 +159,8 @@ FROM laps JOIN fit USING (race, vehicle_number) WHERE lap > 40""",
 SELECT race, vehicle_number, round(arg_max(relative_time, lap) + 1.7e-10, 6) AS prev_relative, round(sum(0.1 * pow(0.9, last - lap) * relative_time) + 1.7e-10, 6) AS mean_relative FROM m GROUP BY race, vehicle_number""",
     ),
     "lap_regimes": (
-        lambda s, d: rounded(L.lap_regimes(laps(s, d).withColumn("is_under_yellow", F.when(F.col("vehicle_number") % 25 == 3, F.col("is_under_yellow")).otherwise(0))), "field_median", "field_std", "baseline"),
-        f"""WITH {REGIME_SQL.replace("CASE WHEN event_type = 'error' THEN 1", "CASE WHEN event_type = 'error' AND user_id % 25 = 3 THEN 1")} SELECT race, lap, is_yellow, n_cars, regime, {r('field_median', 'field_std', 'baseline')} FROM regimes""",
+        lambda s, d: rounded(L.lap_regimes(laps(s, d)), "field_median", "field_std", "baseline"),
+        f"""WITH {REGIME_SQL} SELECT race, lap, is_yellow, n_cars, regime, {r('field_median', 'field_std', 'baseline')} FROM regimes""",
     ),
     "regime_means": (
         lambda s, d: rounded(L.regime_means(laps(s, d)), "predicted_relative"),
@@ -175,15 +190,16 @@ SELECT race, vehicle_number, lap, 0.3 * last_relative + c, regime FROM sc WHERE
 UNION ALL SELECT sc.race, sc.vehicle_number, sc.lap, 0.3 * f.p + sc.c, sc.regime FROM f JOIN sc ON sc.vehicle_number = f.vehicle_number AND sc.lap = f.lap + 1)
 SELECT race, vehicle_number, lap, round(p + 1.7e-10, 3) AS predicted_relative, regime, CAST(CASE WHEN regime = 'green' THEN 1.7 ELSE 2.5 END AS DOUBLE) AS uncertainty FROM f""",
     ),
-    "overtakes": (lambda s, d: rounded(overtakes(s, d), "confidence"), f"WITH {OVERTAKE_SQL} SELECT race, vehicle_number, current_position, predicted_position, laps_to_overtake, round(confidence + 1.7e-10, 6) AS confidence FROM ov"),
+    "overtakes": (lambda s, d: rounded(overtakes(s, d), "confidence"), f"WITH {OVERTAKE_SQL} SELECT race, vehicle_number, current_position, predicted_position, laps_to_overtake, round(confidence + 1.7e-10, 6) AS confidence FROM ov30"),
     "predicted_podium": (
         lambda s, d: L.predicted_podium(overtakes(s, d)).select(*V, "place"),
-        f"WITH {OVERTAKE_SQL}, p AS (SELECT race, vehicle_number, row_number() OVER (PARTITION BY race ORDER BY predicted_position, current_position) AS place FROM ov) SELECT * FROM p WHERE place <= 3",
+        f"WITH {OVERTAKE_SQL}, p AS (SELECT race, vehicle_number, row_number() OVER (PARTITION BY race ORDER BY predicted_position, current_position) AS place FROM ov30) SELECT * FROM p WHERE place <= 3",
     ),
     "position_validation": (
-        lambda s, d: rounded(VAL.position_errors(overtakes(s, d), standings(laps(s, d))), "mean_error"),
-        f"""WITH {OVERTAKE_SQL}, {STANDINGS_SQL} SELECT race, round(avg(abs(predicted_position - final_position)) + 1.7e-10, 6) AS mean_error, count(*) FILTER (predicted_position = 1 AND final_position = 1) AS winner_hits,
-count(*) FILTER (predicted_position <= 3 AND final_position <= 3) AS podium_hits FROM ov JOIN standings USING (race, vehicle_number) GROUP BY race""",
+        position_validation,
+        f"""WITH {DELTAS_SQL}, {", ".join(overtake_sql(at) for at in VALIDATED_LAPS)}, {STANDINGS_SQL}, ov AS ({" UNION ALL ".join(f"SELECT {at} AS from_lap, * FROM ov{at}" for at in VALIDATED_LAPS)})
+SELECT race, CAST(from_lap AS BIGINT) AS from_lap, round(avg(abs(predicted_position - final_position)) + 1.7e-10, 6) AS mean_error, count(*) FILTER (predicted_position = 1 AND final_position = 1) AS winner_hits,
+count(*) FILTER (predicted_position <= 3 AND final_position <= 3) AS podium_hits FROM ov JOIN standings USING (race, vehicle_number) GROUP BY race, from_lap""",
     ),
     "runner_up_what_if": (
         lambda s, d: rounded(L.runner_up(features(s, d)), "gap", "time_lost"),

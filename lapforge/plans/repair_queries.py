@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lapforge.functions.scalars import clock_seconds, haversine_m, integer, number, vehicle_from_id
 from lapforge.operators import repair as P
+from lapforge.operators.compare import standings
 from lapforge.operators.race import keep_last
 from lapforge.plans.adapter import CARS_PER_RACE, LAPS_SQL, SIGNALS, events, laps
 
@@ -151,15 +152,16 @@ def podium_sets(s, d):
 
 
 def driver_pair(s, d):
-    """Two vehicles of a race lap by lap, and where their difference turns by more than a half."""
+    """Each vehicle and the one a place behind it at the end, lap by lap, and where their difference turns by more than a half."""
     from pyspark.sql import Window
 
     rows = laps(s, d).select(*KEY, "lap_time")
-    a = rows.filter(F.col("vehicle_number") % CARS_PER_RACE == 0).select("race", "lap", F.col("lap_time").alias("time_a"))
-    b = rows.filter(F.col("vehicle_number") % CARS_PER_RACE == 1).select("race", "lap", F.col("lap_time").alias("time_b"))
-    j = a.join(b, ["race", "lap"]).withColumn("delta", F.col("time_a") - F.col("time_b"))
-    w = Window.partitionBy("race").orderBy("lap")
-    return j.select("race", "lap", F.round(F.col("delta") + 1.7e-10, 6).alias("delta"), (F.abs(F.col("delta") - F.lag("delta").over(w)) > 0.5).alias("crossover"))
+    placed = rows.join(standings(rows).select("race", "vehicle_number", F.col("final_position").alias("place")), ["race", "vehicle_number"])
+    a = placed.select("race", "lap", "place", F.col("lap_time").alias("time_a"))
+    b = placed.select("race", "lap", (F.col("place") - 1).alias("place"), F.col("lap_time").alias("time_b"))
+    j = a.join(b, ["race", "lap", "place"]).withColumn("delta", F.col("time_a") - F.col("time_b"))
+    w = Window.partitionBy("race", "place").orderBy("lap")
+    return j.select("race", "place", "lap", F.round(F.col("delta") + 1.7e-10, 6).alias("delta"), (F.abs(F.col("delta") - F.lag("delta").over(w)) > 0.5).alias("crossover"))
 
 
 def first_and_last(s, d):
@@ -303,8 +305,11 @@ SELECT race, count(*) FILTER (rt <= 3 AND rn <= 3) AS n_common, count(*) FILTER
     ),
     "driver_pair": (
         driver_pair,
-        f"""WITH {LAPS_SQL}, j AS (SELECT a.race, a.lap, a.lap_time - b.lap_time AS delta FROM laps a JOIN laps b USING (race, lap) WHERE a.vehicle_number % 25 = 0 AND b.vehicle_number % 25 = 1)
-SELECT race, lap, round(delta + 1.7e-10, 6) AS delta, abs(delta - lag(delta) OVER (PARTITION BY race ORDER BY lap)) > 0.5 AS crossover FROM j""",
+        f"""WITH {LAPS_SQL}, t AS (SELECT race, vehicle_number, max(lap) AS n, sum(lap_time) AS total FROM laps GROUP BY race, vehicle_number),
+p AS (SELECT race, vehicle_number, row_number() OVER (PARTITION BY race ORDER BY n DESC, total, vehicle_number) AS place FROM t),
+x AS (SELECT race, lap, place, lap_time FROM laps JOIN p USING (race, vehicle_number)),
+j AS (SELECT a.race, a.place, a.lap, a.lap_time - b.lap_time AS delta FROM x a JOIN x b ON b.race = a.race AND b.lap = a.lap AND b.place = a.place + 1)
+SELECT race, place, lap, round(delta + 1.7e-10, 6) AS delta, abs(delta - lag(delta) OVER (PARTITION BY race, place ORDER BY lap)) > 0.5 AS crossover FROM j""",
     ),
     "first_and_last_rows": (
         first_and_last,

@@ -13,9 +13,9 @@ POINTS_PER_RACE = 200
 RADIUS_M = 3000.0
 RACE_POINTS_SQL = f"""
 points AS (
-  SELECT vec_id // {POINTS_PER_RACE} AS race, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS latitude, CAST(embedding[2] AS DOUBLE) AS longitude
+  SELECT vec_id // {POINTS_PER_RACE} AS race, vec_id AS point_id, CAST(label AS BIGINT) AS track, CAST(embedding[1] AS DOUBLE) AS latitude, CAST(embedding[2] AS DOUBLE) AS longitude
   FROM embeddings)"""
-CORNERS_SQL = "corners AS (SELECT race, point_id AS corner_id, latitude, longitude FROM points WHERE point_id % 10 = 0)"
+CORNERS_SQL = "corners AS (SELECT race, track AS corner_id, avg(latitude) AS latitude, avg(longitude) AS longitude FROM points GROUP BY race, track)"
 HAVERSINE_SQL = "2 * 6371000.0 * asin(sqrt(pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2)))"
 
 
@@ -24,8 +24,9 @@ def race_points(s, d):
 
 
 def marks(s, d):
-    """Every tenth point as a corner."""
-    return race_points(s, d).filter("point_id % 10 = 0").withColumnRenamed("point_id", "corner_id")
+    """The centre of a race's points of one label as a corner."""
+    labelled = points(s, d).withColumn("race", F.expr(f"point_id div {POINTS_PER_RACE}"))
+    return labelled.groupBy("race", F.col("track").alias("corner_id")).agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
 
 
 def track(s, d):

@@ -40,6 +40,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    A session on one machine that names none gets a local one; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or f"file://{tempfile.gettempdir()}/lapforge-checkpoints").rstrip("/")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.gettempdir()}/lapforge-checkpoints"
+    return named.rstrip("/")
