@@ -49,7 +49,7 @@ def conversation_table(turns: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """One row per maximal conversation: conv_id, n_turns, n_copies, n_snapshots, chat.
+    """One row per maximal conversation: conv_id, n_turns, n_copies, n_chars, chat.
 
     n_copies counts the equal conversations it stands for, itself included. n_chars is the length
     of chat in code points.

@@ -13,10 +13,14 @@ PREFIX = "lapforge-"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (single-JVM tests) is a folder of this machine used.
+    A session on one machine that names none gets a folder of that machine; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"file://{tempfile.gettempdir()}/lapforge-checkpoints"
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.gettempdir()}/lapforge-checkpoints"
+    return named
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
