@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapforge.llm import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_join, pii, suffix_dedup, token_count, toxicity
+from lapforge.llm import best_fit_packing, chat_format, decontaminate, embedding_whitening, exact_dedup, filter_audit, language_id, mixing, ngram_join, pii, suffix_dedup, token_count, toxicity
 
 MODULES = {
     "op1_suffix_dedup": suffix_dedup,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_toxicity": toxicity,
     "op9_exact_dedup": exact_dedup,
     "op10_chat_format": chat_format,
+    "op11_filter_audit": filter_audit,
+    "op12_embedding_whitening": embedding_whitening,
+    "op13_best_fit_packing": best_fit_packing,
 }
 
 
