@@ -29,12 +29,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.llm.storage import written
+from lapforge.llm.textkit import passes
 
 TOKENS = 4096
 END_ID = 1
-#: Words whose ids a task remembers, and the longest such word in bytes.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers (about 200 bytes each), the longest such word in bytes, and words that meet the library in one string.
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
+TOGETHER = 100
+#: Marks that may close a word of letters: to the tokenizer a run of them is a symbol run of its own.
+CLOSING = ".,;:!?"
+#: Bytes of text whose words are looked up at a time.
+PASS_BYTES = 4_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, block int, place bigint"
 
 
@@ -77,29 +83,78 @@ class WordIds:
     """Ids of texts as little-endian 32-bit bytes, word by word.
 
     This tokenizer drops white space and never joins symbols across it, so a text's ids are those of its ASCII-space
-    separated words; each distinct word meets the library once.
+    separated words; each distinct word meets the library once. A word of letters with closing marks is the word and
+    the marks, which are runs of their own, and ASCII letters count as their lower case, as in the library. Words of
+    letters go to the library many in a string: each is one run of symbols or more, every run ends with an
+    end-of-word symbol, so if a string has as many ends as words, the ends bound the words.
     """
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode_batch
+        tokenizer = _tokenizer(path)
+        self.encode = tokenizer.encode_batch_fast
         self.known: dict[bytes, bytes] = {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]):
+        found = self.encode(words, add_special_tokens=False)
+        return zip(words, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True)
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        out, chunks = {}, range(0, len(words), TOGETHER)
+        for at, e in zip(chunks, self.encode([" ".join(words[i : i + TOGETHER]) for i in chunks], add_special_tokens=False), strict=True):
+            some, ids = words[at : at + TOGETHER], np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some):
+                raw, bounds = ids.tobytes(), ((ends + 1) * 4).tolist()
+                out.update(zip(some, [raw[i:j] for i, j in zip([0, *bounds], bounds, strict=False)], strict=True))
+            else:
+                out.update(self._each(some))
+        return out
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        simple, letters, other = [], set(), []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            core = text.rstrip(CLOSING)
+            if core.isalpha():
+                marks = text[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+                simple.append((w, core, marks))
+                letters.add(core)
+                if marks:
+                    other.append(marks)
+            else:
+                other.append(text)
+        cores, rest = self._letters(list(letters)), dict(self._each(list(set(other))))
+        rest[""] = b""
+        learnt = {w: cores[core] + rest[marks] for w, core, marks in simple}
+        if len(learnt) < len(words):
+            learnt.update((w, rest[w.decode("utf-8", "replace")]) for w in words if w not in learnt)
+        return learnt
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words, sizes = [], [0]
+        for t in texts:
+            words += t.split()
+            sizes.append(len(words))
+        ids = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        fresh = self._learn({words[i] for i in missing})
+        for i in missing:
+            ids[i] = fresh[words[i]]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+        self.known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_REMEMBERED)
+        return [b"".join(ids[i:j]) for i, j in zip(sizes, sizes[1:], strict=False)]
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        new = set(words).difference(self.known)
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(words)
-        fresh = self._learn(list(new))
-        self.known.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST_REMEMBERED)
-        known = self.known
-        return b"".join([fresh[w] if w in fresh else known[w] for w in words])
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One memory of words per Python worker, which serves task after task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, longest: int = TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -109,12 +164,15 @@ def pieces(docs: DataFrame, path: str | None = None, longest: int = TOKENS, end_
     def run(batches):
         from pyspark import TaskContext
 
-        block, seen, ids_of = TaskContext.get().partitionId(), np.zeros(longest + 1, np.int64).tolist(), WordIds(path or default_tokenizer())
+        block, seen, ids_of = TaskContext.get().partitionId(), [0] * (longest + 1), word_ids(path or default_tokenizer())
         step = 4 * longest
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(ids_of(text or b"") + end)
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, texts)])
+            found = (ids for i, j in passes(offsets, PASS_BYTES) for ids in ids_of(texts[i:j]))
+            for doc_id, raw in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids = memoryview(raw + end)
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     length = len(part) // 4
