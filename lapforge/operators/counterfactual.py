@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lapforge.operators import RACE
+from lapforge.operators import least_squares as LS
 from lapforge.operators.compare import clean_consistency, degradation, standings, traffic_cost
 
 FEATURES = ("degradation", "consistency", "traffic_laps")
@@ -102,26 +101,44 @@ def fit_from_sums(row, columns: Sequence[str] = FEATURES) -> dict[str, float] |
     return dict(zip(("intercept", *columns), map(float, beta), strict=True)) | {"r2": float(1 - left / total) if total else float("nan"), "n": n}
 
 
-def race_fits(features: DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE) -> DataFrame:
-    """One fit per race over its drivers with all values: intercept, a coefficient per column, r2 and n. Races with fewer
-    than ten such drivers have no fit and no row."""
-    sums = normal_sums(features.dropna(subset=[*columns, "lap_time_delta"]), columns, by=race)
-    numbers = ("intercept", *columns, "r2")
-    out = T.StructType([*[sums.schema[c] for c in race], *[T.StructField(c, T.DoubleType()) for c in numbers], T.StructField("n", T.LongType())])
-
-    def solve(batches):
-        for batch in batches:
-            fits = [(row, fit) for row in batch.to_pylist() if (fit := fit_from_sums(row, columns))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array([row[c] for row, _ in fits], batch.schema.field(c).type) for c in race],
-                    *[pa.array([fit[c] for _, fit in fits], pa.float64()) for c in numbers],
-                    pa.array([fit["n"] for _, fit in fits], pa.int64()),
-                ],
-                names=[*race, *numbers, "n"],
-            )
-
-    return sums.mapInArrow(solve, out)
+def race_fits(features: DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE, least: int = 10) -> DataFrame:
+    """One fit per race over its drivers with all values: intercept, a coefficient per column, r2, n, and what leverages need
+    (inverse, means). Races with fewer than `least` such drivers have no fit and no row."""
+    sums = features.dropna(subset=[*columns, "lap_time_delta"]).groupBy(*race).agg(*LS.sums([F.col(c) for c in columns], F.col("lap_time_delta")))
+    solved = LS.solve(sums, len(columns), inverse=True).filter(F.col("n_rows") >= least)
+    named = {f"b{i}": c for i, c in enumerate(("intercept", *columns))}
+    r2 = 1 - F.col("rss") / F.nullif(F.col("tss"), F.lit(0.0))
+    return solved.withColumns({"r2": r2, "n": F.col("n_rows")}).withColumnsRenamed(named)
+
+
+def model_validation(features: DataFrame, fits: DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE) -> DataFrame:
+    """One row per fitted race: r2, mae, leave-one-out r2 and mae, and whether each coefficient has the expected (positive) sign.
+
+    Leaving a driver out changes its error to e / (1 - h) with h its leverage, so no fit is repeated. loo_r2 is one less
+    the sum of those squares over the spread of the target; a driver whose leverage is 1 decides its own
+    prediction and makes both null.
+    """
+    keys = [*race, "vehicle_number"]
+    whole = features.dropna(subset=[*columns, "lap_time_delta"]).select(*keys, *columns, "lap_time_delta")
+    model = fits.select(*race, F.col("intercept").alias("b0"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(columns, 1)], *[c for c in fits.columns if c.startswith("v_") or c in {f"m{i}" for i in range(1, len(columns) + 1)}], "n_rows", "tss", "r2")
+    met = whole.join(model, list(race))
+    cols = [F.col(c).cast("double") for c in columns]
+    e = F.col("lap_time_delta") - LS.fitted(cols)
+    free = 1 - LS.leverage(cols)
+    rows = met.withColumns({"__e": e, "__l": F.when(free > 1e-9, e / free)})
+    all_known = F.count("__l") == F.count(F.lit(1))
+    out = rows.groupBy(*race).agg(
+        F.first("r2").alias("r2"),
+        F.avg(F.abs("__e")).alias("mae"),
+        F.when(all_known, 1 - F.sum(F.col("__l") * F.col("__l")) / F.nullif(F.first("tss"), F.lit(0.0))).alias("loo_r2"),
+        F.when(all_known, F.avg(F.abs("__l"))).alias("loo_mae"),
+        *[(F.first(f"b{i}") > 0).alias(f"{c}_positive") for i, c in enumerate(columns, 1)],
+        F.first("n_rows").alias("n"),
+    )
+    passed = F.lit(True)
+    for c in columns:
+        passed = passed & F.col(f"{c}_positive")
+    return out.withColumn("passed", passed)
 
 
 def predict(features: DataFrame, model: Mapping[str, float] | DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE) -> DataFrame:

@@ -230,7 +230,13 @@ x AS (SELECT *, unnest(generate_series(last + 1, 35)) AS lap FROM l) SELECT race
 c AS (SELECT *, (xy * zz - zy * xz) / nullif(xx * zz - xz * xz, 0) AS a, (zy * xx - xy * xz) / nullif(xx * zz - xz * xz, 0) AS b FROM m WHERE n >= 3)
 SELECT race, vehicle_number, n, round(my - a * mx - b * mz + 1.7e-10, 6) AS intercept, round(a + 1.7e-10, 6) AS lap_coef, round(b + 1.7e-10, 6) AS position_coef FROM c""",
     ),
-    "driver_ols_least_norm": (lambda s, d: L.driver_ols(features(s, d)), None),
+    "driver_ols_least_norm": (
+        lambda s, d: rounded(L.driver_ols(features(s, d)), "intercept", "lap", "position", "laps_remaining"),
+        f"""WITH {POSITION_SQL}, m AS (SELECT race, vehicle_number, count(*) AS n, avg(lap) AS mx, avg(position) AS mz, avg(lap_time) AS my, covar_pop(lap, lap) AS xx, covar_pop(position, position) AS zz, covar_pop(lap, position) AS xz, covar_pop(lap, lap_time) AS xy, covar_pop(position, lap_time) AS zy FROM pos GROUP BY race, vehicle_number HAVING count(*) >= 3),
+c AS (SELECT *, CASE WHEN xx * zz - xz * xz > 1e-9 * xx * zz THEN (xy * zz - zy * xz) / (xx * zz - xz * xz) ELSE (xy / xx) / (1 + pow(xz / xx, 2) / 2) END AS a,
+  CASE WHEN xx * zz - xz * xz > 1e-9 * xx * zz THEN (zy * xx - xy * xz) / (xx * zz - xz * xz) ELSE (xy / xx) / (1 + pow(xz / xx, 2) / 2) * (xz / xx) / 2 END AS b FROM m)
+SELECT race, vehicle_number, n, round(my - a * mx + a / 2 * {TOTAL_LAPS} - b * mz + 1.7e-10, 6) AS intercept, round(a / 2 + 1.7e-10, 6) AS lap, round(b + 1.7e-10, 6) AS position, round(-a / 2 + 1.7e-10, 6) AS laps_remaining FROM c""",
+    ),
     "walk_forward_ols": (
         walk_forward_ols,
         f"""WITH {LAPS_SQL}, p AS (SELECT *, count(*) OVER w AS n, regr_slope(lap_time, lap) OVER w AS slope, regr_intercept(lap_time, lap) OVER w AS a FROM laps WINDOW w AS (PARTITION BY race, vehicle_number ORDER BY lap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
