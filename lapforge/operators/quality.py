@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lapforge.functions.scalars import seconds_between
 from lapforge.operators import RACE
+from lapforge.operators.selection import exact_quantiles
 
 
 def out_of_range(value: Column, bounds: tuple[float, float] | None, mean: Column, std: Column) -> Column:
@@ -18,10 +19,14 @@ def out_of_range(value: Column, bounds: tuple[float, float] | None, mean: Column
     return F.abs(value - mean) > 3 * std
 
 
+SHARES = (1, 5, 50, 95, 99)
+
+
 def signal_profile(t: DataFrame, signals: Sequence[str], ranges: dict[str, tuple[float, float]], by: Sequence[str] = ()) -> DataFrame:
-    """One row per signal: missing, zero, negative and outlier shares, moments and quantiles.
+    """One row per signal (and group of `by`): missing, zero, negative and outlier shares, moments and quantiles.
 
-    Signals are turned into rows, so one aggregation serves them all.
+    Signals are turned into rows, so one aggregation serves them all. Quantiles of whole signals come from value
+    ranges (no group holds a signal); those of the small groups of `by` from the group.
     """
     long = t.unpivot([*by, "n"], list(signals), "signal", "x")
     low = F.create_map(*[F.lit(z) for s in ranges for z in (s, float(ranges[s][0]))])[F.col("signal")] if ranges else F.lit(None)
@@ -30,10 +35,16 @@ def signal_profile(t: DataFrame, signals: Sequence[str], ranges: dict[str, tuple
     x = F.col("x")
     outlier = F.coalesce((x < low) | (x > high), F.abs(x - F.col("__a")) > 3 * F.col("__s"))
     n, pct = F.count(F.lit(1)), lambda test: 100.0 * F.count_if(test) / F.count(F.lit(1))
-    return long.join(moments, [*by, "signal"]).groupBy(*by, "signal").agg(
+    grouped = [F.percentile(x, F.lit(q / 100)).alias(f"p{q}") for q in SHARES] if by else []
+    profile = long.join(moments if by else F.broadcast(moments), [*by, "signal"]).groupBy(*by, "signal").agg(
         n.alias("n"), pct(x.isNull()).alias("missing_pct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        *[F.percentile(x, F.lit(q / 100)).alias(f"p{q}") for q in (1, 5, 50, 95, 99)], pct(outlier).alias("outlier_pct"), pct(x == 0).alias("zero_pct"), pct(x < 0).alias("negative_pct"),
+        *grouped, pct(outlier).alias("outlier_pct"), pct(x == 0).alias("zero_pct"), pct(x < 0).alias("negative_pct"),
     )
+    if by:
+        return profile
+    quantiles = exact_quantiles(long, "signal", "x", [q / 100 for q in SHARES])
+    wide = quantiles.groupBy("signal").agg(*[F.max(F.when(F.col("share") == q / 100, F.col("quantile"))).alias(f"p{q}") for q in SHARES])
+    return profile.join(F.broadcast(wide), "signal", "left")  # one row a signal
 
 
 def missingness_pairs(t: DataFrame, signals: Sequence[str], least: float = 0.8) -> DataFrame:

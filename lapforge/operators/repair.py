@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapforge.functions.scalars import integer, vehicle_from_id
+from lapforge.operators.selection import overall_median
 
 CORRUPT_LAP = 100
 JSON_SIGNALS = "array<struct<name:string,value:double>>"
@@ -95,10 +96,10 @@ def throttle_column(df: DataFrame) -> str | None:
 def fill_with_medians(df: DataFrame, column: str, group: Sequence[str]) -> DataFrame:
     """Nulls become the group's median, then the median of all rows.
 
-    The overall median is one row, joined by broadcast.
+    The overall median is selected by value ranges and joined by broadcast, one row.
     """
     w = Window.partitionBy(*group)
-    overall = df.agg(F.median(column).alias("__all"))
+    overall = overall_median(df, column).select(F.col("median").alias("__all"))
     return df.crossJoin(F.broadcast(overall)).withColumn(column, F.coalesce(column, F.median(column).over(w), "__all")).drop("__all")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lapforge.operators import RACE
 from lapforge.operators.race import by_vehicle
+from lapforge.operators.selection import global_rank
 
 WARMUPS, HORIZONS = (3, 5, 8, 10, 15), (1, 2, 3, 5)
 
@@ -113,7 +114,7 @@ def forecast_order(features: DataFrame, laps_at: Sequence[int], race: Sequence[s
 def best_race(validation: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
     """Races by mean absolute error, best first."""
     mae = validation.groupBy(*race).agg(F.avg(F.abs("error")).alias("mae"))
-    return mae.withColumn("place", F.row_number().over(Window.orderBy(F.round("mae", 9), *race)).cast("bigint"))
+    return global_rank(mae, [F.round("mae", 9), *[F.col(c) for c in race]])
 
 
 def claim_check(actual: Column, expected: Column, tolerance: float) -> Column:

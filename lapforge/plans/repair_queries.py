@@ -8,6 +8,7 @@ from lapforge.functions.scalars import clock_seconds, haversine_m, integer, numb
 from lapforge.operators import repair as P
 from lapforge.operators.compare import standings
 from lapforge.operators.race import keep_last
+from lapforge.operators.selection import overall_median
 from lapforge.plans.adapter import CARS_PER_RACE, LAPS_SQL, SIGNALS, events, laps
 
 KEY = ["race", "vehicle_number", "lap"]
@@ -117,7 +118,7 @@ def endurance(s, d):
 def left_join_flags(s, d):
     """Laps with the flags of a second source: missing flags 0, missing speeds the median of all."""
     joined = laps(s, d).select(*KEY, "lap_time").join(endurance(s, d), KEY, "left")
-    overall = endurance(s, d).agg(F.median("top_speed").alias("m"))
+    overall = overall_median(endurance(s, d), "top_speed").select(F.col("median").alias("m"))
     return joined.crossJoin(F.broadcast(overall)).select(
         *KEY, F.coalesce("flag", F.lit(0)).alias("flag"), F.round(F.coalesce("top_speed", "m") + 1.7e-10, 6).alias("top_speed")
     )
