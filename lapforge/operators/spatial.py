@@ -8,7 +8,7 @@ never products of whole tables.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -102,12 +102,37 @@ class CornerRule:
     retry: bool = True
     kinds: tuple[tuple[float, str], ...] = ((60.0, "slow"), (90.0, "medium"))
     otherwise: str = "fast"
+    smooth: int = 1  # samples of the centred mean that peaks are looked for in; the level stays the raw value
+    above_zero: bool = False  # the percentile is of the values above 0, and peaks reach it (or `floor`)
+    floor: float = 0.0
+    by_peak: bool = False  # a corner's level is its largest, not its median
+    wider: float = 2.0  # radius of the second try, in which `retry_least` places make a core
+    retry_least: int | None = 2  # None: as in the first
+    number_by: str | None = None  # longitude or angle; default: latitude for slow places, as found for braking
 
 
 SPEED_CORNERS = CornerRule()
 BRAKE_CORNERS = CornerRule(
     signal="brake", minima=False, percentile=60.0, retry=False, kinds=((30.0, "light"), (60.0, "medium")), otherwise="heavy"
 )
+TUNED_CORNERS = CornerRule(
+    signal="brake", minima=False, percentile=50.0, least_rows=100, least_distance=15, most_corners=10**9, prominence=3.0, eps=1.2e-4, least_samples=3, retry=False,
+    kinds=BRAKE_CORNERS.kinds, otherwise="heavy", smooth=5, above_zero=True, by_peak=True, number_by="longitude",
+)
+FINAL_CORNERS = CornerRule(
+    signal="brake", minima=False, percentile=40.0, least_rows=100, least_distance=10, most_corners=10**9, prominence=2.0, eps=1.2e-4, least_samples=2,
+    kinds=BRAKE_CORNERS.kinds, otherwise="heavy", smooth=5, above_zero=True, floor=10.0, by_peak=True, wider=1.5, retry_least=None, number_by="angle",
+)
+
+
+def centred_mean(x: np.ndarray, width: int) -> np.ndarray:
+    """Mean of `width` values about each; the value itself near the ends and beside missing ones."""
+    if width <= 1 or len(x) < width:
+        return x
+    mean = np.convolve(x, np.full(width, 1 / width), "valid")
+    out, side = x.astype(float).copy(), width // 2
+    out[side : side + len(mean)] = np.where(np.isnan(mean), out[side : side + len(mean)], mean)
+    return out
 
 
 def _filled(x: np.ndarray) -> np.ndarray:
@@ -131,6 +156,13 @@ def corner_candidates(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, or
         if len(x) < rule.least_rows or np.isnan(x).mean() > 0.5:
             return empty
         x = _filled(x)
+        if rule.above_zero:
+            soft = np.nan_to_num(centred_mean(x, rule.smooth), nan=0.0)
+            if not (soft > 0).any():
+                return empty
+            limit = max(float(np.percentile(soft[soft > 0], rule.percentile)), rule.floor)
+            at = peaks(soft, limit, max(len(x) // (2 * rule.most_corners), rule.least_distance), rule.prominence)
+            return part.iloc[at][[*keys, "latitude", "longitude"]].assign(level=x[at])
         limit = np.nanpercentile(x, rule.percentile)
         signed = np.nan_to_num(-x if rule.minima else x, nan=-np.inf)
         at = peaks(signed, distance=max(len(x) // (2 * rule.most_corners), rule.least_distance), prominence=rule.prominence)
@@ -143,10 +175,10 @@ def corner_candidates(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, or
     return rows.groupBy(*keys).applyInPandas(run, shape)
 
 
-def corners(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str = "ts_us", race: Sequence[str] = RACE) -> DataFrame:
+def corners(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str = "ts_us", race: Sequence[str] = RACE, candidates: DataFrame | None = None) -> DataFrame:
     """One row per corner of a race: corner_id, latitude, longitude, level (median), level_std, n_observations,
     corner_type. Speed corners are numbered by position, brake corners as their clusters were found."""
-    found = corner_candidates(telemetry, rule, order, race)
+    found = corner_candidates(telemetry, rule, order, race) if candidates is None else candidates
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["vehicle_number", "lap", "latitude", "longitude"])
@@ -154,13 +186,20 @@ def corners(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str =
         xy = part[["latitude", "longitude"]].to_numpy(float)
         label = density_labels(xy, rule.eps, rule.least_samples or max(2, laps // 3))
         if rule.retry and not (label >= 0).any():
-            label = density_labels(xy, 2 * rule.eps, 2)
+            label = density_labels(xy, rule.wider * rule.eps, rule.retry_least or rule.least_samples or max(2, laps // 3))
         kept = part.assign(cluster=label)[label >= 0]
         grouped = kept.groupby("cluster")
         out = grouped[["latitude", "longitude", "level"]].median()
+        if rule.by_peak:
+            out["level"] = grouped["level"].max()
         out["level_std"] = grouped["level"].std()
         out["n_observations"] = grouped.size()
-        out = out.sort_values(["latitude", "longitude"]) if rule.minima else out
+        if rule.number_by == "angle":
+            out = out.iloc[np.argsort(np.arctan2(out["latitude"] - out["latitude"].mean(), out["longitude"] - out["longitude"].mean()).to_numpy(), kind="stable")]
+        elif rule.number_by == "longitude":
+            out = out.sort_values(["longitude", "latitude"])
+        elif rule.minima:
+            out = out.sort_values(["latitude", "longitude"])
         out["corner_id"] = np.arange(1, len(out) + 1)
         for c in race:
             out[c] = part[c].iloc[0]
@@ -180,10 +219,15 @@ def check_corners(found: DataFrame, least: int = 3, most: int = 20, race: Sequen
 
 
 def best_rule(telemetry: DataFrame, rules: Sequence[CornerRule], target: int = 12, within: tuple[int, int] = (11, 14), order: str = "ts_us", race: Sequence[str] = RACE) -> DataFrame:
-    """Per race the rule (its place in rules) whose number of corners is nearest the target and within bounds."""
-    counts = None
+    """Per race the rule (its place in rules) whose number of corners is nearest the target and within bounds.
+
+    Rules that look for the same candidates share one search for them."""
+    counts, searched = None, {}
     for i, rule in enumerate(rules):
-        one = corners(telemetry, rule, order, race).groupBy(*race).agg(F.count(F.lit(1)).alias("n_corners")).withColumn("rule", F.lit(i))
+        search = replace(rule, eps=0.0, least_samples=None, retry=False, kinds=(), otherwise="", by_peak=False, wider=0.0, retry_least=None, number_by=None)
+        if search not in searched:
+            searched[search] = corner_candidates(telemetry, rule, order, race).persist()
+        one = corners(telemetry, rule, order, race, searched[search]).groupBy(*race).agg(F.count(F.lit(1)).alias("n_corners")).withColumn("rule", F.lit(i))
         counts = one if counts is None else counts.unionByName(one)
     near = F.struct(F.abs(F.col("n_corners") - target), "rule")
     return counts.filter(F.col("n_corners").between(*within)).groupBy(*race).agg(F.min_by(F.struct("rule", "n_corners"), near).alias("b")).select(*race, "b.*")
