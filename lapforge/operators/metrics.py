@@ -217,10 +217,16 @@ def average_rank(df: DataFrame, column: str, out: str, over: Sequence[str]) -> D
     return df.withColumn(out, F.when(F.col(column).isNotNull(), rank))
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation as an aggregate; null where one side does not vary."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, over: Sequence[str]) -> DataFrame:
     """Rank correlation per group, with the t statistic of its significance."""
     ranked = average_rank(average_rank(df.dropna(subset=[x, y]), x, "__x", over), y, "__y", over)
-    rho, n = F.corr("__x", "__y"), F.count(F.lit(1))
+    rho, n = pearson("__x", "__y"), F.count(F.lit(1))
     out = ranked.groupBy(*over).agg(rho.alias("rho"), n.alias("n"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
     return out.withColumn("t", gated(F.col("n"), 3, t))
