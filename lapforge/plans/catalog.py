@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lapforge.plans import compare_queries, metric_queries, model_queries, quality_queries, race_queries, repair_queries, spatial_queries, stream_queries, validation_queries, walk_queries
+from lapforge.plans import compare_queries, metric_queries, model_queries, quality_queries, race_queries, repair_queries, report_queries, spatial_queries, stream_queries, validation_queries, walk_queries
 
-MODULES = [race_queries, repair_queries, metric_queries, compare_queries, model_queries, quality_queries, spatial_queries, stream_queries, validation_queries, walk_queries]
+MODULES = [race_queries, repair_queries, metric_queries, compare_queries, model_queries, quality_queries, report_queries, spatial_queries, stream_queries, validation_queries, walk_queries]
 
 
 def queries() -> dict:

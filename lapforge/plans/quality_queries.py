@@ -130,8 +130,8 @@ p AS (SELECT 'throttle|brake' AS pair, corr(t, b) AS c FROM f UNION ALL SELECT '
 SELECT pair, round(c + 1.7e-10, 6) AS correlation FROM p""",
     ),
     "lap_structure": (
-        lambda s, d: rounded(Q.lap_structure(telemetry(s, d).filter("lap <> 3")), "samples_per_lap", "samples_cv"),
-        f"""WITH {TELEMETRY_SQL}, p AS (SELECT race, vehicle_number, lap, count(*) AS k FROM telemetry WHERE lap <> 3 GROUP BY race, vehicle_number, lap)
+        lambda s, d: rounded(Q.lap_structure(telemetry(s, d).withColumn("lap", F.expr("lap + lap div 3"))), "samples_per_lap", "samples_cv"),
+        f"""WITH {TELEMETRY_SQL}, p AS (SELECT race, vehicle_number, lap, count(*) AS k FROM (SELECT * REPLACE (lap + lap // 3 AS lap) FROM telemetry) GROUP BY race, vehicle_number, lap)
 SELECT race, vehicle_number, min(lap) AS first_lap, max(lap) AS last_lap, count(*) AS n_laps, max(lap) - min(lap) + 1 - count(*) AS n_missing, round(avg(k) + 1.7e-10, 6) AS samples_per_lap, round(stddev_samp(k) / avg(k) + 1.7e-10, 6) AS samples_cv FROM p GROUP BY race, vehicle_number""",
     ),
     "timestamp_gaps": (
