@@ -25,7 +25,7 @@ GPS = {"VBOX_Lat_Min": "latitude", "VBOX_Long_Minutes": "longitude", "speed": "s
 
 def delimited(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """Text columns under stripped names; types are for the caller to give."""
-    return strip_headers(spark.read.option("header", True).option("sep", sep).csv(path))
+    return strip_headers(spark.read.option("header", True).option("sep", sep).option("escape", "\"").csv(path))
 
 
 def typed(df: DataFrame, ddl: str) -> DataFrame:
@@ -112,8 +112,15 @@ def distinct_values(df: DataFrame, column: str) -> list:
 
 
 def signals(spark: SparkSession, path: str, rows: int = 10_000) -> list[str]:
-    """Signal names among the first rows."""
-    return distinct_values(delimited(spark, path).limit(rows), "telemetry_name")
+    """Sorted signal names: among the first rows of a long file, in the first row's payload of a JSON file; none if there is neither, or the payload cannot be read."""
+    table = delimited(spark, path)
+    if "telemetry_name" in table.columns:
+        return distinct_values(table.limit(rows), "telemetry_name")
+    if "value" not in table.columns:
+        return []
+    parsed = [F.from_json(text, repair.JSON_SIGNALS)["name"] for text in (F.col("value"), F.regexp_replace("value", '""', '"'))]  # as it is, or with doubled quotes
+    first = table.select(F.coalesce(*[F.when(~F.exists(names, lambda x: x.isNull()), names) for names in parsed]).alias("names")).first()
+    return sorted(first["names"]) if first and first["names"] else []
 
 
 def file_names(spark: SparkSession, folder: str) -> list[str]:
