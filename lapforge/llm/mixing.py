@@ -2,7 +2,9 @@
 
 Weights are the source token shares raised to an exponent between 0 (all sources alike) and 1 (as they
 are) and normalised. The exponent is bisected: the largest that still reaches the target entropy,
-then no smaller than the one at which no source is read more than max_repeats times. The shares
+then no smaller than the one at which no source is read more than max_repeats times. The target is a share of
+the entropy of equal weights, which natural shares may reach as they are; or, with close_gap, the natural
+entropy and that part of what it lacks, which binds whenever the sources differ in size. The shares
 stay in Spark: each step of the search is one aggregate over the table of sources.
 
 A source's weight gives its token budget. Whole passes over the source come first; the rest is filled
@@ -34,14 +36,20 @@ STEPS = 40
 
 @dataclass(frozen=True)
 class Mixture:
-    """What the weights are to meet. entropy_share: of the entropy of equal weights."""
+    """What the weights are to meet. entropy_share: of the entropy of equal weights; close_gap, if given, in its place: of
+    the difference between the natural entropy and that of equal weights (0: as it is, 1: equal weights)."""
 
     entropy_share: float = 0.97
+    close_gap: float | None = None
     max_repeats: float = 4.0
     budget_share: float = 1.0  # of all tokens there are
     seed: int = 42
 
 
+#: The registered mixture: half of the way from natural shares to equal ones, as entropy goes.
+EVENER = Mixture(close_gap=0.5)
+
+
 def n_tokens(text: Column) -> Column:
     """Tokens counted as runs without white space."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
@@ -83,8 +91,10 @@ def find_exponent(sources: DataFrame, mixture: Mixture) -> float:
             low, high = low + (high - low) * step / 32, low + (high - low) * (step + 1) / 32
         return high
 
-    goal = mixture.entropy_share * math.log(n)
     at_zero, at_one = measure([0.0, 1.0])
+    goal = mixture.entropy_share * math.log(n)
+    if mixture.close_gap is not None:
+        goal = at_one[0] + mixture.close_gap * max(0.0, math.log(n) - at_one[0])
     # entropy falls as the exponent grows; natural shares are kept where they reach the goal
     exponent = 1.0 if at_one[0] >= goal else bisect(lambda m: m[0] > goal)
     flattest = 0.0 if at_zero[1] <= mixture.max_repeats else bisect(lambda m: m[1] > mixture.max_repeats)
@@ -102,21 +112,23 @@ def source_budgets(sources: DataFrame, exponent: float, mixture: Mixture) -> Dat
         .withColumn("whole", F.expr("target div tokens"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("tokens"))
         .withColumn("n_blocks", F.least(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(MAX_BLOCKS)).cast("int"))
-        .select("source", "tokens", "n_blocks", "weight", "whole", "rest")
+        .select("source", "tokens", "n_blocks", "weight", "whole", "rest", F.col("target").alias("budget"))
     )
 
 
-def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str, ...] = (), explain: bool = False) -> DataFrame:
     """One row per reading of a document: doc_id, source, n_tokens, epoch, block, place, and the columns carry.
 
-    Within an epoch of a source documents are read by block rank, then place.
+    Within an epoch of a source documents are read by block rank, then place. explain adds exponent, and the source's weight and
+    budget in tokens.
     """
     carried = F.struct(*carry).alias("carried") if carry else F.lit(True).alias("carried")
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"), carried
     )
     sources = _sources(rows).cache()  # one row a source
-    budgets = source_budgets(sources, find_exponent(sources, mixture), mixture)
+    exponent = find_exponent(sources, mixture)
+    budgets = source_budgets(sources, exponent, mixture)
     seed = F.lit(mixture.seed)
     dealt = (
         rows.alias("d")
@@ -129,6 +141,7 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str,
             "n_blocks",
             "whole",
             "rest",
+            F.struct("weight", "budget").alias("why"),
             F.pmod(F.xxhash64(seed, "d.doc_id"), F.col("n_blocks")).cast("int").alias("block"),
         )
     )
@@ -149,7 +162,7 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str,
     place = F.xxhash64(seed, "source", "whole", "doc_id")
     within = Window.partitionBy("b_source", "b_block").orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     crossing = at.filter("in_block > room").withColumn("so_far", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).filter("so_far < room")
-    columns = ["doc_id", "source", "n_tokens", "block", "carried"]
+    columns = ["doc_id", "source", "n_tokens", "block", "carried", *(["why"] if explain else [])]
     partly = inside.select(*columns, F.col("whole").alias("epoch")).unionByName(crossing.select(*columns, F.col("whole").alias("epoch")))
     fully = dealt.filter("whole > 0").select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("epoch"))
     return fully.unionByName(partly).select(
@@ -160,11 +173,12 @@ def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str,
         F.xxhash64(seed, "source", "epoch", "block").alias("block"),
         F.xxhash64(seed, "source", "epoch", "doc_id").alias("place"),
         *(F.col(f"carried.`{c}`").alias(c) for c in carry),
+        *([F.lit(exponent).alias("exponent"), "why.weight", "why.budget"] if explain else []),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), EVENER, explain=True)
 
 
 ORACLE = None

@@ -3,12 +3,12 @@
 Folding lower-cases, strips accents, maps look-alike letters of other scripts to Latin and reads
 digits and signs inside words as the letters they stand for ("1d10t"). The lexicon holds whole
 words and word beginnings, learned from labelled rows: what turns up in toxic texts far more often than
-in others, weighted by its log odds. Phrases around a term that only turn up in texts that are not toxic
+in others, weighted by its log odds; a beginning may also show by how many different words of toxic texts have it. Phrases around a term that only turn up in texts that are not toxic
 are exceptions and take its match back. A text's matches, summed and relative to its length, go through
 a logistic curve fitted on the same rows.
 
 Learning uses at most about `bound` labelled rows, picked by a hash of doc_id; texts that share their
-least shingle count once, so a crowd of near copies cannot make its words terms. Scoring is one map over
+least shingles in four orders count once, so a crowd of near copies cannot make its words terms. Scoring is one map over
 the table.
 
 Defined cases: null and empty texts are scored as texts without matches; repeated rows repeat their
@@ -31,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapforge.llm.textkit import passes, shingles, utf8, words
+from lapforge.llm.textkit import mix, passes, sequence_hash, shingles, utf8, words
 
 BOUND = 20_000
 LEXICON_SIZE = 4000
 THRESHOLD = 0.3
 LEAST_Z, LEAST_SHARE = 4.0, 0.5
+#: Toxic texts that a word beginning must stand in to be judged by its different words.
+LEAST_TEXTS = 3
 STEMS = range(4, 10)
+#: Texts are near copies here when they share the least shingle under each of these orders; one common line is not enough.
+MINIMA = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, 5)]
 #: Letters of other scripts that look like a Latin one.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһкмтвнαεικνορτυχ", "aceopxyijsdhkmtbhaeiknoptux", strict=True))
 #: Signs that stand for a letter when one follows.
@@ -58,13 +62,13 @@ def fold(text: str) -> str:
     return f"  {_gap.sub('  ', t)}  "
 
 
-def terms_of(folded: str) -> set[str]:
-    """Candidate terms: whole words (" word ") and word beginnings (" wor")."""
-    out = set()
-    for w in set(folded.split()):
-        if 3 <= len(w) <= 24:
-            out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in STEMS if k < len(w))
+def terms_of(folded: str) -> dict[str, int]:
+    """Candidate terms, whole words (" word ") and word beginnings (" wor"), each with the number of different words of the
+    text that have it; under "" the number of all different words."""
+    words_here = set(folded.split())
+    out = Counter(f" {w[:k]}" for w in words_here for k in STEMS if k < len(w))
+    out.update(f" {w} " for w in words_here if 3 <= len(w) <= 24)
+    out[""] = len(words_here)
     return out
 
 
@@ -117,21 +121,23 @@ def phrases(folded: str, start: int, end: int) -> tuple[str, str]:
 
 
 def _counted(rows: DataFrame, of_text) -> DataFrame:
-    """(term, p, n): in how many toxic and other texts of rows (text, toxic) each string of of_text(text) is.
+    """(term, p, n, pw, nw): in how many toxic and other texts of rows (text, toxic) each key of of_text(text) is, and the sums of its numbers there.
 
     of_text is made by a function without arguments, once a task."""
 
     def run(batches):
-        terms, seen = of_text(), (Counter(), Counter())
+        terms, texts, sums = of_text(), (Counter(), Counter()), (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[bool(toxic)].update(terms(text))
-        every = list(seen[0].keys() | seen[1].keys())
-        counts = [pa.array([seen[k][t] for t in every], pa.int64()) for k in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *counts], ["term", "p", "n"])
+                found = terms(text)
+                texts[bool(toxic)].update(found.keys())
+                sums[bool(toxic)].update(found)
+        every = list(texts[0].keys() | texts[1].keys())
+        counts = [pa.array([seen[k][t] for t in every], pa.int64()) for seen in (texts, sums) for k in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *counts], ["term", "p", "n", "pw", "nw"])
 
-    counts = rows.select("text", "toxic").mapInArrow(run, "term string, p bigint, n bigint")
-    return counts.groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = rows.select("text", "toxic").mapInArrow(run, "term string, p bigint, n bigint, pw bigint, nw bigint")
+    return counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("p", "n", "pw", "nw")])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -152,7 +158,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Dat
                 runs = shingles(hashed, 5)
                 for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     part = runs[s : e - 4] if e - s >= 5 else hashed[s:e]
-                    out.append(int(part.min().view(np.int64)) if len(part) else 0)
+                    least_of = [mix(part ^ key).min() for key in MINIMA] if len(part) else [np.uint64(0)]
+                    out.append(int(sequence_hash(np.array(least_of, np.uint64)) & ((1 << 63) - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "least"])
 
     marked = met.mapInArrow(least, "doc_id bigint, text string, toxic int, least bigint")
@@ -168,18 +175,27 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> ToxicityModel
     if not pos or not neg:
         return model
 
-    counts = _counted(rows.repartition(16), lambda: lambda text: terms_of(fold(text)))
-    expected = (F.col("p") + F.col("n")) * (pos / (pos + neg))
-    z = (F.col("p") - expected) / F.sqrt(expected * (neg / (pos + neg)) + 1)
+    counts = _counted(rows.repartition(16), lambda: lambda text: terms_of(fold(text))).persist()
+    total = counts.filter("term = ''").agg(F.sum("pw").alias("pw"), F.sum("nw").alias("nw")).first()
+
+    def excess(p: str, n: str, share: float) -> Column:
+        expected = (F.col(p) + F.col(n)) * share
+        return (F.col(p) - expected) / F.sqrt(expected * (1 - share) + 1)
+
+    # a beginning that few toxic texts have, but in many different words, is known by those words
+    by_text = excess("p", "n", pos / (pos + neg))
+    by_word = F.when(~F.col("term").endswith(" ") & (F.col("p") >= LEAST_TEXTS), excess("pw", "nw", (total["pw"] or 0) / max(1, (total["pw"] or 0) + (total["nw"] or 0))))
+    z = F.when(by_text >= LEAST_Z, by_text).otherwise(by_word)
     odds = (F.col("p") + 0.5) * (neg + 1.0) / ((F.col("n") + 0.5) * (pos + 1.0))
-    strong = counts.withColumns({"z": z, "odds": odds}).filter((F.col("z") >= LEAST_Z) & (F.col("p") >= LEAST_SHARE * (F.col("p") + F.col("n"))))
+    strong = counts.filter("term <> ''").withColumns({"z": z, "odds": odds}).filter((F.col("z") >= LEAST_Z) & (F.col("p") >= LEAST_SHARE * (F.col("p") + F.col("n"))))
     top = strong.orderBy(F.desc("z"), "term").limit(LEXICON_SIZE).collect()
+    counts.unpersist()
     model.lexicon = {r["term"]: math.log(r["odds"]) for r in top}
     plain = model
 
     def phrases_of():
         automaton = plain.matcher()
-        return lambda text: {p for _, around in plain.matches(automaton, fold(text)) for p in around}
+        return lambda text: dict.fromkeys((p for _, around in plain.matches(automaton, fold(text)) for p in around), 1)
 
     around = _counted(rows, phrases_of).filter("n >= 3 and p = 0").orderBy(F.desc("n"), "term").limit(LEXICON_SIZE)
     model.exceptions = {r["term"] for r in around.collect()}

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest_llm import ODD, frame, rows_of
+from conftest_llm import ODD, frame, prose, rows_of
 from lapforge.llm import language_id, pii, token_count, toxicity
 
 DATA = "/root/testdata/sf0.01"
@@ -208,6 +208,48 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, none)).count() == 0
 
 
+def test_toxicity_several_labels_of_one_document(spark):
+    docs, labels = toxic_docs(spark)
+    bad = labels.filter("toxic = 1").first()["doc_id"]
+    more = labels.unionByName(spark.createDataFrame([(bad, 0, 0)], labels.schema) if len(labels.columns) == 3 else spark.createDataFrame([(bad, 0)], labels.schema))
+    once = {r["doc_id"]: r["toxic"] for r in toxicity.training_rows(docs, labels).collect()}
+    twice = {r["doc_id"]: r["toxic"] for r in toxicity.training_rows(docs, more).collect()}
+    assert once == twice
+
+
+def test_toxicity_common_line_is_no_near_copy(spark):
+    line = "this very same licence line stands at the end of every text here"
+    texts = [" ".join(prose(i, 60)) + " " + line for i in range(30)] + [" ".join(prose(0, 60)) + " " + line]
+    labels = spark.createDataFrame([(i, 0) for i in range(31)], "doc_id bigint, toxic int")
+    got = {r["doc_id"] for r in toxicity.training_rows(frame(spark, texts), labels).collect()}
+    assert got == set(range(30))
+
+
+def test_toxicity_matches_brute():
+    """The longest term at each place, against a plain search."""
+    model = toxicity.ToxicityModel(lexicon={" foul ": 2.0, " fou": 1.0, " vile ": 3.0, " vilest": 4.0}, exceptions={"not foul"})
+    automaton = model.matcher()
+    for text in ("foul", "a foul fountain of VILE v1lest", "not foul but foul", "", "vile vile", "f0ul\u0301 thing"):
+        folded = toxicity.fold(text)
+        found, at = [], 0
+        while at < len(folded):
+            here = [t for t in model.lexicon if folded.startswith(t, at)]
+            if here:
+                term = max(here, key=len)
+                found.append(model.lexicon[term])
+                at += len(term)
+            else:
+                at += 1
+        assert [w for w, _ in model.matches(automaton, folded)] == found
+    kept = [w for w, around in model.matches(automaton, toxicity.fold("not foul but foul")) if model.exceptions.isdisjoint(around)]
+    assert kept == [2.0]
+
+
+def test_toxicity_beginnings_count_words():
+    terms = toxicity.terms_of(toxicity.fold("snarl snarling snarled ox"))
+    assert terms[" snar"] == 3 and terms[" snarl"] == 2 and terms[" snarl "] == 1 and terms[""] == 4 and " ox " not in terms
+
+
 @needs_data
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
