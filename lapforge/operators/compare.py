@@ -47,9 +47,12 @@ def with_stints(laps: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
     return laps.withColumn("__last", last).withColumn("stint", stint(F.col("lap"), F.col("__last"))).drop("__last")
 
 
+def _stint_columns() -> list[Column]:
+    return [F.median(F.when(F.col("stint") == s, F.col("lap_time"))).alias(f"{s}_pace") for s in ("early", "mid", "late")]
+
+
 def stint_pace(laps: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
-    pace = [F.median(F.when(F.col("stint") == s, F.col("lap_time"))).alias(f"{s}_pace") for s in ("early", "mid", "late")]
-    return with_stints(laps, race).groupBy(*race, "vehicle_number").agg(*pace)
+    return with_stints(laps, race).groupBy(*race, "vehicle_number").agg(*_stint_columns())
 
 
 def in_traffic(gapped: DataFrame, threshold: float = TRAFFIC_GAP) -> DataFrame:
@@ -57,23 +60,33 @@ def in_traffic(gapped: DataFrame, threshold: float = TRAFFIC_GAP) -> DataFrame:
     return gapped.withColumn("in_traffic", (F.col("gap_to_ahead") < threshold) | (F.col("gap_to_behind") < threshold))
 
 
-def degradation(laps: DataFrame, keys: Sequence[str] = (*RACE, "vehicle_number")) -> DataFrame:
-    """Slope of clean lap times over laps; 0 with fewer than three laps or clean laps."""
-    w = Window.partitionBy(*keys)
-    marked = laps.withColumns({"__m": F.median("lap_time").over(w)})
+def _with_clean_median(laps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return laps.withColumn("__m", F.median("lap_time").over(Window.partitionBy(*keys)))
+
+
+def _degradation_columns() -> list[Column]:
     clean = F.col("lap_time") < CLEAN_FACTOR * F.col("__m")
     x, y = F.when(clean, F.col("lap").cast("double")), F.when(clean, F.col("lap_time"))
     n = F.count(F.lit(1))
     slope = F.when((n < 3) | (F.count(y) < 3), 0.0).otherwise(F.regr_slope(y, x))
-    return marked.groupBy(*keys).agg(slope.alias("degradation"), n.alias("n_laps"))
+    return [slope.alias("degradation"), n.alias("n_laps")]
 
 
-def traffic_cost(gapped: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
-    """Laps in traffic and what they cost: the difference of medians times their number."""
+def degradation(laps: DataFrame, keys: Sequence[str] = (*RACE, "vehicle_number")) -> DataFrame:
+    """Slope of clean lap times over laps; 0 with fewer than three laps or clean laps."""
+    return _with_clean_median(laps, keys).groupBy(*keys).agg(*_degradation_columns())
+
+
+def _traffic_columns() -> list[Column]:
     slow = F.median(F.when(F.col("in_traffic"), F.col("lap_time")))
     free = F.median(F.when(~F.col("in_traffic"), F.col("lap_time")))
     n = F.count_if("in_traffic")
-    return in_traffic(gapped).groupBy(*race, "vehicle_number").agg(n.alias("traffic_laps"), F.coalesce((slow - free) * n, F.lit(0.0)).alias("traffic_cost"))
+    return [n.alias("traffic_laps"), F.coalesce((slow - free) * n, F.lit(0.0)).alias("traffic_cost")]
+
+
+def traffic_cost(gapped: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
+    """Laps in traffic and what they cost: the difference of medians times their number."""
+    return in_traffic(gapped).groupBy(*race, "vehicle_number").agg(*_traffic_columns())
 
 
 def standings(laps: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
@@ -86,25 +99,25 @@ def standings(laps: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
 def driver_metrics(features: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
     """Every driver against the car one place ahead at the driver's last lap (the winner against the second).
 
-    Per-driver figures are computed once and joined to themselves, not once per driver.
+    One scan: windows by race mark each lap with the car a place ahead, one aggregation gives all figures of a driver,
+    windows over these rows give those of the field, and the drivers are joined once to the cars ahead of them.
     """
     keys = [*race, "vehicle_number"]
-    last = features.groupBy(*keys).agg(
-        F.max_by(F.struct("lap", "position", "gap_to_ahead"), "lap").alias("f"), F.median("lap_time").alias("pace"), F.max("cumulative_time").alias("driver_time")
-    )
+    seats = Window.partitionBy(*race, "lap").orderBy("position")
+    ahead = F.when(F.col("position") == 1, F.lead("vehicle_number").over(seats)).otherwise(F.lag("vehicle_number").over(seats))
+    marked = in_traffic(with_stints(_with_clean_median(features, keys), race)).withColumn("__ahead", ahead)
     own = (
-        last.join(degradation(features, keys), keys)
-        .join(traffic_cost(features, race), keys)
-        .join(stint_pace(features, race), keys)
-        .select(*keys, F.col("f.lap").alias("last_lap"), F.col("f.position").alias("final_position"), F.col("f.gap_to_ahead").alias("gap_to_ahead"), "pace", "driver_time", "degradation", "n_laps", "traffic_laps", "traffic_cost", "early_pace", "mid_pace", "late_pace")
+        marked.groupBy(*keys)
+        .agg(
+            F.max_by(F.struct("position", "gap_to_ahead", "__ahead"), "lap").alias("f"), F.median("lap_time").alias("pace"), F.max("cumulative_time").alias("driver_time"),
+            F.max(F.when(F.col("position") == 1, F.col("cumulative_time"))).alias("__led"), *_degradation_columns(), *_traffic_columns(), *_stint_columns(),
+        )
+        .select("*", F.col("f.position").alias("final_position"), F.col("f.gap_to_ahead").alias("gap_to_ahead"), F.col("f.__ahead").alias("ahead_vehicle"))
     )
-    winner = features.filter("position = 1").groupBy(*race).agg(F.max("cumulative_time").alias("winner_time"))
-    field = own.filter("n_laps >= 5").groupBy(*race).agg(F.avg("degradation").alias("field_deg"))
-    seat = features.select(*race, F.col("lap").alias("last_lap"), F.col("position").alias("__seat"), F.col("vehicle_number").alias("ahead_vehicle"))
-    wanted = own.withColumn("__seat", F.when(F.col("final_position") == 1, F.lit(2)).otherwise(F.col("final_position") - 1))
-    met = wanted.join(seat, [*race, "last_lap", "__seat"], "left")
+    field = Window.partitionBy(*race)
+    wanted = own.withColumns({"winner_time": F.max("__led").over(field), "field_deg": F.avg(F.when(F.col("n_laps") >= 5, F.col("degradation"))).over(field)})
     other = own.select(*race, F.col("vehicle_number").alias("ahead_vehicle"), F.col("pace").alias("__pace"), F.col("degradation").alias("__deg"), F.col("traffic_laps").alias("__traffic"))
-    full = met.join(other, [*race, "ahead_vehicle"], "left").join(winner, list(race), "left").join(field, list(race), "left")
+    full = wanted.join(other, [*race, "ahead_vehicle"], "left")
     return full.select(
         *keys,
         "final_position",
