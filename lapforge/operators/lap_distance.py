@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,7 @@ def braking_places(
     """Peaks of the smoothed value along each lap: keys, distance, latitude, longitude, level (the raw value there).
 
     A peak reaches the share quantile of the lap's values above 0. Laps with fewer than least_rows samples, or without a value above 0, have none.
+    The kernel gets all laps of a vehicle's race at once (keys but the last) and goes through them by their bounds.
     """
     rows = smoothed(samples.filter(F.col(distance).isNotNull()), value, width, distance, keys)
     lap = Window.partitionBy(*keys)
@@ -68,12 +70,14 @@ def braking_places(
     shape = [*keys, distance, "latitude", "longitude", "level"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(distance, kind="stable")
-        at = peaks(part["smooth"].to_numpy(float), height=float(part["__limit"].iloc[0]), distance=apart, prominence=prominence)
-        return part.iloc[at][shape]
+        part = part.sort_values([keys[-1], distance], kind="stable")
+        lap_of, level, limit = (part[c].to_numpy() for c in (keys[-1], "smooth", "__limit"))
+        first = np.flatnonzero(np.append(True, lap_of[1:] != lap_of[:-1]))
+        at = [i + peaks(level[i:j], height=float(limit[i]), distance=apart, prominence=prominence) for i, j in zip(first, np.append(first[1:], len(part)), strict=True)]
+        return part.iloc[np.concatenate(at)][shape]
 
     eligible = limited.filter((F.col("__n") >= least_rows) & F.col("__limit").isNotNull())
-    return eligible.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in shape))
+    return eligible.groupBy(*keys[:-1]).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in shape))
 
 
 def line_clusters(places: DataFrame, at: str, eps: str, least: str, group: Sequence[str]) -> DataFrame:

@@ -74,3 +74,22 @@ def test_centred_mean():
     x = np.array([1.0, 2.0, 3.0, 10.0, 5.0, 6.0])
     assert G.centred_mean(x, 5).tolist() == [1.0, 2.0, 4.2, 5.2, 5.0, 6.0]
     assert G.centred_mean(x[:3], 5).tolist() == [1.0, 2.0, 3.0]
+
+
+def test_braking_places_brute(spark):
+    rng = np.random.default_rng(5)
+    laps = {(0, v, lap): (rng.integers(0, 60, 30 if v else 8).astype(float), lap == 3) for v in (0, 1, 2) for lap in (1, 2, 3)}
+    rows = [(r, v, lap, float(i * 10), 0.1 * i, 0.2 * i, 0.0 if blank else float(x)) for (r, v, lap), (some, blank) in laps.items() for i, x in enumerate(some)]
+    rng.shuffle(rows)
+    rows = [(int(r), int(v), int(lap), float(d), float(a), float(b), float(x)) for r, v, lap, d, a, b, x in rows] + [(0, 1, 1, None, 0.0, 0.0, 99.0)]
+    table = spark.createDataFrame(rows, "race bigint, vehicle_number bigint, lap bigint, lap_distance double, latitude double, longitude double, brake double")
+    got = sorted((r["vehicle_number"], r["lap"], r["lap_distance"], r["level"]) for r in D.braking_places(table, apart=4, prominence=3.0, least_rows=20, width=5).collect())
+    want = []
+    for (_, v, lap), (some, blank) in laps.items():
+        if len(some) < 20 or blank:
+            continue
+        soft = G.centred_mean(some, 5)
+        limit = np.percentile(soft[soft > 0], 40)
+        want += [(v, lap, float(i * 10), float(some[i])) for i in G.peaks(soft, float(limit), 4, 3.0)]
+    assert got == sorted(want) and want
+    assert D.braking_places(table.limit(0)).collect() == []
