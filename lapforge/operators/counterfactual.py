@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,32 +74,6 @@ def normal_sums(features: DataFrame, columns: Sequence[str] = FEATURES, target:
     return features.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()])
 
 
-def fit_from_sums(row, columns: Sequence[str] = FEATURES) -> dict[str, float] | None:
-    """Coefficients, intercept and R2 from a row of normal_sums; None with fewer than ten rows.
-
-    The sums are centred first, and a column without spread has coefficient 0, as in the published fit."""
-    k = len(columns) + 1
-    if not row["n"] or row["n"] < 10:
-        return None
-    n = row["n"]
-    a = np.array([[row[f"a{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
-    b = np.array([row[f"b{i}"] for i in range(k)])
-    mean = a[0, 1:] / n
-    s, q = a[1:, 1:] - n * np.outer(mean, mean), b[1:] - mean * b[0]
-    spread = np.diag(s) > 1e-12 * np.diag(a)[1:]
-    s, q = s * np.outer(spread, spread), q * spread
-    scale = np.sqrt(np.where(spread, np.diag(s), 1.0))
-    unit = s / np.outer(scale, scale)
-    if np.linalg.matrix_rank(unit, tol=1e-10) == k - 1:
-        slope = np.linalg.solve(unit, q / scale) / scale
-    else:
-        slope = np.linalg.lstsq(s, q, rcond=1e-12)[0]
-    total = row["yy"] - b[0] ** 2 / n
-    left = total - 2 * slope @ q + slope @ s @ slope
-    beta = [b[0] / n - slope @ mean, *slope]
-    return dict(zip(("intercept", *columns), map(float, beta), strict=True)) | {"r2": float(1 - left / total) if total else float("nan"), "n": n}
-
-
 def race_fits(features: DataFrame, columns: Sequence[str] = FEATURES, race: Sequence[str] = RACE, least: int = 10) -> DataFrame:
     """One fit per race over its drivers with all values: intercept, a coefficient per column, r2, n, and what leverages need
     (inverse, means). Races with fewer than `least` such drivers have no fit and no row."""
