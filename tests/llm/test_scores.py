@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from pathlib import Path
 
@@ -41,6 +42,45 @@ def test_language_of_small_corpus(spark):
     assert got[180]["score"] == 0
 
 
+def grams_by_hand(text):
+    """Cells of all n-grams of a text's letters, a space before and after, letter by letter."""
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    for k in language_id.ORDERS:
+        for at in range(len(line) - k + 1):
+            gram = line[at : at + k]
+            if gram == " ":
+                continue
+            h = 0x811C9DC5
+            for c in gram:
+                h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+                h ^= h >> 15
+            yield ((h * 0x9E3779B1) & 0xFFFFFFFF) >> 16
+
+
+def test_language_brute(spark):
+    """The same naive Bayes with dictionaries, one text after the other."""
+    docs = language_docs(spark, 12)
+    learnt = [(r["text"], r["lang"]) for r in docs.collect() if r["text"] is not None and r["lang"] is not None]
+    counts, shares = {}, {}
+    for text, lang in learnt:
+        shares[lang] = shares.get(lang, 0) + 1
+        cells = counts.setdefault(lang, {})
+        for c in grams_by_hand(text):
+            cells[c] = cells.get(c, 0) + 1
+    size = {lang: sum(n.values()) + 0.5 * language_id.CELLS for lang, n in counts.items()}
+    texts = [*[t for t, _ in learnt[::5]], "Straße über 12 Brücken", "l'été où", "x", "the und les", "a-b c.d", "?!"]
+    got = rows_of(language_id.identify(frame(spark, texts), language_id.fit(docs)))
+    for i, text in enumerate(texts):
+        sums = {
+            lang: math.log(shares[lang] / len(learnt)) + sum(math.log((counts[lang].get(c, 0) + 0.5) / size[lang]) for c in grams_by_hand(text)) for lang in counts
+        }
+        best = max(sorted(sums), key=sums.get)
+        sure = 1 / sum(math.exp(v - sums[best]) for v in sums.values())
+        if not any(c.isalpha() for c in text):
+            best, sure = "und", 0.0
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(sure, abs=1e-4)
+
+
 def test_language_text_does_not_depend_on_its_neighbours(spark):
     docs = language_docs(spark)
     model = language_id.fit(docs)
