@@ -7,12 +7,15 @@ are aligned without gaps and the best stretch is scored, +1 for an equal word an
 than three quarters of its words are equal. A document is contaminated by an item if that stretch has at
 least least_match equal words. Every such pattern of 8 to 16 words holds at least one mask, so it
 is proposed even if nothing around it is equal. An item of fewer than 8 words counts when all its words
-stand in the document in a row: its one seed is the whole item, laid in its own length.
+stand in the document in a row: its one seed is the whole item, laid in its own length. An item of fewer
+than LEAST_WORDS words ("yes", "the") says nothing about where a text comes from: by default it makes no document
+contaminated, drop_contaminated never looks for it, and the query counts it in a column of its own.
 
 Before the join, document seeds are tested against a bit table of the benchmark's seeds; its size is
 fixed, so it can be broadcast however large the benchmark is: a fuller table only lets
 more seeds through to the join. Seeds that pass carry no text; the words around them go out once per
-stretch of hits.
+stretch of hits. Both joins that a seed or an item in very many documents makes uneven are followed by a shuffle
+on other keys, so Spark may split their large partitions (adaptive skew join).
 
 Defined cases: null and empty texts and items have no seeds; a text shorter than an item's masks cannot
 match it; rows that repeat a doc_id share one decision; a null doc_id is reported as its own row;
@@ -33,6 +36,7 @@ from lapforge.llm.textkit import U64, mix, passes, utf8, words
 MASKS = ("11011011", "1101100111", "1110010111", "10110101011", "111101111")
 SHORTEST = min(map(len, MASKS))
 LEAST_MATCH = 8
+LEAST_WORDS = 5  # an item needs so many words to make a document contaminated
 IDENTITY_PENALTY = 3  # a stretch with positive score everywhere has three quarters of its words equal
 MARGIN = 64
 _OUTSIDE = np.ones(256, bool)
@@ -152,9 +156,12 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return int(equal[start:stop].sum()), start, stop
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_match: int = LEAST_MATCH) -> DataFrame:
-    """(doc_id, item_id, from_word, n_equal, n_words): the best verified stretch of each document and item."""
-    items = benchmark_words(benchmark)
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_match: int = LEAST_MATCH, least_words: int = 1) -> DataFrame:
+    """(doc_id, item_id, n_item_words, from_word, n_equal, n_words): the best verified stretch of each document and item.
+
+    Items of fewer than least_words words are not looked for.
+    """
+    items = benchmark_words(benchmark).filter(F.size("item_words") >= least_words)
     seeds = benchmark_seeds(items)
     hits = document_hits(docs, bitfilter.build(seeds.select("seed")), masks_for(items)).withColumn("stretch", F.xxhash64("doc_id", "from_word", "words"))
     near = (
@@ -180,38 +187,42 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_match: int = LEAS
                     n, s, e = best_stretch(text[a:b] == item[a - shift : b - shift])
                     best = max(best, (n, -(a + s), e - s))
                 if best[0] >= min(least_match, len(item)):
-                    out.append((k, base - best[1], best[0], best[2]))
+                    out.append((k, base - best[1], best[0], best[2], len(item)))
             at = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(2).take(at), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3))],
-                ["doc_id", "item_id", "from_word", "n_equal", "n_words"],
+                [batch.column(0).take(at), batch.column(2).take(at), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2, 3, 4))],
+                ["doc_id", "item_id", "from_word", "n_equal", "n_words", "n_item_words"],
             )
 
     found = full.select("doc_id", "from_word", "item_id", "shifts", "words", "item_words").mapInArrow(
-        check, "doc_id bigint, item_id bigint, from_word bigint, n_equal bigint, n_words bigint"
+        check, "doc_id bigint, item_id bigint, from_word bigint, n_equal bigint, n_words bigint, n_item_words bigint"
     )
     best = F.max(F.struct("n_equal", (-F.col("n_words")).alias("short"), (-F.col("from_word")).alias("early"))).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", (-F.col("b.early")).alias("from_word"), F.col("b.n_equal").alias("n_equal"), (-F.col("b.short")).alias("n_words")
+    return found.groupBy("doc_id", "item_id", "n_item_words").agg(best).select(
+        "doc_id", "item_id", "n_item_words", (-F.col("b.early")).alias("from_word"), F.col("b.n_equal").alias("n_equal"), (-F.col("b.short")).alias("n_words")
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that overlap an item. A null doc_id cannot be told apart and stays."""
-    gone = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs without the documents that overlap an item of at least least_words words. A null doc_id cannot be told apart and stays."""
+    gone = find_overlaps(docs, benchmark, least_words=least_words).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__id"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    best = F.max_by(F.struct("item_id", "n_equal", "n_words"), F.struct("n_equal", (-F.col("item_id")).alias("first"))).alias("b")
-    by_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n_items"), best)
+    long_enough = F.col("n_item_words") >= LEAST_WORDS
+    best = F.max_by(F.struct("item_id", "n_equal", "n_words"), F.when(long_enough, F.struct("n_equal", (-F.col("item_id")).alias("first"))))
+    by_doc = found.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.count_if(long_enough).alias("n_items"), F.count_if(~long_enough).alias("n_short_items"), best.alias("b")
+    )
     every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     return every.join(by_doc, every["doc_id"].eqNullSafe(by_doc["__id"]), "left").select(
         "doc_id",
-        F.col("b").isNotNull().alias("contaminated"),
+        F.coalesce(F.col("n_items") > 0, F.lit(False)).alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("n_short_items", F.lit(0)).cast("bigint").alias("n_short_items"),
         F.col("b.item_id").alias("item_id"),
         F.col("b.n_equal").alias("n_equal"),
         F.col("b.n_words").alias("n_words"),

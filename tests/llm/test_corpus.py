@@ -315,6 +315,25 @@ def test_decontamination_short_items(spark):
     texts = ["see The quick, brown fox run", "the quick red brown fox", "here seven words in a row are one item", "seven words in a row are", "all alone here", None]
     found = {(f["doc_id"], f["item_id"]) for f in decontaminate.find_overlaps(frame(spark, texts), benchmark(spark, items)).collect()}
     assert found == {(0, 0), (0, 4), (2, 1), (4, 2)}
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, texts), benchmark(spark, items)).collect()}
+    assert kept == {0, 1, 3, 4, 5}
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, texts), benchmark(spark, items), least_words=4).collect()}
+    assert kept == {1, 3, 4, 5}
+
+
+def test_decontamination_item_in_every_document(spark, tmp_path):
+    """A one-word item that stands everywhere drops nothing and is reported in its own column."""
+    passage = " ".join(prose(500, 30))
+    texts = [" ".join([*prose(k, 40), "the", *prose(k + 100, 10)]) for k in range(60)] + ["the " + passage]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    benchmark(spark, ["the", passage]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = {r["doc_id"]: r for r in decontaminate.query(spark, str(tmp_path)).collect()}
+    assert all(r["n_short_items"] == 1 for r in rows.values())
+    assert [k for k, r in rows.items() if r["contaminated"]] == [60]
+    assert (rows[60]["n_items"], rows[60]["item_id"], rows[60]["n_equal"]) == (1, 1, 30)
+    assert (rows[0]["n_items"], rows[0]["item_id"], rows[0]["n_equal"]) == (0, None, None)
+    docs, items = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "benchmark"))
+    assert decontaminate.drop_contaminated(docs, items).count() == 60
 
 
 def test_stages_with_clashing_columns(spark, tmp_path):
