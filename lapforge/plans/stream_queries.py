@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from lapforge.plans.adapter import TELEMETRY_SQL, telemetry
 from lapforge.sources.session import shared_dir
+from lapforge.streaming import field_monitor
 from lapforge.streaming import state_monitor as M
 
 SKIPPED = 4  # every so many laps one measure is missing
+READ_EVERY = 6  # laps between two reads of a vehicle's alerts
 
 
 def lap_states(s, d):
@@ -47,6 +49,57 @@ def streamed(s, d):
     return _rounded(M.run_to_table(stream, f"{at}/alerts", f"{at}/progress"))
 
 
+def trend(s, d):
+    """The newest values of each lap, one row a value."""
+    rows = field_monitor.trend(lap_states(s, d)).select("race", "vehicle_number", "lap", F.posexplode("recent").alias("place", "v"))
+    return rows.select("race", "vehicle_number", "lap", F.col("place").cast("bigint").alias("place"), F.round(F.col("v.brake") + 1.7e-10, 6).alias("brake"), F.round(F.col("v.coast") + 1.7e-10, 6).alias("coast"))
+
+
+def _reads(laps):
+    """Every vehicle's alerts are read after every sixth lap it drives."""
+    return laps.filter(F.col("lap") % READ_EVERY == 0).select("race", "vehicle_number", "lap")
+
+
+def _drained(alerts):
+    return alerts.select("race", "vehicle_number", "lap", "kind", "severity", F.round(F.col("z") + 1.7e-10, 6).alias("z"), "rising", "read_lap")
+
+
+def drained(s, d):
+    rows = lap_states(s, d)
+    return _drained(field_monitor.drained_alerts(rows, _reads(rows)))
+
+
+def _monitored(s, d):
+    """Laps and reads written as files, a minute a lap, and replayed: alerts given out, and the monitor's checkpoint."""
+    at = f"{shared_dir(s)}/lapforge-stream-{uuid.uuid4().hex}"
+    rows = lap_states(s, d)
+    timed = rows.withColumn("read", F.lit(False)).unionByName(_reads(rows).withColumn("read", F.lit(True)), allowMissingColumns=True)
+    timed = timed.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("lap")))
+    timed.write.parquet(f"{at}/laps")
+    stream = M.replay_laps(s, f"{at}/laps", timed.schema, files_per_batch=1000)
+    given = field_monitor.run_monitor(stream, f"{at}/alerts", f"{at}/progress", hold_seconds=30 * 86400)
+    return given, f"{at}/progress"
+
+
+def streamed_drained(s, d):
+    """What reads gave out, and what the monitor still holds."""
+    given, progress = _monitored(s, d)
+    return _drained(given.unionByName(field_monitor.pending_alerts(s, progress), allowMissingColumns=True))
+
+
+def _status(rows):
+    return rows.select("race", "vehicle_number", "lap", F.round(F.col("health") + 1.7e-10, 6).alias("health"), "status")
+
+
+def health_status(s, d):
+    return _status(field_monitor.health_status(lap_states(s, d)))
+
+
+def streamed_health(s, d):
+    """Health of the field, read from the state store of a monitor."""
+    return _status(field_monitor.field_health(s, _monitored(s, d)[1]))
+
+
 SCORES_SQL = f"""{TELEMETRY_SQL},
 per_lap AS (SELECT race, vehicle_number, lap, 100 * stddev_pop(brake) / nullif(avg(brake), 0) AS cv, 100.0 * count(*) FILTER (throttle < 60 AND brake < 50) / count(*) AS coasting
   FROM telemetry GROUP BY race, vehicle_number, lap),
@@ -62,9 +115,25 @@ SELECT race, vehicle_number, lap, 'combined' AS kind, 'CRITICAL' AS severity, gr
 UNION ALL SELECT race, vehicle_number, lap, 'brake', {_BAND.format(z="b")}, b, rising FROM scores WHERE b > 1 AND NOT (b > 2 AND c > 2)
 UNION ALL SELECT race, vehicle_number, lap, 'coasting', {_BAND.format(z="c")}, c, false FROM scores WHERE c > 1 AND NOT (b > 2 AND c > 2))
 SELECT race, vehicle_number, lap, kind, severity, round(z + 1.7e-10, 6) AS z, rising FROM a"""
+DRAINED_SQL = f"""WITH alerts AS ({ALERTS_SQL}),
+reads AS (WITH {SCORES_SQL} SELECT race, vehicle_number, lap AS read_lap FROM scores WHERE lap % {READ_EVERY} = 0)
+SELECT a.race, a.vehicle_number, a.lap, kind, severity, z, rising, min(read_lap) AS read_lap
+FROM (SELECT *, row_number() OVER () AS k FROM alerts) a LEFT JOIN reads r ON r.race = a.race AND r.vehicle_number = a.vehicle_number AND r.read_lap >= a.lap
+GROUP BY k, a.race, a.vehicle_number, a.lap, kind, severity, z, rising"""
+STATUS_SQL = f"""WITH {SCORES_SQL}, newest AS (SELECT race, vehicle_number, lap, greatest(abs(b), abs(c)) AS health FROM scores
+  QUALIFY row_number() OVER (PARTITION BY race, vehicle_number ORDER BY lap DESC) = 1)
+SELECT race, vehicle_number, lap, round(health + 1.7e-10, 6) AS health, CASE WHEN health >= 3 THEN 'critical' WHEN health >= 2 THEN 'warning' ELSE 'good' END AS status FROM newest"""
+TREND_SQL = f"""WITH {SCORES_SQL}, numbered AS (SELECT race, vehicle_number, lap, brake, coast, row_number() OVER (PARTITION BY race, vehicle_number ORDER BY lap) AS n FROM filled)
+SELECT l.race, l.vehicle_number, l.lap, v.n - greatest(l.n - 4, 1) AS place, round(v.brake + 1.7e-10, 6) AS brake, round(v.coast + 1.7e-10, 6) AS coast
+FROM numbered l JOIN numbered v ON v.race = l.race AND v.vehicle_number = l.vehicle_number AND v.n BETWEEN l.n - 4 AND l.n"""
 
 QUERIES = {
     "state_alerts": (alerts, ALERTS_SQL),
     "stream_state_alerts": (streamed, ALERTS_SQL),
     "state_health": (health, f"WITH {SCORES_SQL} SELECT race, vehicle_number, lap, round(greatest(abs(b), abs(c)) + 1.7e-10, 6) AS health FROM scores"),
+    "state_trend": (trend, TREND_SQL),
+    "drained_alerts": (drained, DRAINED_SQL),
+    "stream_drained_alerts": (streamed_drained, DRAINED_SQL),
+    "state_health_status": (health_status, STATUS_SQL),
+    "stream_field_health": (streamed_health, STATUS_SQL),
 }
