@@ -8,16 +8,19 @@ entropy and that part of what it lacks, which binds whenever the sources differ
 stay in Spark: each step of the search is one aggregate over the table of sources.
 
 A source's weight gives its token budget. Whole passes over the source come first; the rest is filled
-from a permutation of its blocks, and within the block where the budget ends from a permutation of
-its documents. Documents are dealt to blocks by hash, so only block totals (at most MAX_BLOCKS a source)
-are put in order, and only one block a source is looked at document by document: a source that holds a
-third of all rows is spread over as many tasks as its blocks.
+from a permutation of its blocks, in the block where the budget ends from a permutation of its cells, and in the cell where it ends from a
+permutation of its documents. Documents are dealt to blocks and cells by hash, about BLOCK_TOKENS each; at most MAX_BLOCKS blocks a source and cells a
+block are put in order, so a cell stays that small up to 3 * 10^11 tokens a source and grows slowly beyond.
+
+What is read of the last pass is all up to one key a source: (block, cell, document), each in its order. That key comes
+from ids and counts alone; texts and other carried columns meet the table of sources and never go through a shuffle or a window of
+this operator, unless there are too many sources for Spark to broadcast them.
 
 The budget is met to within one document a source: the document that crosses it is the last one.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and are read
-once in each whole pass; a source without tokens gets weight 0 and is left out; documents that repeat
-are read as often as they stand there; a null doc_id is kept; an empty table gives an empty result;
+once in each whole pass; a source without tokens gets weight 0 and is left out; rows that repeat both doc_id and text
+are read together, as often as they stand there; a null doc_id is kept and dealt by its text; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -29,9 +32,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapforge.llm.storage import written
+
 BLOCK_TOKENS = 20_000
 MAX_BLOCKS = 4096
 STEPS = 40
+KEY = ("turn", "block", "cell_turn", "cell", "place", "tie")
 
 
 @dataclass(frozen=True)
@@ -102,7 +108,8 @@ def find_exponent(sources: DataFrame, mixture: Mixture) -> float:
 
 
 def source_budgets(sources: DataFrame, exponent: float, mixture: Mixture) -> DataFrame:
-    """(source, tokens, n_blocks, weight, whole, rest): passes over the whole source, tokens beyond them."""
+    """(source, n_blocks, n_cells, weight, whole, rest, budget): passes over the whole source, tokens beyond them."""
+    size = F.greatest("tokens", "n_docs")
     known = sources.agg(F.sum("tokens"), F.sum(F.pow(F.col("tokens") / 1.0, F.lit(exponent)))).first()
     total, z = float(known[0] or 0), float(known[1] or 1)
     weight = F.pow(F.col("tokens") / 1.0, F.lit(exponent)) / F.lit(z)
@@ -111,69 +118,94 @@ def source_budgets(sources: DataFrame, exponent: float, mixture: Mixture) -> Dat
         .withColumn("target", F.round(F.col("weight") * total * mixture.budget_share).cast("bigint"))
         .withColumn("whole", F.expr("target div tokens"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("tokens"))
-        .withColumn("n_blocks", F.least(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(MAX_BLOCKS)).cast("int"))
-        .select("source", "tokens", "n_blocks", "weight", "whole", "rest", F.col("target").alias("budget"))
+        .withColumn("n_blocks", F.least(F.ceil(size / BLOCK_TOKENS), F.lit(MAX_BLOCKS)).cast("int"))
+        .withColumn("n_cells", F.least(F.ceil(size / F.col("n_blocks") / BLOCK_TOKENS), F.lit(MAX_BLOCKS)).cast("int"))
+        .select("source", "n_blocks", "n_cells", "weight", "whole", "rest", F.col("target").alias("budget"))
+    )
+
+
+def _placed(rows: DataFrame, budgets: DataFrame, seed: Column) -> DataFrame:
+    """rows with their source's budget, block and cell, and where these and the document stand in the pass in which the budget ends."""
+    dealt = rows.alias("d").join(budgets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *(f"s.{c}" for c in budgets.columns if c != "source"))
+    dealt = dealt.withColumns(
+        {
+            "block": F.pmod(F.xxhash64(seed, "id"), F.col("n_blocks")).cast("int"),
+            "cell": F.pmod(F.xxhash64(seed, F.lit("cell"), "id"), F.col("n_cells")).cast("int"),
+        }
+    )
+    return dealt.withColumns(
+        {
+            "turn": F.xxhash64(seed, "source", "whole", "block"),
+            "cell_turn": F.xxhash64(seed, "source", "whole", "block", "cell"),
+            "place": F.xxhash64(seed, "source", "whole", "id"),
+        }
     )
 
 
+def _fill(parts: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(source, end): the last of parts (source, room, all, size and the columns order) that is read, with what of room is left for it; all: read every part."""
+    before = F.sum("size").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    left = parts.withColumn("room", F.col("room") - F.coalesce(before, F.lit(0))).filter(F.col("all") | (F.col("room") > 0))
+    end = F.struct(*order, "room", (F.col("all") | (F.col("size") <= F.col("room"))).alias("all"))
+    return left.groupBy("source").agg(F.max(end).alias("end"))
+
+
+def _inside(slim: DataFrame, ends: DataFrame, part: str) -> DataFrame:
+    """The rows of the part in which each source's budget ends, with the room left there."""
+    at = slim["source"].eqNullSafe(ends["source"]) & (slim[part] == ends[f"end.{part}"])
+    return slim.join(ends, at).select(slim["*"], ends["end.room"].alias("room"), ends["end.all"].alias("all"))
+
+
+def last_keys(slim: DataFrame) -> DataFrame:
+    """(source, last): the key of the last document that the budget of each source reaches in the pass in which it ends."""
+    some = slim.filter("rest > 0")
+    size = F.sum("tokens").alias("size")
+    blocks = some.groupBy("source", "turn", "block", F.col("rest").alias("room"), F.lit(False).alias("all")).agg(size)
+    in_block = _inside(some, _fill(blocks, ("turn", "block")), "block")
+    cells = in_block.groupBy("source", "room", "all", "cell_turn", "cell").agg(size)
+    in_cell = _inside(in_block.drop("room", "all"), _fill(cells, ("cell_turn", "cell")), "cell")
+    documents = in_cell.groupBy("source", "room", "all", "turn", "block", "cell_turn", "cell", "place", "tie").agg(size)
+    # one block and one cell a source are left, so the whole key orders as (place, tie) does
+    return _fill(documents, KEY).select("source", F.struct(*(F.col(f"end.{c}").alias(c) for c in KEY)).alias("last"))
+
+
 def mix_sources(docs: DataFrame, mixture: Mixture = Mixture(), carry: tuple[str, ...] = (), explain: bool = False) -> DataFrame:
-    """One row per reading of a document: doc_id, source, n_tokens, epoch, block, place, and the columns carry.
+    """One row per reading of a document: doc_id, source, n_tokens, epoch, block, cell, place, and the columns carry.
 
-    Within an epoch of a source documents are read by block rank, then place. explain adds exponent, and the source's weight and
+    Within an epoch of a source documents are read by block, cell and place. explain adds exponent, and the source's weight and
     budget in tokens.
     """
-    carried = F.struct(*carry).alias("carried") if carry else F.lit(True).alias("carried")
+    seed = F.lit(mixture.seed)
+    doc_id = F.col("doc_id").cast("bigint")
+    tie = F.xxhash64("text")
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text")).alias("tokens"), carried
+        doc_id.alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        n_tokens(F.col("text")).alias("tokens"),
+        F.coalesce(doc_id, tie).alias("id"),
+        tie.alias("tie"),
+        (F.struct(*carry) if carry else F.lit(True)).alias("carried"),
     )
-    sources = _sources(rows).cache()  # one row a source
+    slim = written(rows.drop("doc_id", "carried"), "mix-documents")
+    sources = written(_sources(slim), "mix-sources")  # one row a source
     exponent = find_exponent(sources, mixture)
     budgets = source_budgets(sources, exponent, mixture)
-    seed = F.lit(mixture.seed)
-    dealt = (
-        rows.alias("d")
-        .join(budgets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select(
-            "d.doc_id",
-            "d.source",
-            "d.carried",
-            F.col("d.tokens").alias("n_tokens"),
-            "n_blocks",
-            "whole",
-            "rest",
-            F.struct("weight", "budget").alias("why"),
-            F.pmod(F.xxhash64(seed, "d.doc_id"), F.col("n_blocks")).cast("int").alias("block"),
-        )
-    )
-    last = F.col("whole")
-    blocks = dealt.groupBy("source", "block", "whole", "rest").agg(F.sum("n_tokens").alias("in_block"))
-    turn = F.xxhash64(seed, "source", last, "block")
-    order = Window.partitionBy("source").orderBy(turn, "block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    filled = blocks.withColumn("before", F.coalesce(F.sum("in_block").over(before), F.lit(0))).select(
-        F.col("source").alias("b_source"),
-        F.col("block").alias("b_block"),
-        (F.col("rest") - F.col("before")).alias("room"),
-        "in_block",
-    )
-    partial = filled.filter("room > 0")
-    at = dealt.join(partial, dealt["source"].eqNullSafe(partial["b_source"]) & (dealt["block"] == partial["b_block"]))
-    inside = at.filter("in_block <= room")
-    place = F.xxhash64(seed, "source", "whole", "doc_id")
-    within = Window.partitionBy("b_source", "b_block").orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = at.filter("in_block > room").withColumn("so_far", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).filter("so_far < room")
-    columns = ["doc_id", "source", "n_tokens", "block", "carried", *(["why"] if explain else [])]
-    partly = inside.select(*columns, F.col("whole").alias("epoch")).unionByName(crossing.select(*columns, F.col("whole").alias("epoch")))
-    fully = dealt.filter("whole > 0").select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("epoch"))
-    return fully.unionByName(partly).select(
+    last = last_keys(_placed(slim, budgets, seed))
+    plan = budgets.join(last.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    placed = _placed(rows, written(plan, "mix-plan"), seed)
+    reached = F.coalesce(F.struct(*KEY) <= F.col("last"), F.lit(False))
+    epochs = F.col("whole") + reached.cast("bigint")
+    read = placed.withColumn("epochs", epochs).filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)))
+    return read.select(
         "doc_id",
         "source",
-        "n_tokens",
+        F.col("tokens").alias("n_tokens"),
         "epoch",
         F.xxhash64(seed, "source", "epoch", "block").alias("block"),
-        F.xxhash64(seed, "source", "epoch", "doc_id").alias("place"),
+        F.xxhash64(seed, "source", "epoch", "block", "cell").alias("cell"),
+        F.xxhash64(seed, "source", "epoch", "id").alias("place"),
         *(F.col(f"carried.`{c}`").alias(c) for c in carry),
-        *([F.lit(exponent).alias("exponent"), "why.weight", "why.budget"] if explain else []),
+        *([F.lit(exponent).alias("exponent"), "weight", "budget"] if explain else []),
     )
 
 

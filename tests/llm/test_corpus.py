@@ -214,6 +214,37 @@ def test_mixture_odd_rows(spark, odd, empty):
     assert {r["source"] for r in mixing.mix_sources(blank).collect()} == {"some"}
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_mixture_with_cells_reads_a_prefix(spark, monkeypatch, blocks):
+    """So many tokens a block that cells split it: the last pass is a prefix in the order (block, cell, place)."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", blocks + 3)
+    docs = mixed(spark, {"big": 700, "small": 90, None: 40})
+    for share in (0.3, 0.7):
+        got = mixing.mix_sources(docs, mixing.Mixture(entropy_share=0.0, budget_share=share), explain=True).collect()
+        every = mixing.mix_sources(docs, mixing.Mixture(entropy_share=0.0, budget_share=1.0)).collect()
+        for s in ("big", "small", None):
+            order = [(x["block"], x["cell"], x["place"], x["doc_id"], x["n_tokens"]) for x in every if x["source"] == s]
+            total, want = 0, []
+            for row in sorted(order):
+                if total >= round(share * sum(r[4] for r in order)):
+                    break
+                want.append(row[3])
+                total += row[4]
+            assert sorted(want) == sorted(x["doc_id"] for x in got if x["source"] == s)
+        assert len({(x["block"], x["cell"]) for x in every if x["source"] == "big"}) > blocks + 3
+
+
+def test_mixture_rows_without_id_and_repeats(spark):
+    texts = [f"word {k} of a text" for k in range(200)] + ["the same again"] * 100
+    docs = frame(spark, texts, [None] * 150 + list(range(50)) + [7000] * 100, sources=["a"] * 300)
+    got = mixing.mix_sources(docs, mixing.Mixture(budget_share=0.5)).collect()
+    again = sum(r["doc_id"] == 7000 for r in got)
+    read = sum(r["n_tokens"] for r in got)
+    assert again in (0, 100) and 650 <= read < 650 + (300 if again else 5)
+    assert len({r["place"] for r in got if r["doc_id"] is None}) == sum(r["doc_id"] is None for r in got) > 30
+
+
 TURNS = "conv_id bigint, turn bigint, role string, text string, a string, chat int"
 
 
