@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lapforge.llm.decontaminate import drop_contaminated
 from lapforge.llm.exact_dedup import drop_exact_copies
 from lapforge.llm.language_id import keep_identified
-from lapforge.llm.mixing import mix_sources
+from lapforge.llm.mixing import EVENER, mix_sources
 from lapforge.llm.ngram_join import drop_near_copies
 from lapforge.llm.storage import written
 
@@ -38,8 +38,9 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per reading of a document in the mixture, with its text."""
-    return mix_sources(docs, carry=("text", "lang", "n_chars"))
+    """One row per reading of a document in the registered mixture, with all its columns but those named like what mixing adds."""
+    own = {"doc_id", "source", "n_tokens", "epoch", "block", "cell", "place"}
+    return mix_sources(docs, EVENER, carry=tuple(c for c in docs.columns if c.lower() not in own))
 
 
 STAGES = [
