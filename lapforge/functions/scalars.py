@@ -18,6 +18,12 @@ def integer(text: Column) -> Column:
     return text.try_cast("int")
 
 
+def padded(value: Column, width: int) -> Column:
+    """Digits of a number from 0 up with leading zeros; longer numbers stay whole, which lpad would cut."""
+    text = value.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def clock_seconds(text: Column) -> Column:
     """Seconds of "M:SS.mmm" or of a plain number; NULL for anything else."""
     parts = F.split(F.trim(text), ":")

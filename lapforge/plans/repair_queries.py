@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapforge.functions.scalars import clock_seconds, haversine_m, integer, number, vehicle_from_id
+from lapforge.functions.scalars import clock_seconds, haversine_m, integer, number, padded, vehicle_from_id
 from lapforge.operators import repair as P
 from lapforge.operators.compare import standings
 from lapforge.operators.race import keep_last
@@ -73,7 +73,7 @@ def corrupt_lap_repair(s, d):
 def ids(s, d):
     return race_events(s, d).select(
         "event_id",
-        F.concat_ws("-", F.lit("GR86"), F.lpad(F.col("vehicle_number").cast("string"), 3, "0"), F.when(F.col("event_id") % 4 == 0, "0").otherwise((F.col("event_id") % 97).cast("string"))).alias("vehicle_id"),
+        F.concat_ws("-", F.lit("GR86"), padded(F.col("vehicle_number"), 3), F.when(F.col("event_id") % 4 == 0, "0").otherwise((F.col("event_id") % 97).cast("string"))).alias("vehicle_id"),
     )
 
 
