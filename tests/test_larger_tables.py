@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapforge.functions.scalars import padded
-from lapforge.plans import repair_queries
+from lapforge.plans import adapter, repair_queries, walk_queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_ids_of_more_than_three_digits_stay_whole(spark, tmp_path):
@@ -17,3 +19,15 @@ def test_ids_of_more_than_three_digits_stay_whole(spark, tmp_path):
     table.select("event_id", F.to_timestamp("ts").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.vehicle_number, r.chassis, r.last_token) for r in repair_queries.vehicle_repair(spark, str(tmp_path)).collect()}
     assert got == {5: (5, 7, 5), 6: (6, 1234, 6), 8: (98765, 98765, 0)}
+
+
+def test_parts_follow_the_number_of_rows(spark, monkeypatch):
+    """A fixed number of parts lets every task hold more of a larger table."""
+    rows = adapter.events(spark, DATA).count()
+    monkeypatch.setattr(adapter, "ROWS_PER_TASK", rows // 9, raising=False)
+    for table in (adapter.laps(spark, DATA), adapter.telemetry(spark, DATA)):
+        assert table.rdd.getNumPartitions() >= 9
+        assert table.count() == rows
+    # the whole walk stays on that one deal
+    assert walk_queries.baseline_walk(spark, DATA).rdd.getNumPartitions() >= 9
+    assert walk_queries.relative_walk(spark, DATA).rdd.getNumPartitions() >= 9
