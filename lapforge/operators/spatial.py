@@ -1,6 +1,6 @@
 """Corners and positions: peaks along a lap, density clusters, nearest and close points, angular order.
 
-Peaks and clusters are grouped numpy kernels: a group is one lap of one vehicle, or the candidate corners
+Peaks and clusters are grouped numpy kernels: a group is one vehicle's laps in a race, or the laps
 of one race, so its size does not grow with the table. Searches by distance are equi-joins on grid cells,
 never products of whole tables.
 """
@@ -56,20 +56,27 @@ def peaks(x: np.ndarray, height: float | None = None, distance: int = 1, promine
 
 def density_labels(xy: np.ndarray, eps: float, least: int) -> np.ndarray:
     """Cluster number per point, -1 for noise. Cores have at least `least` points within eps, themselves
-    included; cores within eps share a cluster; a border point goes to its nearest core."""
-    n = len(xy)
-    label = np.full(n, -1)
-    if not n:
-        return label
-    order = np.argsort(xy[:, 0], kind="stable")
-    sorted_x = xy[order, 0]
+    included; cores within eps share a cluster; a border point goes to its nearest core.
+
+    Points at one place share all neighbours, so places are looked at, each with its number of points.
+    """
+    if not len(xy):
+        return np.full(0, -1)
+    place, first, of, weight = np.unique(xy, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    seen = np.argsort(first)  # places in the order of their first points
+    place, first, weight = place[seen], first[seen], weight[seen]
+    rank = np.empty_like(seen)
+    rank[seen] = np.arange(len(seen))
+    label = np.full(len(place), -1)
+    order = np.argsort(place[:, 0], kind="stable")
+    sorted_x = place[order, 0]
     near = []
-    for p in xy:
+    for p in place:
         band = order[np.searchsorted(sorted_x, p[0] - eps) : np.searchsorted(sorted_x, p[0] + eps, "right")]
-        near.append(band[np.hypot(*(xy[band] - p).T) <= eps])
-    core = np.array([len(b) >= least for b in near])
+        near.append(band[np.hypot(*(place[band] - p).T) <= eps])
+    core = np.array([weight[b].sum() >= least for b in near])
     number = 0
-    for i in range(n):
+    for i in range(len(place)):
         if not core[i] or label[i] >= 0:
             continue
         front = [i]
@@ -82,8 +89,8 @@ def density_labels(xy: np.ndarray, eps: float, least: int) -> np.ndarray:
     for i in np.flatnonzero(~core):
         mine = near[i][core[near[i]]]
         if len(mine):
-            label[i] = label[mine[np.argmin(np.hypot(*(xy[mine] - xy[i]).T))]]
-    return label
+            label[i] = label[mine[np.argmin(np.hypot(*(place[mine] - place[i]).T))]]
+    return label[rank[of.reshape(-1)]]
 
 
 @dataclass(frozen=True)
@@ -145,48 +152,83 @@ def _filled(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lap_places(x: np.ndarray, rule: CornerRule) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate places of one lap's values in order, and the filled values there."""
+    none = np.zeros(0, np.int64), np.zeros(0)
+    if len(x) < rule.least_rows or np.isnan(x).mean() > 0.5:
+        return none
+    x = _filled(x)
+    apart = max(len(x) // (2 * rule.most_corners), rule.least_distance)
+    if rule.above_zero:
+        soft = np.nan_to_num(centred_mean(x, rule.smooth), nan=0.0)
+        if not (soft > 0).any():
+            return none
+        limit = max(float(np.percentile(soft[soft > 0], rule.percentile)), rule.floor)
+        at = peaks(soft, limit, apart, rule.prominence)
+        return at, x[at]
+    limit = np.nanpercentile(x, rule.percentile)
+    signed = np.nan_to_num(-x if rule.minima else x, nan=-np.inf)
+    at = peaks(signed, distance=apart, prominence=rule.prominence)
+    at = at[x[at] < limit] if rule.minima else at[x[at] > limit]
+    return at, x[at]
+
+
+def _candidates(part: pd.DataFrame, rule: CornerRule, order: str, keys: Sequence[str]) -> pd.DataFrame:
+    """Candidates of all laps in part: keys, latitude, longitude, level."""
+    part = part.sort_values(order, kind="stable")
+    lap = part.groupby(["vehicle_number", "lap"], dropna=False, sort=False).ngroup().to_numpy()
+    by_lap = np.argsort(lap, kind="stable")
+    x = part[rule.signal].to_numpy(float)[by_lap]
+    edges = np.flatnonzero(np.diff(lap[by_lap], prepend=-1, append=-1))
+    found = [(i, *_lap_places(x[i:j], rule)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    at = np.concatenate([i + places for i, places, _ in found])
+    return part.iloc[by_lap[at]][[*keys, "latitude", "longitude"]].assign(level=np.concatenate([level for _, _, level in found]))
+
+
+def _placed(telemetry: DataFrame, signals: Sequence[str], order: str, race: Sequence[str]) -> DataFrame:
+    columns = [*race, "vehicle_number", "lap", order, "latitude", "longitude"]
+    return telemetry.dropna(subset=["latitude", "longitude"]).select(*columns, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(signals)])
+
+
+def _shape(rows: DataFrame, columns: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
 def corner_candidates(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str = "ts_us", race: Sequence[str] = RACE) -> DataFrame:
-    """Candidate places of every lap: race columns, vehicle_number, lap, latitude, longitude, level."""
+    """Candidate places of every lap: race columns, vehicle_number, lap, latitude, longitude, level.
+
+    The kernel takes all laps of a vehicle in a race at once."""
     keys = [*race, "vehicle_number", "lap"]
+    rows = _placed(telemetry, [rule.signal], order, race)
+    shape = _shape(rows, [*keys, "latitude", "longitude"]) + ", level double"
+    return rows.groupBy(*race, "vehicle_number").applyInPandas(lambda part: _candidates(part, rule, order, keys), shape)
+
+
+def _clusters(part: pd.DataFrame, rule: CornerRule) -> np.ndarray:
+    """Cluster of each of a race's candidates, sorted by vehicle, lap and place; -1 for none."""
+    least = rule.least_samples or max(2, len(part[["vehicle_number", "lap"]].drop_duplicates()) // 3)
+    xy = part[["latitude", "longitude"]].to_numpy(float)
+    label = density_labels(xy, rule.eps, least)
+    if rule.retry and not (label >= 0).any():
+        label = density_labels(xy, rule.wider * rule.eps, rule.retry_least or least)
+    return label
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        x = part["level"].to_numpy(float)
-        empty = part[[*keys, "latitude", "longitude", "level"]].iloc[:0]
-        if len(x) < rule.least_rows or np.isnan(x).mean() > 0.5:
-            return empty
-        x = _filled(x)
-        if rule.above_zero:
-            soft = np.nan_to_num(centred_mean(x, rule.smooth), nan=0.0)
-            if not (soft > 0).any():
-                return empty
-            limit = max(float(np.percentile(soft[soft > 0], rule.percentile)), rule.floor)
-            at = peaks(soft, limit, max(len(x) // (2 * rule.most_corners), rule.least_distance), rule.prominence)
-            return part.iloc[at][[*keys, "latitude", "longitude"]].assign(level=x[at])
-        limit = np.nanpercentile(x, rule.percentile)
-        signed = np.nan_to_num(-x if rule.minima else x, nan=-np.inf)
-        at = peaks(signed, distance=max(len(x) // (2 * rule.most_corners), rule.least_distance), prominence=rule.prominence)
-        at = at[x[at] < limit] if rule.minima else at[x[at] > limit]
-        return part.iloc[at][[*keys, "latitude", "longitude"]].assign(level=x[at])
-
-    rows = telemetry.dropna(subset=["latitude", "longitude"]).select(*keys, order, "latitude", "longitude", F.col(rule.signal).cast("double").alias("level"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    shape = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "latitude", "longitude", "level"])
-    return rows.groupBy(*keys).applyInPandas(run, shape)
+
+_SORTED = ["vehicle_number", "lap", "latitude", "longitude"]
 
 
-def corners(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str = "ts_us", race: Sequence[str] = RACE, candidates: DataFrame | None = None) -> DataFrame:
+def corners(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str = "ts_us", race: Sequence[str] = RACE) -> DataFrame:
     """One row per corner of a race: corner_id, latitude, longitude, level (median), level_std, n_observations,
-    corner_type. Speed corners are numbered by position, brake corners as their clusters were found."""
-    found = corner_candidates(telemetry, rule, order, race) if candidates is None else candidates
+    corner_type. Speed corners are numbered by position, brake corners as their clusters were found.
+
+    One kernel a race looks for candidates and clusters them: the few candidates are not shuffled again, which
+    adaptive execution would do into as few tasks as their bytes ask for."""
+    keys = [*race, "vehicle_number", "lap"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["vehicle_number", "lap", "latitude", "longitude"])
-        laps = len(part[["vehicle_number", "lap"]].drop_duplicates())
-        xy = part[["latitude", "longitude"]].to_numpy(float)
-        label = density_labels(xy, rule.eps, rule.least_samples or max(2, laps // 3))
-        if rule.retry and not (label >= 0).any():
-            label = density_labels(xy, rule.wider * rule.eps, rule.retry_least or rule.least_samples or max(2, laps // 3))
+        part = _candidates(part, rule, order, keys).sort_values(_SORTED)
+        label = _clusters(part, rule)
         kept = part.assign(cluster=label)[label >= 0]
         grouped = kept.groupby("cluster")
         out = grouped[["latitude", "longitude", "level"]].median()
@@ -202,12 +244,12 @@ def corners(telemetry: DataFrame, rule: CornerRule = SPEED_CORNERS, order: str =
             out = out.sort_values(["latitude", "longitude"])
         out["corner_id"] = np.arange(1, len(out) + 1)
         for c in race:
-            out[c] = part[c].iloc[0]
+            out[c] = part[c].iloc[0] if len(part) else None
         return out[[*race, "corner_id", "latitude", "longitude", "level", "level_std", "n_observations"]]
 
-    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
-    shape = ", ".join(f"{c} {kinds[c]}" for c in race) + ", corner_id bigint, latitude double, longitude double, level double, level_std double, n_observations bigint"
-    return found.groupBy(*race).applyInPandas(run, shape).withColumn("corner_type", bands(F.col("level"), list(rule.kinds), rule.otherwise))
+    rows = _placed(telemetry, [rule.signal], order, race)
+    shape = _shape(rows, race) + ", corner_id bigint, latitude double, longitude double, level double, level_std double, n_observations bigint"
+    return rows.groupBy(*race).applyInPandas(run, shape).withColumn("corner_type", bands(F.col("level"), list(rule.kinds), rule.otherwise))
 
 
 def check_corners(found: DataFrame, least: int = 3, most: int = 20, race: Sequence[str] = RACE) -> DataFrame:
@@ -221,16 +263,18 @@ def check_corners(found: DataFrame, least: int = 3, most: int = 20, race: Sequen
 def best_rule(telemetry: DataFrame, rules: Sequence[CornerRule], target: int = 12, within: tuple[int, int] = (11, 14), order: str = "ts_us", race: Sequence[str] = RACE) -> DataFrame:
     """Per race the rule (its place in rules) whose number of corners is nearest the target and within bounds.
 
-    Rules that look for the same candidates share one search for them."""
-    counts, searched = None, {}
-    for i, rule in enumerate(rules):
-        search = replace(rule, eps=0.0, least_samples=None, retry=False, kinds=(), otherwise="", by_peak=False, wider=0.0, retry_least=None, number_by=None)
-        if search not in searched:
-            searched[search] = corner_candidates(telemetry, rule, order, race).persist()
-        one = corners(telemetry, rule, order, race, searched[search]).groupBy(*race).agg(F.count(F.lit(1)).alias("n_corners")).withColumn("rule", F.lit(i))
-        counts = one if counts is None else counts.unionByName(one)
-    near = F.struct(F.abs(F.col("n_corners") - target), "rule")
-    return counts.filter(F.col("n_corners").between(*within)).groupBy(*race).agg(F.min_by(F.struct("rule", "n_corners"), near).alias("b")).select(*race, "b.*")
+    One kernel a race tries all rules; those that look for the same candidates share one search for them."""
+    keys = [*race, "vehicle_number", "lap"]
+    searches = [replace(rule, eps=0.0, least_samples=None, retry=False, kinds=(), otherwise="", by_peak=False, wider=0.0, retry_least=None, number_by=None) for rule in rules]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = {search: _candidates(part, search, order, keys).sort_values(_SORTED) for search in dict.fromkeys(searches)}
+        counts = [int(_clusters(found[search], rule).max(initial=-1)) + 1 for search, rule in zip(searches, rules, strict=True)]
+        fit = [(abs(n - target), i, n) for i, n in enumerate(counts) if n and within[0] <= n <= within[1]]
+        return part[list(race)].iloc[: len(fit[:1])].assign(rule=[i for _, i, _ in sorted(fit)[:1]], n_corners=[n for _, _, n in sorted(fit)[:1]])
+
+    rows = _placed(telemetry, [rule.signal for rule in rules], order, race)
+    return rows.groupBy(*race).applyInPandas(run, _shape(rows, race) + ", rule int, n_corners bigint")
 
 
 def _cells(df: DataFrame, x: str, y: str, side: float, around: bool) -> DataFrame:
