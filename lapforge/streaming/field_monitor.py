@@ -15,11 +15,11 @@ behind a vehicle's last one are dropped, and so are, as Spark does, rows behind
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,6 +31,9 @@ HOLD_SECONDS = 3600
 GIVEN = M.ALERTS + ", read_lap bigint"
 _HISTORY = "lap bigint, brake double, coast double, health double"
 _PENDING = "lap bigint, kind string, severity string, z double, rising boolean, due bigint"
+_AT = "__at_ms"
+_Given = Row("race", "vehicle_number", "lap", "kind", "severity", "z", "rising", "read_lap")
+_Lap = namedtuple("_Lap", ["brake_cv", "coasting", "brake_mean", "brake_std", "coast_mean", "coast_std"])
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,7 +66,9 @@ def drained_alerts(laps: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 class DriverMonitor(StatefulProcessor):
-    """One vehicle's newest laps and pending alerts."""
+    """One vehicle's newest laps and pending alerts.
+
+    A vehicle has a few rows a batch: they come as rows, since a frame a vehicle costs far more than its rows."""
 
     def __init__(self, hold_seconds: float = HOLD_SECONDS, n_laps: int = TREND_LAPS):
         self.hold_ms = int(hold_seconds * 1000)
@@ -74,21 +79,23 @@ class DriverMonitor(StatefulProcessor):
         self.history = handle.getListState("history", _HISTORY)
         self.pending = handle.getListState("pending", _PENDING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         history, pending, given = list(self.history.get()), list(self.pending.get()), []
         known = {a[5] for a in pending}
-        for row in pd.concat(list(rows)).sort_values(["lap", "read"]).itertuples():
+        numbered = (r for r in rows if r.lap is not None)
+        for row in sorted(numbered, key=lambda r: (r.lap, bool(r.read))):
             if row.read:
-                given += [(*key, *a[:5], int(row.lap)) for a in pending if a[0] <= row.lap]
+                given += [(*key, *a[:5], row.lap) for a in pending if a[0] <= row.lap]
                 pending = [a for a in pending if a[0] > row.lap]
             elif not history or row.lap > history[-1][0]:
-                brake = row.brake_cv if pd.notna(row.brake_cv) else history[-1][1] if history else row.brake_mean
-                coast = row.coasting if pd.notna(row.coasting) else history[-1][2] if history else row.coast_mean
-                due = int(row.at.timestamp() * 1000) + self.hold_ms
-                alerts = M._lap_alerts(brake, coast, row, [h[1] for h in history[-2:]])
-                pending += [(int(row.lap), kind, severity, float(z), bool(rising), due) for kind, severity, z, rising in alerts]
-                z = [(v - m) / s if s > 0 else 0.0 for v, m, s in ((brake, row.brake_mean, row.brake_std), (coast, row.coast_mean, row.coast_std))]
-                history = [*history, (int(row.lap), float(brake), float(coast), float(max(map(abs, z))))][-self.n_laps :]
+                lap = _Lap(*(float("nan") if row[c] is None else row[c] for c in _Lap._fields))
+                brake = lap.brake_cv if lap.brake_cv == lap.brake_cv else history[-1][1] if history else lap.brake_mean
+                coast = lap.coasting if lap.coasting == lap.coasting else history[-1][2] if history else lap.coast_mean
+                due = row[_AT] + self.hold_ms
+                alerts = M._lap_alerts(brake, coast, lap, [h[1] for h in history[-2:]])
+                pending += [(row.lap, kind, severity, float(z), bool(rising), due) for kind, severity, z, rising in alerts]
+                z = [(v - m) / s if s > 0 else 0.0 for v, m, s in ((brake, lap.brake_mean, lap.brake_std), (coast, lap.coast_mean, lap.coast_std))]
+                history = [*history, (row.lap, float(brake), float(coast), float(max(map(abs, z))))][-self.n_laps :]
         due = {a[5] for a in pending}
         for at in known - due:
             self.handle.deleteTimer(at)
@@ -96,13 +103,13 @@ class DriverMonitor(StatefulProcessor):
             self.handle.registerTimer(at)
         self._keep(self.history, history)
         self._keep(self.pending, pending)
-        yield self._rows(given)
+        yield from (_Given(*g) for g in given)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         pending = list(self.pending.get())
         self._keep(self.pending, [a for a in pending if a[5] > at])
-        yield self._rows([(*key, *a[:5], None) for a in pending if a[5] <= at])
+        yield from (_Given(*key, *a[:5], None) for a in pending if a[5] <= at)
 
     @staticmethod
     def _keep(state, values: list) -> None:
@@ -111,16 +118,11 @@ class DriverMonitor(StatefulProcessor):
         else:
             state.clear()
 
-    @staticmethod
-    def _rows(given: list) -> pd.DataFrame:
-        columns = ["race", "vehicle_number", "lap", "kind", "severity", "z", "rising", "read_lap"]
-        return pd.DataFrame(given, columns=columns).astype({"read_lap": "Int64"})
-
 
 def stream_drained(rows: DataFrame, hold_seconds: float = HOLD_SECONDS, late_seconds: int = 600, n_laps: int = TREND_LAPS) -> DataFrame:
     """Alerts as they are read, or fall due, from a stream of laps and reads."""
-    timed = rows.withWatermark("at", f"{late_seconds} seconds")
-    return timed.groupBy(*KEYS).transformWithStateInPandas(DriverMonitor(hold_seconds, n_laps), GIVEN, "append", "EventTime")
+    timed = rows.withWatermark("at", f"{late_seconds} seconds").withColumn(_AT, F.unix_millis("at"))
+    return timed.groupBy(*KEYS).transformWithState(DriverMonitor(hold_seconds, n_laps), GIVEN, "append", "EventTime")
 
 
 @contextmanager

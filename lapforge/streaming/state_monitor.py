@@ -121,6 +121,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def replay_laps(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream over a folder of lap files, oldest first, some files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def replay_laps(spark, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    """A stream over a folder of lap files, oldest first, some files a batch; None: all that are there in one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapforge.streaming import field_monitor, state_monitor
 
@@ -73,3 +74,34 @@ def test_timer_gives_out_what_nobody_reads(spark, tmp_path):
     assert got == [(1, 1, 2), (1, 1, 2), (1, 2, 2), (1, 4, 0), (2, 1, 0), (2, 1, 0), (2, 2, 0), (2, 4, 0)]
     held = field_monitor.pending_alerts(spark, f"{tmp_path}/progress").select("vehicle_number", "lap").distinct()
     assert sorted(tuple(r) for r in held.collect()) == [(1, 5), (1, 6), (2, 5), (2, 6)]
+
+
+def test_replay_is_one_batch_however_many_files(spark, monkeypatch):
+    """Files hold vehicles, not times: behind a limit of files a batch the watermark would make early laps of the rest late."""
+    from lapforge.plans import stream_queries
+
+    replay, asked = state_monitor.replay_laps, []
+
+    def few_files(s, path, schema, files_per_batch=1):
+        asked.append(files_per_batch)
+        return replay(s, path, schema, files_per_batch and 1)  # a limit, if there is one, is met
+
+    monkeypatch.setattr(stream_queries.M, "replay_laps", few_files)
+    some = stream_queries.lap_states(spark, "/root/testdata/sf0.001").repartition(7, "vehicle_number").persist()
+    monkeypatch.setattr(stream_queries, "lap_states", lambda s, d: some)
+    got = stream_queries.streamed_drained(spark, "").collect()
+    assert asked == [None]
+    assert sorted(map(str, got)) == sorted(map(str, stream_queries.drained(spark, "").collect())) and got
+    some.unpersist()
+
+
+def test_monitor_takes_missing_values_and_laps(spark, tmp_path):
+    """Rows without a lap are passed over; without a deviation there is no alert."""
+    some = timed(spark, laps(spark), [(1, 6)])
+    odd = some.withColumn("lap", F.when(~((F.col("vehicle_number") == 2) & (F.col("lap") > 3)), F.col("lap"))).withColumn("brake_std", F.when(F.col("vehicle_number") == 1, F.col("brake_std")))
+    odd.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    out = field_monitor.run_monitor(state_monitor.replay_laps(spark, f"{tmp_path}/rows", odd.schema), f"{tmp_path}/alerts", f"{tmp_path}/progress", hold_seconds=86400)
+    assert {r["read_lap"] for r in out.collect()} == {6}
+    status = {r["vehicle_number"]: r["lap"] for r in field_monitor.field_health(spark, f"{tmp_path}/progress").collect()}
+    assert status[2] == 3
+    assert field_monitor.pending_alerts(spark, f"{tmp_path}/progress").filter("vehicle_number = 2 AND kind = 'brake'").count() == 0
