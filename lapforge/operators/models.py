@@ -17,6 +17,8 @@ ALPHA = 0.3
 UNCERTAINTY = {"green": 1.9, "yellow": 2.5, "restart": 7.0}
 #: Effects of the strategic model: per second of gap ahead, of pressure from behind, per place.
 GAP_EFFECT, PRESSURE_EFFECT, POSITION_EFFECT = -0.05, 0.05, 0.05
+#: Rows of a part that trees are fitted on.
+ROWS_PER_TASK = 200_000
 
 
 def relative_fit(laps: DataFrame, race: Sequence[str] = RACE) -> DataFrame:
@@ -241,14 +243,27 @@ def two_feature_ols(features: DataFrame, race: Sequence[str] = RACE) -> DataFram
     return fitted.withColumn("intercept", F.col("my") - F.col("lap_coef") * F.col("mx") - F.col("position_coef") * F.col("mz")).select(*race, "vehicle_number", "n", "intercept", "lap_coef", "position_coef")
 
 
+def tree_rows(features: DataFrame, columns: Sequence[str], target: str = "lap_time") -> DataFrame:
+    """What trees are fitted on: columns and target in as few parts as the number of rows asks for, since every tree passes over all parts
+    once a level. Part and place of a row follow from its values, so a seeded fit does not depend on how the rows came.
+    """
+    named = [*dict.fromkeys([*columns, target])]
+    rows = features.select(*named)
+    return rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK)), *named).sortWithinPartitions(*named)
+
+
 def boosted_laps(features: DataFrame, columns: Sequence[str], trees: int = 100, depth: int = 5, rate: float = 0.1, seed: int = 42):
-    """A gradient-boosted tree pipeline for lap_time, fitted by Spark ML."""
+    """A gradient-boosted tree pipeline for lap_time, fitted by Spark ML. features is read twice: keep what is dear to compute."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip"), GBTRegressor(labelCol="lap_time", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)]
-    return Pipeline(stages=stages).fit(features)
+    rows = tree_rows(features, columns).persist()
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def yellow_forest(per_lap: DataFrame, columns: Sequence[str], trees: int = 50, depth: int = 3, seed: int = 42):

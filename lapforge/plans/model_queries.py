@@ -17,6 +17,7 @@ from lapforge.plans.adapter import LAPS_SQL, TOTAL_LAPS, laps, telemetry
 from lapforge.plans.compare_queries import PER_LAP_SQL, STANDINGS_SQL, per_lap_metrics
 from lapforge.plans.metric_queries import r, rounded
 from lapforge.plans.race_queries import DELTAS_SQL, FEATURES_SQL, KEY, POSITION_SQL, R6, RELATIVE_SQL, features, positioned
+from lapforge.sources.session import kept
 
 V = ["race", "vehicle_number"]
 
@@ -113,7 +114,7 @@ def yellow_model(s, d):
 
 def boosted(s, d):
     """Train on even races, test on odd ones."""
-    f = features(s, d).select(*KEY, "position", "laps_remaining", "prev_lap_time", "rolling_avg_3", "lap_time").dropna()
+    f = kept(features(s, d).select(*KEY, "position", "laps_remaining", "prev_lap_time", "rolling_avg_3", "lap_time").dropna())
     model = L.boosted_laps(f.filter("race % 2 = 0"), ["lap", "position", "prev_lap_time", "rolling_avg_3"])
     tested = model.transform(f.filter("race % 2 = 1")).withColumn("error", F.col("lap_time") - F.col("prediction"))
     return L.evaluate(tested, ["race"])

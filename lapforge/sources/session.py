@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -50,3 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.gettempdir()}/lapforge-checkpoints"
     return named.rstrip("/")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, computed once: written under shared_dir and read from there by all that use them."""
+    at = f"{shared_dir(rows.sparkSession)}/lapforge-kept-{uuid.uuid4().hex}"
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)

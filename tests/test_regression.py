@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lapforge.operators import counterfactual as X
 from lapforge.operators import fold_models as FM
@@ -162,3 +163,20 @@ def test_winner_accuracy_by_hand(spark):
     table = spark.createDataFrame(rows, "race bigint, vehicle_number bigint, lap bigint, lap_time double, cumulative_time double, predicted double")
     got = FM.winner_accuracy(table, (1, 2)).collect()
     assert [(r["from_lap"], r["predicted_winner"], r["actual_winner"], r["correct"], r["predicted_margin"]) for r in got] == [(1, 1, 3, False, 3.0)]
+
+
+def test_trees_are_fitted_on_few_parts(spark, monkeypatch):
+    """Every tree passes over all parts once a level, so their number follows the rows and not what came before."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from lapforge.operators import models
+
+    table, parts, fit = frame(spark, laps_of(7, races=3)), [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows, params=None: (parts.append(rows.rdd.getNumPartitions()), fit(self, rows, params))[1])
+    fits = [models.boosted_laps(rows, ("lap", "position"), trees=3, depth=2) for rows in (table.repartition(40), table.orderBy("lap_time"))]
+    assert parts == [1, 1]
+    one, other = (sorted((r["race"], r["vehicle_number"], r["lap"], r["prediction"]) for r in m.transform(table).collect()) for m in fits)
+    assert one == other
+    monkeypatch.setattr(models, "ROWS_PER_TASK", -(-table.count() // 3), raising=False)
+    models.boosted_laps(table, ("lap", "position"), trees=1, depth=1)
+    assert parts[2:] == [3]
