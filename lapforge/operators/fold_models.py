@@ -2,7 +2,8 @@
 
 The linear form needs no loop: the sums of all rows less those of a fold are the training sums of that fold. Trees
 need a fit per fold and feature set; the fits are independent and run at the same time from a bounded pool
-of driver threads, each as Spark jobs of its own.
+of driver threads, each as Spark jobs of its own. Their rows are computed once and written, and fewer fits run
+at a time on large tables, since each keeps its rows in memory from tree to tree.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from lapforge.operators import RACE
 from lapforge.operators import least_squares as LS
 from lapforge.operators.models import boosted_laps
+from lapforge.sources.session import kept
 
 MAX_FOLDS = 64
-ROWS_PER_TASK = 200_000
+#: Rows that the fits of one moment hold together.
+ROWS_AT_ONCE = 40_000_000
 
 
 def linear_folds(rows: DataFrame, columns: Sequence[str], fold: str, target: str = "lap_time") -> DataFrame:
@@ -48,38 +51,34 @@ def boosted_folds(
 
     More than max_folds folds are refused: fold by a coarser column then. trees: as boosted_laps takes them.
     """
-    found = sorted(r[0] for r in rows.select(fold).distinct().limit(max_folds + 1).collect())
-    if len(found) > max_folds:
-        raise ValueError(f"more than {max_folds} folds in {fold}")
     spark = rows.sparkSession
-    keep = rows.columns
+    rows = kept(rows)
+    sizes = {r[0]: r[1] for r in rows.groupBy(fold).count().limit(max_folds + 1).collect()}
+    if len(sizes) > max_folds:
+        raise ValueError(f"more than {max_folds} folds in {fold}")
+    names = rows.columns
 
     def fit(task: tuple[str, object]):
         name, left_out = task
         columns = list(feature_sets[name])
         whole = rows.dropna(subset=[*columns, target])
         train, test = whole.filter(F.col(fold) != left_out), whole.filter(F.col(fold) == left_out)
-        known = train.count()
-        if not known:
+        if train.isEmpty():
             return None
-        # every tree passes over the rows once a level: as few tasks as their number asks for
-        train = train.repartition(-(-known // ROWS_PER_TASK)).persist()
-        try:
-            model = boosted_laps(train, columns, **trees)
-            e = F.col(target) - F.col("prediction")
-            inside = model.transform(train).agg(F.sqrt(F.avg(e * e))).first()[0]
-        finally:
-            train.unpersist()
-        scored = model.transform(test).select(*keep, F.lit(name).alias("feature_set"), F.col("prediction").alias("predicted"), e.alias("error"), F.lit(inside).alias("train_rmse"))
+        model = boosted_laps(train, columns, **trees)
+        e = F.col(target) - F.col("prediction")
+        inside = model.transform(train).agg(F.sqrt(F.avg(e * e))).first()[0]
+        scored = model.transform(test).select(*names, F.lit(name).alias("feature_set"), F.col("prediction").alias("predicted"), e.alias("error"), F.lit(inside).alias("train_rmse"))
         weights = model.stages[-1].featureImportances.toArray()
         return scored, [(name, str(left_out), c, float(w)) for c, w in zip(columns, weights, strict=True)]
 
-    tasks = [(name, f) for name in feature_sets for f in found]
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
+    tasks = [(name, f) for name in feature_sets for f in sorted(f for f in sizes if f is not None)]
+    largest = max([sum(sizes.values()) - sizes[f] for _, f in tasks], default=0)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, ROWS_AT_ONCE // max(1, largest)))) as pool:
         done = [x for x in pool.map(inheritable_thread_target(spark)(fit), tasks) if x]
     if not done:
         none = rows.limit(0)
-        empty = none.select(*keep, F.lit("").alias("feature_set"), *[F.lit(0.0).alias(c) for c in ("predicted", "error", "train_rmse")])
+        empty = none.select(*names, F.lit("").alias("feature_set"), *[F.lit(0.0).alias(c) for c in ("predicted", "error", "train_rmse")])
         return empty, spark.createDataFrame([], "feature_set string, fold string, feature string, importance double, place bigint")
     weights = spark.createDataFrame([w for _, some in done for w in some], "feature_set string, fold string, feature string, importance double")
     order = Window.partitionBy("feature_set", "fold").orderBy(F.desc("importance"), "feature")

@@ -180,3 +180,17 @@ def test_trees_are_fitted_on_few_parts(spark, monkeypatch):
     monkeypatch.setattr(models, "ROWS_PER_TASK", -(-table.count() // 3), raising=False)
     models.boosted_laps(table, ("lap", "position"), trees=1, depth=1)
     assert parts[2:] == [3]
+
+
+def test_rows_of_folds_are_computed_once(spark):
+    table = frame(spark, laps_of(7, races=3)).repartition(2, "race")
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return float(x)
+
+    looked = table.withColumn("looked", F.udf(look, "double")("lap"))
+    scored, _ = FM.boosted_folds(looked, {"one": ("looked", "position")}, "race", trees=2, depth=2)
+    assert scored.count() == table.count() == len(scored.collect())
+    assert seen.value == table.count()
