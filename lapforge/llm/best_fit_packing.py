@@ -18,7 +18,9 @@ of the longest length that fits an empty bin; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import codecs
 import math
+import re
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,17 +32,16 @@ from pyspark.sql import functions as F
 
 from lapforge.llm.storage import written
 from lapforge.llm.textkit import passes
+from lapforge.llm.token_count import byte_symbols
 
 TOKENS = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers (about 200 bytes each), the longest such word in bytes, and words that meet the library in one string.
+#: Runs whose ids a Python worker remembers (about 200 bytes each), the longest such run in bytes, and runs that meet the library in one string.
 REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 TOGETHER = 100
-#: Marks that may close a word of letters: to the tokenizer a run of them is a symbol run of its own.
-CLOSING = ".,;:!?"
-#: Bytes of text whose words are looked up at a time.
-PASS_BYTES = 4_000_000
+#: Bytes of text whose runs are looked up at a time.
+PASS_BYTES = 8_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, block int, place bigint"
 
 
@@ -79,31 +80,88 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(kind of each byte, kind of each byte after 0xC3)."""
+    kind = np.full(256, WHOLE, np.uint8)
+    kind[0x21:0x7F] = SYMBOL
+    kind[list(b" \t\n\x0b\x0c\r")] = SPACE
+    kind[list(b"0123456789")] = DIGIT
+    kind[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = LETTER
+    kind[list(b"'<")] = WHOLE  # contractions and special tokens cross the kinds
+    after = np.full(256, WHOLE, np.uint8)
+    after[0x80:0xC0] = LETTER
+    after[[0x97, 0xB7]] = WHOLE  # the signs of multiplication and division
+    return kind, after
+
+
+SPACE, LETTER, DIGIT, SYMBOL, WHOLE = range(5)
+_KIND, _KIND_AFTER_C3 = _byte_kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Byte-level symbols, and the space that parts words.
+_SYMBOLS = "".join(" " if i == 32 else s for i, s in enumerate(byte_symbols()))
+
+
+def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes without spaces, offsets of the runs in them, starts of the runs in data).
+
+    A word of ASCII and of letters up to U+00FF falls into runs of letters (in lower case), single digits and runs of
+    symbols, as in the library; any other word (apostrophes, <, other characters, invalid UTF-8) is one run as it stands.
+    """
+    kind = _KIND[data]
+    first = np.flatnonzero(data[:-1] == 0xC3)
+    first = first[_KIND_AFTER_C3[data[first + 1]] == LETTER]
+    kind[first] = kind[first + 1] = LETTER
+    inside = kind != SPACE
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    hard = np.flatnonzero(kind == WHOLE)
+    if len(hard):
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        words = np.unique(np.searchsorted(starts, hard, "right") - 1)
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[words]] = 1
+        step[ends[words]] = -1
+        kind[np.cumsum(step[:-1], dtype=np.int8).view(bool)] = WHOLE
+    low = np.where(kind == LETTER, _LOWER[data], data)
+    upper = first[(kind[first] == LETTER) & (data[first + 1] < 0x9F)] + 1
+    low[upper] += 32
+    begins = inside.copy()
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    at = np.flatnonzero(begins)
+    return low[inside], np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int64), at
+
+
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, word by word.
+    """Ids of texts as little-endian 32-bit bytes, run by run.
 
-    This tokenizer drops white space and never joins symbols across it, so a text's ids are those of its ASCII-space
-    separated words; each distinct word meets the library once. A word of letters with closing marks is the word and
-    the marks, which are runs of their own, and ASCII letters count as their lower case, as in the library. Words of
-    letters go to the library many in a string: each is one run of symbols or more, every run ends with an
-    end-of-word symbol, so if a string has as many ends as words, the ends bound the words.
+    This tokenizer drops white space and never joins symbols across it, nor across letters, digits and symbols, so a
+    text's ids are those of its runs; each distinct run meets the library once. Runs of letters go to the library's
+    model many in a string, in the byte-level symbols that it knows: every run ends with an end-of-word symbol, so if
+    a string has as many ends as runs, the ends bound the runs. Other runs meet the whole tokenizer.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         tokenizer = _tokenizer(path)
         self.encode = tokenizer.encode_batch_fast
+        model = Tokenizer(tokenizer.model)
+        model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.merge = model.encode_batch_fast
         self.known: dict[bytes, bytes] = {}
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
 
-    def _each(self, words: list[str]):
-        found = self.encode(words, add_special_tokens=False)
+    def _each(self, words: list[bytes]):
+        found = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return zip(words, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True)
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
         out, chunks = {}, range(0, len(words), TOGETHER)
-        for at, e in zip(chunks, self.encode([" ".join(words[i : i + TOGETHER]) for i in chunks], add_special_tokens=False), strict=True):
+        joined = [codecs.charmap_decode(b" ".join(words[i : i + TOGETHER]), "strict", _SYMBOLS)[0] for i in chunks]
+        for at, e in zip(chunks, self.merge(joined, add_special_tokens=False), strict=True):
             some, ids = words[at : at + TOGETHER], np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == len(some):
@@ -113,42 +171,38 @@ class WordIds:
                 out.update(self._each(some))
         return out
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        simple, letters, other = [], set(), []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            core = text.rstrip(CLOSING)
-            if core.isalpha():
-                marks = text[len(core) :]
-                if core.isascii():
-                    core = core.lower()
-                simple.append((w, core, marks))
-                letters.add(core)
-                if marks:
-                    other.append(marks)
-            else:
-                other.append(text)
-        cores, rest = self._letters(list(letters)), dict(self._each(list(set(other))))
-        rest[""] = b""
-        learnt = {w: cores[core] + rest[marks] for w, core, marks in simple}
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        letters = [w for w in words if w.isalpha() or _LETTERS(w)]
+        learnt = self._letters(letters)
         if len(learnt) < len(words):
-            learnt.update((w, rest[w.decode("utf-8", "replace")]) for w in words if w not in learnt)
+            learnt.update(self._each([w for w in words if w not in learnt]))
         return learnt
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words, sizes = [], [0]
-        for t in texts:
-            words += t.split()
-            sizes.append(len(words))
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        raw, bounds, starts = runs(data)
+        n = len(starts)
+        if not n:
+            return [b""] * len(texts)
+        coded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        which, (_, at, distinct) = coded.indices.to_numpy(), coded.dictionary.buffers()
+        at, distinct = np.frombuffer(at, np.int64, len(coded.dictionary) + 1).tolist(), distinct.to_pybytes()
+        words = [distinct[i:j] for i, j in zip(at, at[1:], strict=False)]  # to_pylist takes several times as long
         ids = list(map(self.known.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        fresh = self._learn({words[i] for i in missing})
-        for i in missing:
-            ids[i] = fresh[words[i]]
+        fresh = self._learn([w for w, x in zip(words, ids, strict=True) if x is None])
+        ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
         self.known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_REMEMBERED)
-        return [b"".join(ids[i:j]) for i, j in zip(sizes, sizes[1:], strict=False)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(sizes) - sizes
+        size = sizes[which]
+        upto = np.append(0, np.cumsum(size))
+        found = flat[np.repeat(first[which] - upto[:-1], size) + np.arange(upto[-1])]
+        cuts = upto[np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))] * 4
+        out = found.tobytes()
+        return [out[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 @lru_cache(maxsize=2)

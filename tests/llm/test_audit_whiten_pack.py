@@ -278,6 +278,38 @@ def test_packing_documents(spark, limits):
     check_packing(rows, list(zip(ids, texts, strict=True)), limits)
 
 
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_packing_ids_of_odd_words():
+    """Runs are cut from words as the library cuts them, on both sides of every boundary of kinds."""
+    parts = [*"aZéÉßÿÀÞ×÷ªºµ019.,&*#|>-_~ \t\n'<", "the", "Straße", "'s", "'LL", "<|endoftext|>", "e\u0301", "\u0301", "İ", "ſ", "K", "Σ", "中", "½", "٣", "\x00", "\x1c", "\x7f", "\x85", "\xa0", "\u3000", "😀"]
+    r = random.Random(5)
+    texts = ["".join(r.choices(parts, k=r.choice([0, 1, 2, 3, 8, 40]))) for _ in range(4000)]
+    ids_of, tokenizer = packing.WordIds(packing.default_tokenizer()), library()
+    for chunk in (texts[:1], texts[1:3000], texts[2000:]):
+        got = [np.frombuffer(x, "<u4").tolist() for x in ids_of([t.encode() for t in chunk])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in chunk]
+    broken = [b"ab\xc3 c", b"\xc3\xa9\xff", b"\xa9x", b"\xe2\xc3\xa9", b"\xc3", b"\xc3\xc3\xa9Q", b""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in ids_of(broken)]
+    assert got == [tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+
+
+def test_packing_asks_library_by_runs():
+    """Words that differ by capitals, digits or marks are one run of letters; none of them meets the whole tokenizer by itself."""
+    ids_of, asked = packing.WordIds(packing.default_tokenizer()), []
+    encode = ids_of.encode
+    ids_of.encode = lambda texts, **more: (asked.extend(texts), encode(texts, **more))[1]
+    words = [" ".join(prose(i, 1)) + chr(97 + i % 26) * (i % 5) + "qé" * (i % 3) for i in range(400)]
+    text = " ".join(form for w in words for form in (w, w.capitalize(), f"{w}***", f"{w}7,", f"({w})"))
+    assert np.frombuffer(ids_of([text.encode()])[0], "<u4").tolist() == library().encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 20 and len(ids_of.known) <= len(set(words)) + 20
+
+
 def test_packing_empty(spark, empty):
     assert packing.pack(empty).collect() == []
 
