@@ -64,3 +64,10 @@ def test_points_at_one_place_count_as_many(spark):
             mine = np.flatnonzero(near[i] & core)
             d = np.hypot(*(xy[mine] - xy[i]).T)
             assert got[i] in (set(want[mine[d == d.min()]]) if len(mine) else {-1})
+
+
+def test_walk_queries_stay_on_their_deal(spark, monkeypatch):
+    """The registered queries, errors included: a shuffle behind the windows would gather their rows in parts that the session fixes."""
+    monkeypatch.setattr(adapter, "ROWS_PER_TASK", adapter.events(spark, DATA).count() // 9, raising=False)
+    for name in ("expanding_relative_model", "expanding_baseline_model"):
+        assert walk_queries.QUERIES[name][0](spark, DATA).rdd.getNumPartitions() >= 9
