@@ -44,7 +44,7 @@ def resampled(samples: DataFrame, values: Sequence[str], step: float, distance:
     return met.filter("grid").select(*keys, F.col("at").alias("distance"), *[between(v).alias(v) for v in values])
 
 
-def smoothed(samples: DataFrame, value: str, width: int = 5, order: str = "lap_distance", keys: Sequence[str] = LAP, name: str = "smooth") -> DataFrame:
+def smoothed(samples: DataFrame, value: str, width: int = 5, order: str | list[str] = "lap_distance", keys: Sequence[str] = LAP, name: str = "smooth") -> DataFrame:
     """Adds the centred mean of `width` samples; the sample itself where the window is not full."""
     side = width // 2
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-side, side)
@@ -54,23 +54,23 @@ def smoothed(samples: DataFrame, value: str, width: int = 5, order: str = "lap_d
 
 def braking_places(
     samples: DataFrame, value: str = "brake", share: float = 0.4, apart: int = 20, prominence: float = 5.0, least_rows: int = 100, width: int = 5,
-    distance: str = "lap_distance", keys: Sequence[str] = LAP,
+    distance: str = "lap_distance", keys: Sequence[str] = LAP, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Peaks of the smoothed value along each lap: keys, distance, latitude, longitude, level (the raw value there).
 
-    A peak reaches the share quantile of the lap's values above 0. Laps with fewer than least_rows samples, or without a value above 0, have none.
+    ties: columns that order samples at one distance, as those of a standing vehicle are. A peak reaches the share quantile of the lap's values above 0. Laps with fewer than least_rows samples, or without a value above 0, have none.
     The kernel gets all laps of a vehicle's race at once (keys but the last) and goes through them by their bounds.
     """
-    rows = smoothed(samples.filter(F.col(distance).isNotNull()), value, width, distance, keys)
+    rows = smoothed(samples.filter(F.col(distance).isNotNull()), value, width, [distance, *ties], keys)
     lap = Window.partitionBy(*keys)
-    limited = rows.select(*keys, distance, "latitude", "longitude", F.col(value).cast("double").alias("level"), "smooth").withColumns(
+    limited = rows.select(*keys, distance, *ties, "latitude", "longitude", F.col(value).cast("double").alias("level"), "smooth").withColumns(
         {"__limit": F.percentile(F.when(F.col("smooth") > 0, F.col("smooth")), F.lit(share)).over(lap), "__n": F.count(F.lit(1)).over(lap)}
     )
     kinds = {f.name: f.dataType.simpleString() for f in limited.schema}
     shape = [*keys, distance, "latitude", "longitude", "level"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([keys[-1], distance], kind="stable")
+        part = part.sort_values([keys[-1], distance, *ties], kind="stable")
         lap_of, level, limit = (part[c].to_numpy() for c in (keys[-1], "smooth", "__limit"))
         first = np.flatnonzero(np.append(True, lap_of[1:] != lap_of[:-1]))
         at = [i + peaks(level[i:j], height=float(limit[i]), distance=apart, prominence=prominence) for i, j in zip(first, np.append(first[1:], len(part)), strict=True)]

@@ -97,7 +97,7 @@ def common_axis(s, d):
 
 def line_corners(s, d):
     rows = along(s, d)
-    places = D.braking_places(rows, apart=1, prominence=0.0, least_rows=5, width=3)
+    places = D.braking_places(rows, apart=1, prominence=0.0, least_rows=5, width=3, ties=["n"])
     each = ["race", "vehicle_number"]  # corners of every vehicle from its own laps
     return D.distance_corners(places, D.lap_extent(rows, race=each), fewest=6, most=8, race=each)
 

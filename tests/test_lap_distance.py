@@ -44,6 +44,16 @@ def test_resampled_laps(spark):
     assert D.resampled(table.limit(0), ["speed"], 10.0).collect() == []
 
 
+def test_samples_at_one_distance_are_ordered_by_their_ties(spark):
+    """A standing vehicle's samples share a distance; whichever way the rows come, the lap runs as they were taken."""
+    brake = [5.0, 30.0, 60.0, 90.0, 10.0, 0.0, 70.0, 20.0]
+    rows = [(0, 7, 1, n, 40.0 if 1 <= n <= 5 else 40.0 + n - 3, float(n), 0.0, b) for n, b in enumerate(brake)]
+    names = "race bigint, vehicle_number bigint, lap bigint, n bigint, lap_distance double, latitude double, longitude double, brake double"
+    for some in (rows, rows[::-1], rows[3:] + rows[:3]):
+        places = D.braking_places(spark.createDataFrame(some, names).coalesce(1), apart=1, prominence=0.0, least_rows=5, width=3, ties=["n"]).collect()
+        assert [(r["latitude"], r["level"]) for r in places] == [(2.0, 60.0), (6.0, 70.0)]
+
+
 def test_distance_corners_narrow_when_few(spark):
     rows = [(0, float(c * 30 + o), 0.0, 0.0, 20.0 + 30 * (c % 3)) for c in range(10) for o in (-4, 0, 4)]
     places = spark.createDataFrame(rows, "race bigint, lap_distance double, latitude double, longitude double, level double")
