@@ -16,9 +16,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapforge.operators import RACE
+from lapforge.operators import RACE, boosting
 from lapforge.operators import least_squares as LS
-from lapforge.operators.models import boosted_laps
 from lapforge.sources.session import kept
 
 MAX_FOLDS = 64
@@ -49,7 +48,7 @@ def boosted_folds(
     """(scored, importances). scored: feature_set, the row's fold, predicted, error, train_rmse for each row of each fold, by gradient-boosted
     trees fitted on the other folds. importances: feature_set, fold, feature, importance, place; they add up to 1 a model.
 
-    More than max_folds folds are refused: fold by a coarser column then. trees: as boosted_laps takes them.
+    More than max_folds folds are refused: fold by a coarser column then. trees: as boosting.fit takes them.
     """
     spark = rows.sparkSession
     rows = kept(rows)
@@ -63,14 +62,12 @@ def boosted_folds(
         columns = list(feature_sets[name])
         whole = rows.dropna(subset=[*columns, target])
         train, test = whole.filter(F.col(fold) != left_out), whole.filter(F.col(fold) == left_out)
-        if train.isEmpty():
+        model = boosting.fit(train, columns, target, **trees)
+        if model is None:
             return None
-        model = boosted_laps(train, columns, **trees)
-        e = F.col(target) - F.col("prediction")
-        inside = model.transform(train).agg(F.sqrt(F.avg(e * e))).first()[0]
-        scored = model.transform(test).select(*names, F.lit(name).alias("feature_set"), F.col("prediction").alias("predicted"), e.alias("error"), F.lit(inside).alias("train_rmse"))
-        weights = model.stages[-1].featureImportances.toArray()
-        return scored, [(name, str(left_out), c, float(w)) for c, w in zip(columns, weights, strict=True)]
+        guess = test.select(*names, F.lit(name).alias("feature_set"), model.predicted().alias("predicted"))
+        scored = guess.withColumns({"error": F.col(target) - F.col("predicted"), "train_rmse": F.lit(model.train_rmse)})
+        return scored, [(name, str(left_out), c, w) for c, w in zip(columns, model.importances, strict=True)]
 
     tasks = [(name, f) for name in feature_sets for f in sorted(f for f in sizes if f is not None)]
     largest = max([sum(sizes.values()) - sizes[f] for _, f in tasks], default=0)
